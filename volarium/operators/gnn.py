@@ -7,6 +7,7 @@ Weights are rows (run, layer, i, j, value). Layer 0 is the direct linear term (i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,10 @@ def pack_weights(weights: DataFrame, keys: Sequence[str] = ("run",)) -> Staged:
                  "weights")
 
 
-def _affine(inputs: list[str], width: int, j: int):
-    """Column j of [1, x] times a packed (1 + inputs) x width matrix in `v`."""
-    out = F.col("v").getItem(j)
-    for i, c in enumerate(inputs):
-        out = out + F.col(c) * F.col("v").getItem((i + 1) * width + j)
-    return out
+def _project(inputs: list[str], width: int, j: int, first: int = 1):
+    """Column j of x times a packed matrix in `v` whose row `first` belongs to the first input."""
+    terms = [F.col(c) * F.col("v").getItem((i + first) * width + j) for i, c in enumerate(inputs)]
+    return reduce(lambda a, b: a + b, terms)
 
 
 def score(features: DataFrame, edges: Staged, weights: Staged, columns: Sequence[str], model: str,
@@ -62,13 +61,13 @@ def score(features: DataFrame, edges: Staged, weights: Staged, columns: Sequence
         keys = runs.agg(F.collect_list(F.struct(*missing)).alias("k")).scalar()
         features = features.withColumn("k", F.explode(keys)).select("*", "k.*").drop("k")
     rows = with_layer(features.repartition("date"), 0)
-    rows = rows.withColumn("own", _affine(columns, 1, 0)).drop("v")
+    rows = rows.withColumn("own", F.col("v").getItem(0) + _project(columns, 1, 0)).drop("v")
     state = columns
     for layer in range(1, depth + 1):
         rows = with_layer(rows, layer)
         z = [f"z{j}" for j in range(width)]
         bias = [f"b{j}" for j in range(width)]
-        rows = rows.withColumns({**{n: _affine(state, width, j) - F.col("v").getItem(j) for j, n in enumerate(z)},
+        rows = rows.withColumns({**{n: _project(state, width, j) for j, n in enumerate(z)},
                                  **{n: F.col("v").getItem(j) for j, n in enumerate(bias)}})
         shared = [k for k in on if k in edges.table.columns]
         keys = [k for k in on if k not in shared]
@@ -80,10 +79,7 @@ def score(features: DataFrame, edges: Staged, weights: Staged, columns: Sequence
                           *[act(F.col(f"{graph}_{n}") + F.col(b)).alias(h) for n, b, h in zip(z, bias, state)])
     if depth:
         rows = with_layer(rows, depth + 1)
-        graph_term = F.lit(0.0)
-        for j, h in enumerate(state):
-            graph_term = graph_term + F.col(h) * F.col("v").getItem(j)
-        rows = rows.withColumn("own", F.col("own") + graph_term)
+        rows = rows.withColumn("own", F.col("own") + _project(state, 1, 0, first=0))
     return rows.select(*on, "date", "ticker", *base, HEADS[head]("own").alias("yhat"))
 
 

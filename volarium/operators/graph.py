@@ -118,7 +118,7 @@ def _meet(features: DataFrame, edges: Staged, on: Sequence[str], salt: int, by_d
     (src, salt): the salt, a hash of the date, spreads a hub's rows over `salt` tasks. `by_date` says that
     the features already lie by date, as the output of an earlier graph step does.
     """
-    e = edges.table.filter("w <> 0").withColumnRenamed("src", "ticker")
+    e = edges.table.filter("w <> 0").withColumnsRenamed({"src": "ticker", "w": "edge_weight"})
     if edges.rows <= BROADCAST_ROWS:
         laid_out = features if by_date else features.repartition("date", *on)
         return laid_out.join(F.broadcast(e), [*on, "ticker"])
@@ -134,7 +134,7 @@ def propagate(features: DataFrame, edges: Staged, columns: Sequence[str], on: Se
     neighbour on a date gives no row.
     """
     on = list(on)
-    products = [(F.col("w") * F.col(c)).alias(c) for c in columns]
+    products = [(F.col("edge_weight") * F.col(c)).alias(c) for c in columns]
     return (
         _meet(features, edges, on, salt)
         .select(*on, "date", "graph", F.col("dst").alias("ticker"), *products)
@@ -156,7 +156,7 @@ def graph_panel(features: DataFrame, edges: Staged, columns: Sequence[str], term
     aggs = [F.max(F.when(own, F.col(c))).alias(c) for c in carry]
     for t in terms:
         here = F.col("graph") == t
-        aggs += [F.coalesce(F.sum(F.when(here, F.col("w") * F.col(c))), F.lit(0.0)).alias(f"{t}_{c}") for c in columns]
+        aggs += [F.coalesce(F.sum(F.when(here, F.col("edge_weight") * F.col(c))), F.lit(0.0)).alias(f"{t}_{c}") for c in columns]
     out = _meet(features, edges, list(on), salt, by_date).groupBy(*on, *runs, "date", F.col("dst").alias("ticker")).agg(*aggs)
     return out.filter(F.col(carry[0]).isNotNull())
 

@@ -34,13 +34,13 @@ rets AS (SELECT * FROM (SELECT ticker, date, pos, ln(value) - ln(lag(value) OVER
 
 
 @query("M6 J6", f"""WITH {q.SUPPLIER_DENSE}, {q.features('nested')}
-SELECT CAST(date AS VARCHAR) AS date, ticker, {', '.join(q.rnd(c, f'self_{c}', 6) for c in GCOLS)}, 0.0::DOUBLE AS zero_d FROM features""")
+SELECT CAST(date AS VARCHAR) AS date, ticker, {', '.join(q.rnd(c, f'self_{c}') for c in GCOLS)}, 0.0::DOUBLE AS zero_d FROM features""")
 def identity_and_zero_graph(spark, sf):
     feats = t.supplier_features(spark, sf).table
     names = feats.select("ticker").distinct()
     edges = stage(graph.identity_edges(names).unionByName(graph.zero_edges(names)), "edges")
     out = graph.graph_panel(feats, edges, GCOLS, ["self", "zero"])
-    return out.select(t.text_date(), "ticker", *[rounded(f"self_{c}", 6).alias(f"self_{c}") for c in GCOLS], "zero_d")
+    return out.select(t.text_date(), "ticker", *[rounded(f"self_{c}").alias(f"self_{c}") for c in GCOLS], "zero_d")
 
 
 @query("M7 M9", f"""WITH {NODES}, {q.ring('nodes', 3)}
@@ -123,15 +123,16 @@ def neighbour_features(spark, sf):
 
 @query("M10 J6", f"""WITH {q.nation_dense()}, {q.features('disjoint', exog=True)}, {q.ring('features', 2)},
 {q.graph_features((*GCOLS, 'iv_d', 'iv_w', 'iv_m'))}
-SELECT CAST(date AS VARCHAR) AS date, ticker, {q.rnd('target', 'target', 6)},
-  {', '.join(q.rnd(c, f'self_{c}', 6) for c in (*GCOLS, 'iv_d', 'iv_w', 'iv_m'))},
+SELECT CAST(date AS VARCHAR) AS date, ticker, {q.rnd('target', 'target')},
+  {', '.join(q.rnd(c, f'self_{c}') for c in (*GCOLS, 'iv_d', 'iv_w', 'iv_m'))},
   {', '.join(q.rnd(f'g_{c}', f'ring_{c}', 6) for c in (*GCOLS, 'iv_d', 'iv_w', 'iv_m'))} FROM gfeat""")
 def graph_feature_panel(spark, sf):
     feats = t.nation_features(spark, sf, har="disjoint", exog="exog").table
     cols = [*GCOLS, "iv_d", "iv_w", "iv_m"]
     out = graph.graph_panel(feats, t.ring_graph(feats), cols, ["self", "ring"])
-    return out.select(t.text_date(), "ticker", rounded("target", 6).alias("target"),
-                      *[rounded(c, 6).alias(c) for c in graph.term_columns(["self", "ring"], cols)])
+    return out.select(t.text_date(), "ticker", rounded("target").alias("target"),
+                      *[rounded(c).alias(c) for c in graph.term_columns(["self"], cols)],
+                      *[rounded(c, 6).alias(c) for c in graph.term_columns(["ring"], cols)])
 
 
 @query("A11", f"""WITH {RETS}

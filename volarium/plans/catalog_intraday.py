@@ -71,9 +71,9 @@ def sane_days_keep_wide(spark, sf):
 
 
 @query("P8", f"""WITH {QUOTES}
-SELECT ticker, CAST(date AS VARCHAR) AS date, count(*) AS n, round(max(abs(ask_1 / bid_1 - 1)), 6) + 0.0 AS spread,
-       count(*) >= 20 AND strftime(date, '%m-%d') NOT IN ('07-03', '12-24') AS full_day
-FROM quotes GROUP BY 1, 2""")
+SELECT ticker, CAST(quotes.date AS VARCHAR) AS date, count(*) AS n, round(max(abs(ask_1 / bid_1 - 1)), 6) + 0.0 AS spread,
+       count(*) >= 20 AND strftime(quotes.date, '%m-%d') NOT IN ('07-03', '12-24') AS full_day
+FROM quotes GROUP BY ticker, quotes.date""")
 def day_checks(spark, sf):
     return t.hourly_quotes(spark, sf).groupBy("ticker", "date").agg(
         F.count(F.lit(1)).alias("n"), rounded(F.max(relative_spread("bid_1", "ask_1")), 6).alias("spread")).select(

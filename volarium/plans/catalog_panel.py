@@ -14,8 +14,8 @@ from volarium.session import stage
 TEXT = "CAST(date AS VARCHAR) AS date"
 
 
-def _out(df, *values, keys=("date", "ticker")):
-    return df.select(*[t.text_date() if k == "date" else k for k in keys], *[rounded(v).alias(v) for v in values])
+def _out(df, *values, keys=("date", "ticker"), digits=9):
+    return df.select(*[t.text_date() if k == "date" else k for k in keys], *[rounded(v, digits).alias(v) for v in values])
 
 
 @query("J8 A16", f"""WITH {q.SUPPLIER_CELLS}, {q.DENSE}
@@ -41,13 +41,13 @@ def fill_both_ways(spark, sf):
 
 @query("P9", f"""WITH {q.SUPPLIER_DENSE},
 prev AS (SELECT *, lag(value) OVER (PARTITION BY ticker ORDER BY pos) AS p FROM dense)
-SELECT {TEXT}, ticker, {q.rnd('1 / (value - p)', 'inverse_change')}
+SELECT {TEXT}, ticker, {q.rnd('1 / (value - p)', 'inverse_change', 5)}
 FROM prev WHERE value <> p AND exog IS NOT NULL""")
 def finite_rows(spark, sf):
     d = panel.shift(t.dense_suppliers(spark, sf), "value", 1, "p")
     change = F.col("value") - F.col("p")
     inverse = F.when(change == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), change))
-    return _out(panel.drop_incomplete_rows(d.withColumn("inverse_change", inverse), "inverse_change", "exog"), "inverse_change")
+    return _out(panel.drop_incomplete_rows(d.withColumn("inverse_change", inverse), "inverse_change", "exog"), "inverse_change", digits=5)
 
 
 @query("P10", f"""WITH {q.nation_cells('day')}, {q.DENSE},
@@ -206,9 +206,10 @@ def har_disjoint(spark, sf):
     return _out(har.har_features(t.dense_suppliers(spark, sf), har="disjoint"), "d", "w", "m")
 
 
-@query("W5", _har_sql("partial"))
+@query("W5", _har_sql("partial").replace("(value)", "(ln(value))"))
 def har_partial(spark, sf):
-    return _out(har.har_features(t.dense_suppliers(spark, sf), har="partial"), "d", "w", "m")
+    logs = t.dense_suppliers(spark, sf).withColumn("value", F.log("value"))
+    return _out(har.har_features(logs, har="partial"), "d", "w", "m")
 
 
 @query("W6", f"""WITH {q.SUPPLIER_DENSE},

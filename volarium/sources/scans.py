@@ -59,12 +59,12 @@ def run_key(name: str | Column) -> dict[str, Column]:
 def result_files(spark: SparkSession, path: str, universe: str, horizon: int, window: int = 22) -> DataFrame:
     """Wide forecast CSVs named by run key, restricted to one universe, horizon and re-fit step.
 
-    The glob prunes files by name before they are opened. Returns (model_key, date, ticker, value).
+    The glob prunes by name before anything is opened; a name may be a file or a folder of parts.
+    Returns (model_key, date, ticker, value).
     """
-    wide = (spark.read.option("header", True).option("pathGlobFilter", f"*_{universe}_W{window}_F{horizon}_pred.csv")
-            .csv(path))
+    wide = spark.read.option("header", True).csv(f"{path}/*_{universe}_W{window}_F{horizon}_pred.csv")
     first = wide.columns[0]
-    tagged = wide.select(F.col("_metadata.file_name").alias("file"), F.to_date(first).alias("date"),
-                         *wide.columns[1:])
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+_pred\.csv)", 1)
+    tagged = wide.select(name.alias("file"), F.to_date(first).alias("date"), *wide.columns[1:])
     long = melt(tagged, ids=("file", "date"))
     return long.select(run_key("file")["model_key"].alias("model_key"), "date", "ticker", "value")
