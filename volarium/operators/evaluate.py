@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import qlike_term, ratio, squared_error
+from volarium.operators.intraday import exact_percentiles
+from volarium.operators.ordering import running_total
 from volarium.session import Staged, attach, stage
 
 
@@ -74,10 +76,14 @@ def improvement(table: DataFrame, baseline: str, metrics: Sequence[str] = ("mse"
 
 
 def average_rank(table: DataFrame, metric: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ascending rank where ties share the mean of their places."""
-    part = [F.col(c) for c in by] or [F.lit(1)]
-    ordered, ties = Window.partitionBy(*part).orderBy(metric), Window.partitionBy(*part, metric)
-    return table.withColumn(name, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+    """Ascending rank where ties share the mean of their places.
+
+    Equal values are counted first; a value's rank follows from the number of smaller ones.
+    """
+    counts = table.groupBy(*by, metric).agg(F.count(F.lit(1)).alias("ties"))
+    placed = running_total(counts, by, metric, "ties", "smaller")
+    ranks = placed.table.select(*by, metric, (F.col("smaller") + (F.col("ties") + 1) / 2).alias(name))
+    return attach(table, Staged(ranks, placed.rows), [*by, metric])
 
 
 def place(table: DataFrame, metric: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -102,16 +108,13 @@ def extreme_rows(table: DataFrame, metric: str, label: str = "model", by: Sequen
 
 
 def describe(table: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles.
-
-    For loss tables and panels, whose groups are bounded by tickers x dates. Raw ticks go through
-    `exact_percentiles`, which does not hold a group in one task.
-    """
-    return table.groupBy(*by).agg(
+    """Count, mean, sample deviation, extremes and exact quartiles per group."""
+    base = table.groupBy(*by).agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"), F.percentile(column, F.lit(0.25)).alias("q25"),
-        F.percentile(column, F.lit(0.5)).alias("median"), F.percentile(column, F.lit(0.75)).alias("q75"),
-        F.max(column).alias("max"))
+        F.min(column).alias("min"), F.max(column).alias("max"))
+    quart = exact_percentiles(table, by, column, [0.25, 0.5, 0.75])
+    named = quart.table.withColumnsRenamed({"p0": "q25", "p1": "median", "p2": "q75"})
+    return attach(base, Staged(named, quart.rows), list(by))
 
 
 def label_regimes(market: DataFrame, dates: DataFrame, q: float = 0.9, value: str = "value") -> Staged:
@@ -134,8 +137,6 @@ def error_quartiles(pred: DataFrame, keys: Sequence[str] = ("model",), horizon:
 
     A model's cells may outgrow one task, so both go through the partitioned percentile.
     """
-    from volarium.operators.intraday import exact_percentiles
-
     f, y = F.col("yhat") / horizon, F.col("target") / horizon
     cells = pred.select(*keys, F.explode(F.array(
         F.struct(F.lit("error").alias("kind"), (f - y).alias("v")),

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import keyed_uniform
-from volarium.session import BROADCAST_ROWS, Staged
+from volarium.operators.ordering import number_rows
+from volarium.session import BROADCAST_ROWS, Staged, attach
 
 SELF = "self"
 
@@ -38,16 +39,11 @@ def edges_from_list(pairs: DataFrame, graph: str, symmetric: bool = True) -> Dat
 
 
 def ring_pairs(nodes: DataFrame, reach: int = 2) -> DataFrame:
-    """Each node with the next `reach` nodes in ticker order, closing the circle.
-
-    One running order over the node list (not over a panel); every node emits `reach` pairs.
-    """
-    order = Window.orderBy("ticker")
-    ranked = nodes.select("ticker", (F.row_number().over(order) - 1).alias("i"))
-    n = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    out = ranked.select(F.col("ticker").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step"), "i")
-    out = out.withColumn("j", F.pmod(F.col("i") + F.col("step"), n))
-    return out.join(ranked.select(F.col("ticker").alias("dst"), F.col("i").alias("j")), "j").select("src", "dst")
+    """Each node with the next `reach` nodes in ticker order, closing the circle: `reach` rows per node."""
+    ranked = number_rows(nodes.select("ticker"), "ticker", "i")
+    out = ranked.table.select(F.col("ticker").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step"), "i")
+    out = out.withColumn("j", F.pmod(F.col("i") + F.col("step"), F.lit(ranked.rows)))
+    return out.join(ranked.table.select(F.col("ticker").alias("dst"), F.col("i").alias("j")), "j").select("src", "dst")
 
 
 def random_edges(nodes: DataFrame, kind: str, seeds: Sequence[int], density: float | None = None) -> DataFrame:
@@ -57,14 +53,12 @@ def random_edges(nodes: DataFrame, kind: str, seeds: Sequence[int], density: flo
     `density`. The draw of a pair depends only on (seed, src, dst). Pairs come from a generator over
     ticker ranks, since a dense graph has one row per pair by definition.
     """
-    order = Window.orderBy("ticker")
-    ranked = nodes.select("ticker", F.row_number().over(order).alias("i"))
-    names = nodes.agg(F.sort_array(F.collect_list("ticker")).alias("names")).scalar()
-    n = F.size(names)
+    ranked = number_rows(nodes.select("ticker"), "ticker", "i")
+    last = F.lit(ranked.rows - 1)
     upper = (
-        ranked.filter(F.col("i") < n)
-        .select(F.col("ticker").alias("src"), F.explode(F.sequence(F.col("i") + 1, n)).alias("j"))
-        .select("src", F.element_at(names, F.col("j")).alias("dst"))
+        ranked.table.filter(F.col("i") < last)
+        .select(F.col("ticker").alias("src"), F.explode(F.sequence(F.col("i") + 1, last)).alias("j"))
+        .join(ranked.table.select(F.col("ticker").alias("dst"), F.col("i").alias("j")), "j")
         .withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
         .withColumn("u", keyed_uniform("seed", "src", "dst"))
     )
@@ -174,14 +168,13 @@ def cross_moments(panel: DataFrame, value: str, group: Sequence[str], block: int
     Needs `pos` and no missing cells.
     """
     group = list(group)
-    order = Window.orderBy("ticker")
-    names = panel.select("ticker").distinct()
-    block_of = names.select("ticker", F.floor((F.row_number().over(order) - 1) / block).cast("int").alias("blk"))
-    n_blocks = F.ceil(names.agg(F.count(F.lit(1)).alias("n")).scalar() / block).cast("int")
-    cells = panel.select(*group, "pos", "ticker", F.col(value).alias("x")).join(block_of, "ticker")
+    names = number_rows(panel.select("ticker").distinct(), "ticker", "i")
+    block_of = Staged(names.table.select("ticker", F.floor(F.col("i") / block).cast("int").alias("blk")), names.rows)
+    n_blocks = -(-names.rows // block)
+    cells = attach(panel.select(*group, "pos", "ticker", F.col(value).alias("x")), block_of, ["ticker"])
     cells = cells.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("int"))
     # A block meets itself and every other block; the task key is the ordered pair of blocks.
-    paired = cells.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumns({
+    paired = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumns({
         "bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")})
     schema = ", ".join([f"`{g}` {panel.schema[g].dataType.simpleString()}" for g in group]
                        + ["src string", "dst string", "n long", "sx double", "sy double", "sxy double"])

@@ -15,14 +15,33 @@ from pyspark.sql import functions as F
 from volarium.functions.scalars import relative_spread
 from volarium.session import Staged, attach, stage
 
+# First slice length, and the largest slice (in rows) that one task should sort.
 SLICE_SECONDS = 3600
+SLICE_ROWS = 2_000_000
 # Largest group that one task may hold for the built-in exact percentile.
-PERCENTILE_ROWS = 2_000_000
+PERCENTILE_ROWS = 1_000_000
 PERCENTILE_BINS = 1024
 
 
+def _slice(order: str, seconds: int) -> Column:
+    """Number of a wall-clock slice; grows with time and does not depend on the session time zone."""
+    day = F.unix_date(F.to_date(order)) * 86_400
+    return F.floor((day + F.hour(order) * 3600 + F.minute(order) * 60 + F.second(order)) / seconds)
+
+
+def slice_length(ticks: DataFrame, keys: Sequence[str], order: str, seconds: int = SLICE_SECONDS,
+                 slice_rows: int = SLICE_ROWS) -> int:
+    """Shorten the slices until the fullest one, counted, fits a task (or lasts one second)."""
+    while True:
+        counts = ticks.groupBy(*keys, _slice(order, seconds).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+        fullest = counts.agg(F.max("n").alias("n")).first()["n"] or 0
+        if fullest <= slice_rows or seconds == 1:
+            return seconds
+        seconds = max(1, seconds // (-(-fullest // slice_rows) + 1))
+
+
 def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
-              slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+              slice_seconds: int | None = None) -> DataFrame:
     """Add `rn` (1-based row number) and `prev` (previous value) within `keys` by `order`.
 
     Same result as `row_number` and `lag` over (keys ORDER BY order), but the sort is per time slice.
@@ -30,7 +49,8 @@ def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
     so the ticks shuffle once and no join touches them.
     """
     keys = list(keys)
-    sliced = ticks.withColumn("slice", F.floor(F.unix_micros(F.col(order).cast("timestamp")) / F.lit(slice_seconds * 1_000_000)))
+    seconds = slice_seconds or slice_length(ticks, keys, order)
+    sliced = ticks.withColumn("slice", _slice(order, seconds))
     per_slice = sliced.groupBy(*keys, "slice").agg(
         F.count(F.lit(1)).alias("n"), F.max_by(value, order).alias("last_value"))
     before = Window.partitionBy(*keys).orderBy("slice")
@@ -48,7 +68,7 @@ def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
 
 
 def log_return_by_day(ticks: DataFrame, price: str = "price", order: str = "ts",
-                      slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+                      slice_seconds: int | None = None) -> DataFrame:
     """ln(p_t) - ln(p_{t-1}) within (ticker, date); the first tick of a day has no return and is dropped.
 
     `rn` numbers the remaining rows of the day from 1.
@@ -121,6 +141,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
             data.groupBy(*keys).agg(*[F.percentile("x", F.lit(p)).alias(f"p{i}") for i, p in enumerate(probs)]),
             "percentiles")
 
+    # Later passes compare rows with stored bounds, so the rows must not be recomputed from here on.
+    data = stage(data, "percentile-rows").table
+    sizes = stage(
+        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")),
+        "percentile-sizes")
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p))) for p in probs])))
     cells = Staged(sizes.table.select(*keys, F.lit(0).cast("long").alias("cell"), "lo", "hi",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import keyed_uniform
+from volarium.operators.ordering import number_rows
 from volarium.session import Staged, attach, stage
 
 
@@ -47,9 +48,9 @@ def resampled_means(losses: Staged, models: Sequence[str], draws: DataFrame) ->
 def loss_matrix(losses: DataFrame, unit: str, models: Sequence[str], metric: str) -> Staged:
     """Wide losses with a 0-based position per unit (a ticker or a date); one row per unit."""
     wide = losses.groupBy(unit).pivot("model", list(models)).agg(F.first(metric)).dropna("any", subset=list(models))
-    order = Window.orderBy(unit)
-    return stage(wide.select((F.row_number().over(order) - 1).alias("pos"), *[F.col(f"`{m}`") for m in models]),
-                 "loss-matrix")
+    numbered = number_rows(wide, unit, "pos")
+    return Staged(numbered.table.select(F.col("pos").cast("int").alias("pos"), *[F.col(f"`{m}`") for m in models]),
+                  numbered.rows)
 
 
 def pair_moments(matrix: Staged, boot: DataFrame, models: Sequence[str]) -> dict[tuple[str, str], tuple[float, float]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import rounded
-from volarium.operators import evaluate, mcs
+from volarium.operators import evaluate, har, mcs
 from volarium.plans import sqlkit as q
 from volarium.plans import tables as t
 from volarium.plans.registry import query
@@ -57,8 +57,9 @@ def qlike_modes(spark, sf):
 
 @query("J5", f"""WITH {NPRED} SELECT model, count(*) AS n, round({q.MSE}, 6) + 0.0 AS mse FROM pred GROUP BY 1""")
 def truth_lookup(spark, sf):
-    pred = nation_predictions(spark, sf).select("model", "date", "ticker", "yhat")
-    truth = t.nation_features(spark, sf).table.select("date", "ticker", "target")
+    feats = t.nation_features(spark, sf).table
+    pred = t.lag_forecasts(feats).select("model", "date", "ticker", "yhat")
+    truth = feats.select("date", "ticker", "target")
     return evaluate.align_truth(pred, truth).groupBy("model").agg(
         F.count("target").alias("n"), rounded(evaluate.loss_columns()["mse"], 6).alias("mse"))
 
@@ -115,21 +116,22 @@ scored AS (SELECT * FROM market WHERE date IN (SELECT date FROM pred)),
 regimes AS (SELECT date, CASE WHEN value >= (SELECT quantile_cont(value, 0.9) FROM scored) THEN 'high' ELSE 'low' END AS regime FROM scored)"""
 
 
-def regimes(spark, sf, pred):
-    market = t.dense_suppliers(spark, sf).groupBy("date").agg(F.sum("value").alias("value"))
-    return evaluate.label_regimes(market, pred)
+def market_and_predictions(spark, sf, dense_panel=t.dense_suppliers):
+    """Forecasts and the market series of one panel that is built once."""
+    dense = stage(dense_panel(spark, sf), "dense").table
+    pred = t.lag_forecasts(stage(har.har_panel(dense), "features").table)
+    return pred, evaluate.label_regimes(dense.groupBy("date").agg(F.sum("value").alias("value")), pred)
 
 
 @query("J11 A4", f"WITH {PRED}, {REGIMES} SELECT {DATE}, regime FROM regimes")
 def regime_labels(spark, sf):
-    return regimes(spark, sf, predictions(spark, sf)).table.select(t.text_date(), "regime")
+    return market_and_predictions(spark, sf)[1].table.select(t.text_date(), "regime")
 
 
 @query("A8 J11", f"""WITH {PRED}, {REGIMES}
 SELECT model, regime, ticker, round({q.MSE}, 6) + 0.0 AS mse, round({q.QLIKE}, 6) + 0.0 AS qlike FROM pred JOIN regimes USING (date) GROUP BY 1, 2, 3""")
 def regime_losses(spark, sf):
-    pred = predictions(spark, sf)
-    return _round(evaluate.regime_losses(pred, regimes(spark, sf, pred)), ["model", "regime", "ticker"], ["mse", "qlike"])
+    return _round(evaluate.regime_losses(*market_and_predictions(spark, sf)), ["model", "regime", "ticker"], ["mse", "qlike"])
 
 
 @query("A17", f"""WITH {PRED}, e AS (SELECT model, 'error' AS kind, yhat - target AS v FROM pred UNION ALL SELECT model, 'ratio', yhat / target FROM pred)
@@ -300,9 +302,7 @@ def confidence_report(spark, sf):
 @query("M21 A8 J11 M20")
 def confidence_report_by_regime(spark, sf):
     """Reports for both metrics in both regimes, with the reference number of resamples."""
-    pred = stage(nation_predictions(spark, sf), "pred").table
-    market = t.dense_nations(spark, sf).groupBy("date").agg(F.sum("value").alias("value"))
-    losses = stage(evaluate.regime_losses(pred, evaluate.label_regimes(market, pred)), "losses").table
+    losses = stage(evaluate.regime_losses(*market_and_predictions(spark, sf, t.dense_nations)), "losses").table
     out = None
     for regime in ("low", "high"):
         for metric in ("mse", "qlike"):

@@ -194,8 +194,9 @@ def origin_schedule(spark, sf):
 SELECT origin, ticker, round(min(target) FILTER (is_train), 9) + 0.0 AS train_min FROM span GROUP BY 1, 2 HAVING min(target) FILTER (is_train) IS NOT NULL
   AND count(*) FILTER (pos = origin) > 0""")
 def training_minimum(spark, sf):
-    mins = backtest.training_minimum(daily_features(spark, sf), FIRST).filter(F.col("train_min").isNotNull())
-    keep = daily_features(spark, sf).agg(F.max("n_dates").alias("n")).scalar()
+    feats = daily_features(spark, sf)
+    mins = backtest.training_minimum(feats, FIRST).filter(F.col("train_min").isNotNull())
+    keep = feats.agg(F.max("n_dates").alias("n")).scalar()
     return mins.filter(F.col("origin") < keep - 1).select(
         F.col("origin").cast("long").alias("origin"), "ticker", rounded("train_min").alias("train_min"))
 

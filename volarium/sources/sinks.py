@@ -22,13 +22,16 @@ def wide_csv(panel: DataFrame, tickers: Sequence[str], path: str, value: str = "
 
 
 def forecast_store(pred: DataFrame, path: str) -> str:
-    """Append-safe store of forecasts: one folder per (run, origin), a re-run replaces only its own."""
-    (pred.repartition("run", "origin").write.partitionBy("run", "origin")
+    """Append-safe store of forecasts: one folder per (run, origin), a re-run replaces only its own.
+
+    Rebalancing gathers a folder's rows into few files and lets AQE split a folder that is too large.
+    """
+    (pred.hint("rebalance", "run", "origin").write.partitionBy("run", "origin")
      .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
     return path
 
 
 def quote_folders(quotes: DataFrame, path: str) -> str:
     """Quotes as CSV files, one folder per ticker and day."""
-    quotes.repartition("ticker", "date").write.partitionBy("ticker", "date").option("header", True).mode("overwrite").csv(path)
+    quotes.hint("rebalance", "ticker", "date").write.partitionBy("ticker", "date").option("header", True).mode("overwrite").csv(path)
     return path
