@@ -130,6 +130,7 @@ def search_penalty(moments: Staged, penalties: int = PENALTIES, refinements: int
     high = full_covariances(moments.table).groupBy("origin").agg(top.alias("high"))
     grid = stage(high.select("origin", _log_grid(F.col("high"), F.col("high") * GRID_RATIO, penalties, False)
                              .alias("penalties")), "penalties")
+    origins = grid.rows
     tried, by = None, Window.partitionBy("origin").orderBy(F.col("penalty").desc())
     for _ in range(refinements):
         scored = attach(covs.table, grid, ["origin"]).groupBy("origin", "fold").applyInPandas(
@@ -142,9 +143,10 @@ def search_penalty(moments: Staged, penalties: int = PENALTIES, refinements: int
             F.coalesce(F.lead("penalty").over(by), F.col("penalty") * GRID_RATIO).alias("low"))
         best = near.groupBy("origin").agg(F.max_by(
             F.struct("penalty", "high", "low"), F.struct("likelihood", -F.col("penalty"))).alias("b"))
-        grid = stage(best.select("origin", F.col("b.penalty").alias("penalty"),
-                                 _log_grid(F.col("b.high"), F.col("b.low"), penalties, True).alias("penalties")), "penalties")
-    return Staged(grid.table.select("origin", "penalty"), grid.rows)
+        # One row per origin, derived from the staged scores where it is needed.
+        grid = Staged(best.select("origin", F.col("b.penalty").alias("penalty"),
+                                  _log_grid(F.col("b.high"), F.col("b.low"), penalties, True).alias("penalties")), origins)
+    return Staged(grid.table.select("origin", "penalty"), origins)
 
 
 def _refit(weights: str):

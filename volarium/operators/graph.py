@@ -38,38 +38,42 @@ def edges_from_list(pairs: DataFrame, graph: str, symmetric: bool = True) -> Dat
     return merged.select(F.lit(graph).alias("graph"), "src", "dst", "w")
 
 
-def ring_pairs(nodes: DataFrame, reach: int = 2) -> DataFrame:
-    """Each node with the next `reach` nodes in ticker order, closing the circle: `reach` rows per node."""
-    ranked = number_rows(nodes.select("ticker"), "ticker", "i")
-    out = ranked.table.select(F.col("ticker").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step"), "i")
-    out = out.withColumn("j", F.pmod(F.col("i") + F.col("step"), F.lit(ranked.rows)))
-    return out.join(ranked.table.select(F.col("ticker").alias("dst"), F.col("i").alias("j")), "j").select("src", "dst")
+def number_nodes(nodes: DataFrame) -> Staged:
+    """(ticker, i): distinct nodes with their 0-based place in ticker order."""
+    return number_rows(nodes.select("ticker").distinct(), "ticker", "i")
 
 
-def random_edges(nodes: DataFrame, kind: str, seeds: Sequence[int], density: float | None = None) -> DataFrame:
-    """Seeded symmetric random graphs, one per seed, before normalisation.
+def ring_pairs(nodes: Staged, reach: int = 2) -> DataFrame:
+    """Each numbered node with the next `reach` nodes in ticker order, closing the circle: `reach` rows per node."""
+    out = nodes.table.select(F.col("ticker").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step"), "i")
+    out = out.withColumn("i", F.pmod(F.col("i") + F.col("step"), F.lit(nodes.rows)))
+    return attach(out, Staged(nodes.table.select(F.col("ticker").alias("dst"), "i"), nodes.rows), ["i"]).select("src", "dst")
+
+
+def random_edges(nodes: Staged, kind: str, seeds: Sequence[int], density: float | Sequence[float] | None = None) -> DataFrame:
+    """Seeded symmetric random graphs over numbered nodes, one per seed, before normalisation.
 
     ``uniform`` gives every pair a uniform weight; ``bernoulli`` keeps a pair with probability
-    `density`. The draw of a pair depends only on (seed, src, dst). Pairs come from a generator over
-    ticker ranks, since a dense graph has one row per pair by definition.
+    `density` (one value, or one per seed). The draw of a pair depends only on (seed, src, dst). Pairs
+    come from a generator over node numbers, since a dense graph has one row per pair by definition.
     """
-    ranked = number_rows(nodes.select("ticker"), "ticker", "i")
-    last = F.lit(ranked.rows - 1)
-    upper = (
-        ranked.table.filter(F.col("i") < last)
-        .select(F.col("ticker").alias("src"), F.explode(F.sequence(F.col("i") + 1, last)).alias("j"))
-        .join(ranked.table.select(F.col("ticker").alias("dst"), F.col("i").alias("j")), "j")
-        .withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    last = F.lit(nodes.rows - 1)
+    p = list(density) if isinstance(density, Sequence) else [density or 0.0] * len(seeds)
+    runs = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(float(d)).alias("p")) for s, d in zip(seeds, p)])
+    half = nodes.table.filter(F.col("i") < last).select(
+        F.col("ticker").alias("src"), F.explode(F.sequence(F.col("i") + 1, last)).alias("i"))
+    named = attach(half, Staged(nodes.table.select(F.col("ticker").alias("dst"), "i"), nodes.rows), ["i"])
+    drawn = named.select("src", "dst", F.explode(runs).alias("r")).select("src", "dst", "r.seed", "r.p") \
         .withColumn("u", keyed_uniform("seed", "src", "dst"))
-    )
     if kind == "uniform":
-        half = upper.select("seed", "src", "dst", F.col("u").alias("w"))
+        kept = drawn.withColumn("w", F.col("u"))
     elif kind == "bernoulli":
-        half = upper.filter(F.col("u") < F.lit(float(density))).select("seed", "src", "dst", F.lit(1.0).alias("w"))
+        kept = drawn.filter(F.col("u") < F.col("p")).withColumn("w", F.lit(1.0))
     else:
         raise ValueError(f"kind must be 'uniform' or 'bernoulli', found {kind!r}")
-    both = half.unionByName(half.select("seed", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.select(F.concat(F.lit("random_"), F.col("seed").cast("string")).alias("graph"), "src", "dst", "w")
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return kept.select(F.concat(F.lit("random_"), F.col("seed").cast("string")).alias("graph"), "w", ends.alias("e")) \
+        .select("graph", "e.src", "e.dst", "w")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -168,7 +172,7 @@ def cross_moments(panel: DataFrame, value: str, group: Sequence[str], block: int
     Needs `pos` and no missing cells.
     """
     group = list(group)
-    names = number_rows(panel.select("ticker").distinct(), "ticker", "i")
+    names = number_nodes(panel)
     block_of = Staged(names.table.select("ticker", F.floor(F.col("i") / block).cast("int").alias("blk")), names.rows)
     n_blocks = -(-names.rows // block)
     cells = attach(panel.select(*group, "pos", "ticker", F.col(value).alias("x")), block_of, ["ticker"])

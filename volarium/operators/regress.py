@@ -78,6 +78,35 @@ def fit_ols(train: DataFrame, xs: Sequence[str], y: str = "target", by: Sequence
     return stage(solve_gram(grams, len(xs), by), "ols")
 
 
+def fit_nested(train: DataFrame, models: dict[str, Sequence[str]], y: str = "target", by: Sequence[str] = ()) -> Staged:
+    """Several models over one table, reading it once: (by..., model, n, rank, intercept, beta).
+
+    One Gram over the union of the features serves every model; a model's own Gram is a selection of
+    its terms. `beta` follows the order of the model's features.
+    """
+    union = list(dict.fromkeys(x for xs in models.values() for x in xs))
+    at = {c: i for i, c in enumerate([*union, y])}
+    grams = stage(train.groupBy(*by).agg(*gram_terms(union, y)), "gram").table
+    fits = None
+    for model, xs in models.items():
+        cols = [*xs, y]
+        term = lambda i, j: f"g_q{min(at[cols[i]], at[cols[j]])}_{max(at[cols[i]], at[cols[j]])}"
+        picked = [F.col("g_n")] + [F.col(f"g_s{at[c]}") for c in cols] + [
+            F.col(term(i, j)) for i in range(len(cols)) for j in range(i, len(cols))]
+        own = grams.select(*by, *[c.alias(n) for c, n in zip(picked, gram_names(len(xs)))])
+        fit = solve_gram(own, len(xs), by).withColumn("model", F.lit(model))
+        fits = fit if fits is None else fits.unionByName(fit)
+    return stage(fits, "nested-ols")
+
+
+def predict_nested(df: DataFrame, coef: Staged, models: dict[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
+    """Forecasts of all models of `fit_nested` (single fit each) in one projection: (keep..., model, yhat)."""
+    pick = lambda m, c: coef.table.filter(F.col("model") == m).select(c).scalar()
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), (pick(m, "intercept") + dot(pick(m, "beta"), list(xs))).alias("yhat"))
+                      for m, xs in models.items()])
+    return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.model", "p.yhat")
+
+
 def predict(df: DataFrame, coef: Staged, xs: Sequence[str], by: Sequence[str] = (), name: str = "yhat") -> DataFrame:
     """Linear forecast; the coefficients of a single fit enter as scalars, of several fits by a join."""
     if not by:

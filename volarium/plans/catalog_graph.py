@@ -17,7 +17,7 @@ GCOLS = ("d", "w", "m")
 
 
 def nodes(spark, sf):
-    return t.read(spark, sf, "nation").select(F.col("n_name").alias("ticker")).distinct()
+    return graph.number_nodes(t.read(spark, sf, "nation").select(F.col("n_name").alias("ticker")))
 
 
 def nation_returns(spark, sf, unit="week"):
@@ -46,8 +46,7 @@ def identity_and_zero_graph(spark, sf):
 @query("M7 M9", f"""WITH {NODES}, {q.ring('nodes', 3)}
 SELECT src, dst, {q.rnd('w', 'w', 6)} FROM ring""")
 def ring_graph_weights(spark, sf):
-    n = nodes(spark, sf)
-    ring = graph.normalise(graph.edges_from_list(graph.ring_pairs(n, 3), "ring"))
+    ring = graph.normalise(graph.edges_from_list(graph.ring_pairs(nodes(spark, sf), 3), "ring"))
     return ring.select("src", "dst", rounded("w", 6).alias("w"))
 
 
@@ -156,8 +155,9 @@ def return_correlations(spark, sf):
 SELECT g.src, g.dst, CAST(CASE WHEN l.src IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS w
 FROM grid g LEFT JOIN links l ON l.src = g.src AND l.dst = g.dst""")
 def dense_adjacency(spark, sf):
-    names = nodes(spark, sf).agg(F.collect_list("ticker").alias("n")).scalar()
-    grid = nodes(spark, sf).select(F.lit("trade").alias("graph"), F.col("ticker").alias("src"), F.explode(names).alias("dst"))
+    n = nodes(spark, sf)
+    names = n.table.agg(F.collect_list("ticker").alias("n")).scalar()
+    grid = n.table.select(F.lit("trade").alias("graph"), F.col("ticker").alias("src"), F.explode(names).alias("dst"))
     return graph.reindex_edges(trade_edges(spark, sf), grid).select("src", "dst", "w")
 
 

@@ -96,16 +96,17 @@ GX3 = [*X3, *[f"g_{c}" for c in X3]]
 TOURNAMENT = {"HAR": X3, "HAR+IV": X6, "GHAR": GX3, "GHAR+IV": GX6}
 
 
+def nested_forecasts(feats, models, keep=("date", "ticker", "target")):
+    """Several models by one fixed split: one Gram over the training rows, one projection over the test rows."""
+    train, test = split(feats)
+    return regress.predict_nested(test, regress.fit_nested(train, models), models, keep)
+
+
 def tournament(feats, edges, term="ring"):
-    """Out-of-sample forecasts of HAR, HAR+IV, GHAR and GHAR+IV on one panel, by one fixed split."""
+    """Out-of-sample forecasts of HAR, HAR+IV, GHAR and GHAR+IV on one panel."""
     full = stage(graph.graph_panel(feats, edges, X6, ["self", term]), "graph-panel").table
     rename = lambda c: f"{term}_{c[2:]}" if c.startswith("g_") else f"self_{c}"
-    out = None
-    for model, xs in TOURNAMENT.items():
-        pred = fixed_split_forecast(full, [rename(c) for c in xs]).select(
-            F.lit(model).alias("model"), "date", "ticker", "target", "yhat")
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    return nested_forecasts(full, {m: [rename(c) for c in xs] for m, xs in TOURNAMENT.items()})
 
 
 def _tournament_sql(extra_ctes="", edges="ring"):

@@ -20,12 +20,11 @@ DATE = "CAST(date AS VARCHAR) AS date"
 
 def study_edges(nodes):
     """Ring and random graphs of several densities, each run with its own identity term."""
-    runs = graph.normalise(graph.edges_from_list(graph.ring_pairs(nodes, 2), "ring"))
-    for seed, p in DENSITIES.items():
-        runs = runs.unionByName(graph.normalise(graph.random_edges(nodes, "bernoulli", [seed], p)))
-    runs = stage(runs, "runs").table
-    names = runs.select(F.col("graph").alias("run")).distinct().agg(F.collect_list("run").alias("r")).scalar()
-    own = graph.identity_edges(nodes).withColumn("run", F.explode(names))
+    ring = graph.edges_from_list(graph.ring_pairs(nodes, 2), "ring")
+    control_graphs = graph.random_edges(nodes, "bernoulli", list(DENSITIES), list(DENSITIES.values()))
+    runs = graph.normalise(stage(ring.unionByName(control_graphs), "runs").table)
+    names = F.array(F.lit("ring"), *[F.lit(f"random_{s}") for s in DENSITIES])
+    own = graph.identity_edges(nodes.table).withColumn("run", F.explode(names))
     links = runs.select(F.col("graph").alias("run"), F.lit("g").alias("graph"), "src", "dst", "w")
     return stage(own.unionByName(links), "edges")
 
@@ -53,7 +52,7 @@ SELECT run, round(mse, 6) + 0.0 AS mse, round(density, 6) + 0.0 AS density, CAST
 def graph_study(spark, sf):
     """One regression per graph, all graphs in one job keyed by run."""
     feats = t.nation_features(spark, sf).table
-    edges = study_edges(stage(feats.select("ticker").distinct(), "nodes").table)
+    edges = study_edges(graph.number_nodes(feats))
     rows = stage(graph.graph_panel(feats, edges, X3, ["self", "g"], runs=["run"]), "study-panel").table
     xs = graph.term_columns(["self", "g"], X3)
     train, test = panel.split_by_fraction(rows, 0.7)
@@ -117,11 +116,8 @@ def effect_decomposition(spark, sf):
     """Gain of a second input split into extra parameters (Gaussian stand-in) and information."""
     real = stage(har.har_panel(t.dense_nations(spark, sf), exog="exog"), "real").table
     fake = stage(har.har_panel(pseudo_dense(spark, sf), exog="exog"), "fake").table
-    parts = [("HAR", real, X3), ("HAR+pseudo", fake, X6), ("HAR+IV", real, X6)]
-    out = None
-    for model, feats, xs in parts:
-        part = cm.fixed_split_forecast(feats, xs).select(F.lit(model).alias("model"), "target", "yhat")
-        out = part if out is None else out.unionByName(part)
+    out = cm.nested_forecasts(real, {"HAR": X3, "HAR+IV": X6}, ["target"]).unionByName(
+        cm.nested_forecasts(fake, {"HAR+pseudo": X6}, ["target"]))
     table = evaluate.effect_decomposition(evaluate.loss_table(out, ["model"]), "HAR", "HAR+pseudo", "HAR+IV")
     return table.select(*[rounded(c, 6).alias(c) for c in ("base", "control", "full")],
                         *[rounded(c, 5).alias(c) for c in ("total_effect", "parameter_effect", "information_effect")])

@@ -9,15 +9,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from volarium.operators.graph import edges_from_list, identity_edges, normalise, ring_pairs
+from volarium.operators.graph import edges_from_list, identity_edges, normalise, number_nodes, ring_pairs
 from volarium.operators.har import har_panel
 from volarium.operators.panel import densify, forward_fill
 from volarium.session import Staged, stage
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is inferred once per process and path, its data never kept."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +95,9 @@ def lag_forecasts(features: DataFrame) -> DataFrame:
 
 def ring_graph(features: DataFrame, reach: int = 2) -> Staged:
     """Identity plus the normalised ring over the tickers of a panel."""
-    nodes = stage(features.select("ticker").distinct(), "nodes").table
+    nodes = number_nodes(features)
     ring = normalise(edges_from_list(ring_pairs(nodes, reach), "ring"))
-    return stage(identity_edges(nodes).unionByName(ring), "edges")
+    return stage(identity_edges(nodes.table).unionByName(ring), "edges")
 
 
 def text_date(column: str = "date"):
