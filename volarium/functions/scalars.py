@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from math import pi
 
 from pyspark.sql import Column
@@ -96,8 +95,3 @@ def keyed_normal(*parts: str | Column | int) -> Column:
     u = keyed_uniform(F.lit("u"), *parts)
     v = keyed_uniform(F.lit("v"), *parts)
     return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * pi) * v)
-
-
-def dot(coefs: Column, columns: list[str]) -> Column:
-    """Inner product of an array column with named columns, unrolled so that it is code-generated."""
-    return reduce(lambda a, b: a + b, [coefs.getItem(i) * F.col(c) for i, c in enumerate(columns)])

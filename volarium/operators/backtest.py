@@ -77,7 +77,8 @@ def rolling_ols(features: DataFrame, xs: Sequence[str], first: int, step: int =
     """
     per_date = features.groupBy("pos").agg(*gram_terms(xs))
     w = Window.orderBy("pos").rangeBetween(-look_back, -1)
-    windowed = per_date.select("pos", *[F.sum(c).over(w).alias(c) for c in gram_names(len(xs))])
+    sums = {c: F.sum(c).over(w) for c in gram_names(len(xs))}
+    windowed = per_date.select("pos", *[s.alias(c) for c, s in sums.items()])
     at_origins = windowed.filter((F.col("pos") >= first) & (F.pmod(F.col("pos") - first, F.lit(step)) == 0))
     return stage(solve_gram(at_origins.withColumnRenamed("pos", "origin"), len(xs), ["origin"]), "rolling-ols")
 

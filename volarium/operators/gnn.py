@@ -230,7 +230,7 @@ def fit_tournament(features: DataFrame, edges: DataFrame, columns: Sequence[str]
     links = edges.select("origin", "graph", "src", "dst", "w").withColumn("k", F.explode(all_jobs)) \
         .filter(F.col("k.graph") == F.col("graph")).select("k.run", "k.seed", "origin", "src", "dst", "w")
 
-    def fit(key, data: pd.DataFrame, link: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, data: pd.DataFrame, link: pd.DataFrame) -> pd.DataFrame:
         if data.empty:
             return pd.DataFrame(columns=["run", "origin", "seed", "kind", "layer", "i", "j", "value"])
         run, seed, origin = key

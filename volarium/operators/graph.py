@@ -183,7 +183,7 @@ def cross_moments(panel: DataFrame, value: str, group: Sequence[str], block: int
     schema = ", ".join([f"`{g}` {panel.schema[g].dataType.simpleString()}" for g in group]
                        + ["src string", "dst string", "n long", "sx double", "sy double", "sxy double"])
 
-    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key[len(group)], key[len(group) + 1]
         left = pdf[pdf.blk == bi].pivot(index="pos", columns="ticker", values="x").sort_index()
         right = left if bi == bj else pdf[pdf.blk == bj].pivot(index="pos", columns="ticker", values="x").sort_index()

@@ -36,34 +36,40 @@ def bootstrap_draws(rows: Staged, n_boot: int, block: int, seed: int = 0) -> Dat
     return grid.select("b", "pos", F.pmod(base + F.col("pos"), F.lit(t)).cast("int").alias("idx"))
 
 
-def resampled_means(losses: Staged, models: Sequence[str], draws: DataFrame) -> DataFrame:
-    """One row per resample with every model's mean loss: (b, models...)."""
+def resampled_means(losses: Staged, n_models: int, draws: DataFrame) -> DataFrame:
+    """One row per resample with every model's mean loss: (b, l0, l1, ...)."""
     counts = draws.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("k"))
     wide = Staged(losses.table.withColumnRenamed("pos", "idx"), losses.rows)
     joined = attach(counts, wide, ["idx"])
     return joined.groupBy("b").agg(*[
-        (F.sum(F.col(f"`{m}`") * F.col("k")) / losses.rows).alias(m) for m in models])
+        (F.sum(F.col(f"l{m}") * F.col("k")) / losses.rows).alias(f"l{m}") for m in range(n_models)])
 
 
 def loss_matrix(losses: DataFrame, unit: str, models: Sequence[str], metric: str) -> Staged:
-    """Wide losses with a 0-based position per unit (a ticker or a date); one row per unit."""
-    wide = losses.groupBy(unit).pivot("model", list(models)).agg(F.first(metric)).dropna("any", subset=list(models))
-    numbered = number_rows(wide, unit, "pos")
-    return Staged(numbered.table.select(F.col("pos").cast("int").alias("pos"), *[F.col(f"`{m}`") for m in models]),
-                  numbered.rows)
+    """Wide losses with a 0-based position per unit (a ticker or a date): (pos, l0, l1, ...) in model order.
+
+    Units that lack a model's loss are left out, so that all means run over the same units.
+    """
+    wide = losses.groupBy(unit).pivot("model", list(models)).agg(F.first(metric))
+    named = wide.select(F.col(unit).alias("unit"), *[F.col(f"`{m}`").alias(f"l{k}") for k, m in enumerate(models)])
+    numbered = number_rows(named.dropna("any"), "unit", "pos")
+    return Staged(numbered.table.withColumn("pos", F.col("pos").cast("int")).drop("unit"), numbered.rows)
 
 
-def pair_moments(matrix: Staged, boot: DataFrame, models: Sequence[str]) -> dict[tuple[str, str], tuple[float, float]]:
+def pair_moments(matrix: Staged, boot: DataFrame, n_models: int) -> dict[tuple[int, int], tuple[float, float]]:
     """Mean difference and its bootstrap variance for every ordered pair of models.
 
     Differences are loss(j) - loss(i). M x M numbers, one aggregation each over losses and resamples.
     """
-    means = matrix.table.agg(*[F.avg(f"`{m}`").alias(m) for m in models]).first()
-    pairs = [(i, j) for i in range(len(models)) for j in range(len(models)) if i != j]
-    sq = boot.agg(*[
-        F.avg(F.pow(F.col(f"`{models[j]}`") - F.col(f"`{models[i]}`") - F.lit(means[models[j]] - means[models[i]]),
-                    F.lit(2.0))).alias(f"v{i}_{j}") for i, j in pairs]).first()
-    return {(models[i], models[j]): (means[models[j]] - means[models[i]], sq[f"v{i}_{j}"]) for i, j in pairs}
+    means = matrix.table.agg(*[F.avg(f"l{m}").alias(f"l{m}") for m in range(n_models)]).first()
+    pairs = [(i, j) for i in range(n_models) for j in range(n_models) if i != j]
+    gap = {(i, j): means[f"l{j}"] - means[f"l{i}"] for i, j in pairs}
+    sq = boot.agg(*[F.avg(F.pow(_diff(i, j) - F.lit(gap[i, j]), F.lit(2.0))).alias(f"v{i}_{j}") for i, j in pairs]).first()
+    return {(i, j): (gap[i, j], sq[f"v{i}_{j}"]) for i, j in pairs}
+
+
+def _diff(i: int, j: int) -> Column:
+    return F.col(f"l{j}") - F.col(f"l{i}")
 
 
 def check_arguments(alpha: float, n_boot: int, block: int, algorithm: str) -> None:
@@ -102,16 +108,13 @@ def confidence_set(losses: DataFrame, unit: str, models: Sequence[str], metric:
     models = sorted(models)
     spark = losses.sparkSession
     matrix = loss_matrix(losses, unit, models, metric)
-    boot = stage(resampled_means(matrix, models, bootstrap_draws(matrix, n_boot, block, seed)), "resamples").table
-    pair = pair_moments(matrix, boot, models)
-
-    def diff(i: str, j: str) -> Column:
-        return F.col(f"`{j}`") - F.col(f"`{i}`")
+    boot = stage(resampled_means(matrix, len(models), bootstrap_draws(matrix, n_boot, block, seed)), "resamples").table
+    pair = pair_moments(matrix, boot, len(models))
 
-    alive, rows = list(models), []
+    alive, rows = list(range(len(models))), []
     while len(alive) > 1:
         pairs = [(i, j) for i in alive for j in alive if i != j]
-        z = [(diff(*p) - F.lit(pair[p][0])) / F.lit(sqrt(pair[p][1])) if pair[p][1] > 0 else F.lit(0.0)
+        z = [(_diff(*p) - F.lit(pair[p][0])) / F.lit(sqrt(pair[p][1])) if pair[p][1] > 0 else F.lit(0.0)
              for p in pairs]
         obs = [_standardised(*pair[p]) for p in pairs]
         if algorithm == "R":
@@ -121,15 +124,15 @@ def confidence_set(losses: DataFrame, unit: str, models: Sequence[str], metric:
         # A model against the survivors: mean difference over the others, i.e. over m - 1 opponents.
         others = {j: [i for i in alive if i != j] for j in alive}
         dbar = {j: sum(pair[i, j][0] for i in others[j]) / len(others[j]) for j in alive}
-        spread = {j: F.avg(F.pow(_sum([diff(i, j) for i in others[j]]) / len(others[j]) - F.lit(dbar[j]), F.lit(2.0)))
+        spread = {j: F.avg(F.pow(_sum([_diff(i, j) for i in others[j]]) / len(others[j]) - F.lit(dbar[j]), F.lit(2.0)))
                   for j in alive}
         got = boot.agg(F.avg((stat > F.lit(seen)).cast("double")).alias("p"),
-                       *[spread[j].alias(f"s{k}") for k, j in enumerate(alive)]).first()
-        t = {j: _standardised(dbar[j], got[f"s{k}"]) for k, j in enumerate(alive)}
-        worst = max(alive, key=lambda j: (t[j], -alive.index(j)))
-        rows.append((worst, len(rows), float(got["p"])))
+                       *[spread[j].alias(f"s{j}") for j in alive]).first()
+        t = {j: _standardised(dbar[j], got[f"s{j}"]) for j in alive}
+        worst = max(alive, key=lambda j: (t[j], -j))
+        rows.append((models[worst], len(rows), float(got["p"])))
         alive.remove(worst)
-    rows.append((alive[0], len(rows), 1.0))
+    rows.append((models[alive[0]], len(rows), 1.0))
 
     table = spark.createDataFrame(rows, "model string, step int, raw_p double")
     running = Window.partitionBy(F.lit(1)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)

@@ -13,19 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volarium.functions.scalars import dot
 from volarium.session import Staged, attach, stage
 
 
 def gram_terms(xs: Sequence[str], y: str = "target") -> list[Column]:
     """n, sums, and upper-triangle products of (features..., y); additive over any split of the rows."""
     cols = [*xs, y]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    return [
-        F.count(F.lit(1)).cast("double").alias("g_n"),
-        *[F.sum(c).alias(f"g_s{i}") for i, c in enumerate(cols)],
-        *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g_q{i}_{j}") for i, j in pairs],
-    ]
+    terms = {"g_n": "CAST(count(1) AS DOUBLE)"}
+    terms |= {f"g_s{i}": f"sum(`{c}`)" for i, c in enumerate(cols)}
+    terms |= {f"g_q{i}_{j}": f"sum(`{cols[i]}` * `{cols[j]}`)" for i in range(len(cols)) for j in range(i, len(cols))}
+    return [F.expr(e).alias(n) for n, e in terms.items()]
 
 
 def gram_names(k: int) -> list[str]:
@@ -89,11 +86,10 @@ def fit_nested(train: DataFrame, models: dict[str, Sequence[str]], y: str = "tar
     grams = stage(train.groupBy(*by).agg(*gram_terms(union, y)), "gram").table
     fits = None
     for model, xs in models.items():
-        cols = [*xs, y]
-        term = lambda i, j: f"g_q{min(at[cols[i]], at[cols[j]])}_{max(at[cols[i]], at[cols[j]])}"
-        picked = [F.col("g_n")] + [F.col(f"g_s{at[c]}") for c in cols] + [
-            F.col(term(i, j)) for i in range(len(cols)) for j in range(i, len(cols))]
-        own = grams.select(*by, *[c.alias(n) for c, n in zip(picked, gram_names(len(xs)))])
+        cols = [at[c] for c in (*xs, y)]
+        picked = ["g_n", *[f"g_s{i}" for i in cols],
+                  *[f"g_q{min(i, j)}_{max(i, j)}" for k, i in enumerate(cols) for j in cols[k:]]]
+        own = grams.selectExpr(*by, *[f"{t} AS {n}" for t, n in zip(picked, gram_names(len(xs)))])
         fit = solve_gram(own, len(xs), by).withColumn("model", F.lit(model))
         fits = fit if fits is None else fits.unionByName(fit)
     return stage(fits, "nested-ols")
@@ -102,18 +98,24 @@ def fit_nested(train: DataFrame, models: dict[str, Sequence[str]], y: str = "tar
 def predict_nested(df: DataFrame, coef: Staged, models: dict[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
     """Forecasts of all models of `fit_nested` (single fit each) in one projection: (keep..., model, yhat)."""
     pick = lambda m, c: coef.table.filter(F.col("model") == m).select(c).scalar()
-    pairs = F.array(*[F.struct(F.lit(m).alias("model"), (pick(m, "intercept") + dot(pick(m, "beta"), list(xs))).alias("yhat"))
-                      for m, xs in models.items()])
-    return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.model", "p.yhat")
+    coefs = [pick(m, c).alias(f"{c}{k}") for k, m in enumerate(models) for c in ("intercept", "beta")]
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), linear(xs, f"intercept{k}", f"beta{k}").alias("yhat"))
+                      for k, (m, xs) in enumerate(models.items())])
+    return df.select("*", *coefs).select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.model", "p.yhat")
+
+
+def linear(xs: Sequence[str], intercept: str = "intercept", beta: str = "beta") -> Column:
+    """Intercept plus the inner product with the features, unrolled so that it is code-generated."""
+    return F.expr(" + ".join([intercept, *[f"{beta}[{i}] * `{x}`" for i, x in enumerate(xs)]]))
 
 
 def predict(df: DataFrame, coef: Staged, xs: Sequence[str], by: Sequence[str] = (), name: str = "yhat") -> DataFrame:
     """Linear forecast; the coefficients of a single fit enter as scalars, of several fits by a join."""
-    if not by:
-        beta, intercept = coef.table.select("beta").scalar(), coef.table.select("intercept").scalar()
-        return df.withColumn(name, intercept + dot(beta, list(xs)))
-    joined = attach(df, Staged(coef.table.select(*by, "intercept", "beta"), coef.rows), list(by))
-    return joined.withColumn(name, F.col("intercept") + dot(F.col("beta"), list(xs))).drop("intercept", "beta")
+    if by:
+        joined = attach(df, Staged(coef.table.select(*by, "intercept", "beta"), coef.rows), list(by))
+    else:
+        joined = df.withColumns({c: coef.table.select(c).scalar() for c in ("intercept", "beta")})
+    return joined.withColumn(name, linear(xs)).drop("intercept", "beta")
 
 
 def coefficients_long(coef: DataFrame, xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

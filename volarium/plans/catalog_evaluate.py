@@ -284,9 +284,9 @@ def block_bootstrap(spark, sf):
 SELECT i, j, round(dbar, 6) + 0.0 AS dbar, round(v * 1000, 6) + 0.0 AS variance FROM dij""")
 def loss_difference_moments(spark, sf):
     matrix = mcs.loss_matrix(unit_losses(spark, sf, "ticker"), "ticker", MODELS, "mse")
-    boot = stage(mcs.resampled_means(matrix, MODELS, mcs.bootstrap_draws(matrix, 500, 2)), "resamples").table
-    pair = mcs.pair_moments(matrix, boot, MODELS)
-    rows = spark.createDataFrame([(i, j, d, v * 1000) for (i, j), (d, v) in pair.items()], "i string, j string, dbar double, variance double")
+    boot = stage(mcs.resampled_means(matrix, len(MODELS), mcs.bootstrap_draws(matrix, 500, 2)), "resamples").table
+    pair = mcs.pair_moments(matrix, boot, len(MODELS))
+    rows = spark.createDataFrame([(MODELS[i], MODELS[j], d, v * 1000) for (i, j), (d, v) in pair.items()], "i string, j string, dbar double, variance double")
     return _round(rows, ["i", "j"], ["dbar", "variance"])
 
 
