@@ -75,7 +75,7 @@ def qlike_term(y: str | Column, f: str | Column, eps_true: float = 0.0, eps_pred
     else:
         raise ValueError(f"mode must be 'floor' or 'add', found {mode!r}")
     r = ratio(y, f)
-    # A zero ratio costs infinitely much and a negative one has no loss; neither is silently skipped.
+    # A zero or negative value on either side shows as infinity or NaN; it is not silently skipped.
     return (F.when(r > 0, r - F.log(r) - F.lit(offset)).when(r == 0, F.lit(float("inf")))
             .when(r.isNotNull(), F.lit(float("nan"))))
 

@@ -78,8 +78,10 @@ def improvement(table: DataFrame, baseline: str, metrics: Sequence[str] = ("mse"
 def average_rank(table: DataFrame, metric: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Ascending rank where ties share the mean of their places.
 
-    Equal values are counted first; a value's rank follows from the number of smaller ones.
+    Equal values are counted first; a value's rank follows from the number of smaller ones. The table is
+    staged, because the ranks are joined back on the metric and a recomputed sum may differ in its last bit.
     """
+    table = stage(table, "ranked").table
     counts = table.groupBy(*by, metric).agg(F.count(F.lit(1)).alias("ties"))
     placed = running_total(counts, by, metric, "ties", "smaller")
     ranks = placed.table.select(*by, metric, (F.col("smaller") + (F.col("ties") + 1) / 2).alias(name))

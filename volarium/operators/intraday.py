@@ -160,17 +160,20 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         bin_ = F.when(F.col("lo") < F.col("hi"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(F.lit(0))
         split = attach(rows, cells, on).withColumns({"parent": F.col("cell"), "cell": F.col("cell") * bins + bin_})
         counts = split.groupBy(*keys, "parent", "cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-            F.first("below").alias("below"), F.first("ranks").alias("ranks"))
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        parents = Staged(cells.table.select(*keys, F.col("cell").alias("parent"), "below", "ranks"), cells.rows)
         run = Window.partitionBy(*keys, "parent").orderBy("cell")
-        counts = counts.withColumn("below", F.col("below") + F.sum("n").over(run) - F.col("n"))
+        counts = attach(counts, parents, [*keys, "parent"]).withColumn(
+            "below", F.col("below") + F.sum("n").over(run) - F.col("n"))
         inside = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
         cells = stage(counts.withColumn("ranks", inside).filter(F.size("ranks") > 0)
                       .select(*on, "lo", "hi", "below", "ranks", "n"), "percentile-cells")
         rows = split.select(*keys, "x", "cell")
 
-    by_value = attach(rows, cells, on).groupBy(*on, "x").agg(
-        F.count(F.lit(1)).alias("n"), F.first("below").alias("below"), F.first("ranks").alias("ranks"))
+    kept = Staged(cells.table.select(*on, "below", "ranks"), cells.rows)
+    by_value = attach(rows, Staged(cells.table.select(*on), cells.rows), on, "left_semi") \
+        .groupBy(*on, "x").agg(F.count(F.lit(1)).alias("n"))
+    by_value = attach(by_value, kept, on)
     run = Window.partitionBy(*on).orderBy("x")
     placed = by_value.withColumn("below", F.col("below") + F.sum("n").over(run) - F.col("n"))
     hits = placed.withColumn("rank", F.explode(

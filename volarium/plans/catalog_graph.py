@@ -64,7 +64,7 @@ def trade_edges(spark, sf):
     """Nations linked by large, discounted, returned shipments between them."""
     li = t.read(spark, sf, "lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09) & (F.col("l_returnflag") == "R"))
     n = t.read(spark, sf, "nation")
-    ends = (li.select("l_orderkey", "l_suppkey")
+    ends = (li.select("l_orderkey", "l_suppkey").distinct()
             .join(t.read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(t.read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t.read(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))

@@ -55,7 +55,8 @@ class Staged:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, so that a finished application's tables go in one piece."""
+    return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> Staged:
