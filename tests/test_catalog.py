@@ -30,6 +30,14 @@ def test_matches_sql(spark, sf, con, name):
     assert canonical(mine) == canonical(theirs) and len(mine) > 0
 
 
+def test_nation_sums_do_not_depend_on_the_join(spark, sf):
+    from volarium.plans import tables
+
+    for cells, column in ((tables.nation_cells, "value"), (tables.order_cells, "ordered")):
+        a, b = (cells(spark, sf, max_rows=n).orderBy("date", "ticker").toPandas() for n in (500_000, 0))
+        assert a[["date", "ticker"]].equals(b[["date", "ticker"]]) and abs(a[column] - b[column]).max() < 1e-9
+
+
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["ticker", "mse", "qlike", "n"] and out.count() > 0

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from volarium.operators.graph import cross_moments
 from volarium.session import Staged, attach, stage
 
-# Penalties per grid, grid refinements, contiguous folds, range of the first grid.
+# Penalties per grid, grid refinements, contiguous folds, range of the first grid, penalty after a failure.
 PENALTIES = 4
 REFINEMENTS = 4
 FOLDS = 5
 GRID_RATIO = 0.01
+FALLBACK = 0.01
 
 
 def sparse_precision(cov: np.ndarray, penalty: float, start: tuple | None = None, tol: float = 1e-6,
@@ -149,29 +150,34 @@ def search_penalty(moments: Staged, penalties: int = PENALTIES, refinements: int
     return Staged(grid.table.select("origin", "penalty"), origins)
 
 
-def _refit(weights: str):
+def _refit(weights: str, fallback: float):
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
         names, cov = _square(pdf, "cov")
-        origin, penalty = int(pdf.origin.iloc[0]), float(pdf.penalty.iloc[0])
-        enough = int(pdf.n_dates.iloc[0]) > 1
-        try:
-            precision, _, ok = sparse_precision(cov, penalty) if enough else (np.eye(len(names)), None, False)
-            status = "ok" if ok else "not_converged" if enough else "identity"
-        except np.linalg.LinAlgError:
-            precision, status = np.eye(len(names)), "identity"
+        origin, chosen = int(pdf.origin.iloc[0]), float(pdf.penalty.iloc[0])
+        precision, used, status = np.eye(len(names)), chosen, "identity"
+        if int(pdf.n_dates.iloc[0]) > 1 and np.isfinite(cov).all():
+            for penalty, label in ((chosen, "ok"), (fallback, "fixed_penalty")):
+                try:
+                    found, _, converged = sparse_precision(cov, penalty)
+                except np.linalg.LinAlgError:
+                    continue
+                if converged:
+                    precision, used, status = found, penalty, label
+                    break
         i, j = np.nonzero(precision)
         w = np.ones(len(i)) if weights == "binary" else np.abs(precision[i, j])
         return pd.DataFrame({"origin": origin, "src": names[i], "dst": names[j], "w": w,
-                             "penalty": penalty, "status": status})
+                             "penalty": used, "status": status})
     return refit
 
 
-def estimate_graph(returns: DataFrame, weights: str = "binary", penalty: float | None = None,
+def estimate_graph(returns: DataFrame, weights: str = "binary", penalty: float | None = None, fallback: float = FALLBACK,
                    folds: int = FOLDS, penalties: int = PENALTIES, refinements: int = REFINEMENTS,
                    value: str = "ret") -> Staged:
     """Edges (origin, src, dst, w, penalty, status) of the precision matrix's support, diagonal included.
 
-    A fixed `penalty` skips the search. A failed fit falls back to the identity, told by `status`.
+    A fixed `penalty` skips the search. A fit that fails is repeated with the `fallback` penalty and
+    falls back to the identity after that, as it does with fewer than two dates; `status` tells which.
     """
     moments = fold_moments(returns, folds, value)
     full = full_covariances(moments.table)
@@ -180,7 +186,7 @@ def estimate_graph(returns: DataFrame, weights: str = "binary", penalty: float |
     else:
         with_penalty = full.withColumn("penalty", F.lit(float(penalty)))
     schema = "origin int, src string, dst string, w double, penalty double, status string"
-    return stage(with_penalty.groupBy("origin").applyInPandas(_refit(weights), schema), "glasso-edges")
+    return stage(with_penalty.groupBy("origin").applyInPandas(_refit(weights, fallback), schema), "glasso-edges")
 
 
 def sample_warning(returns: DataFrame, n_tickers: int, factor: float = 2.0) -> DataFrame:

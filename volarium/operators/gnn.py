@@ -144,9 +144,10 @@ def _gradients(p: dict, x, adj, depth, rectify, d_raw, h, trace) -> dict:
     return g
 
 
-def _start(rng: np.random.Generator, n_in: int, width: int, depth: int) -> dict:
+def _start(rng: np.random.Generator, n_in: int, width: int, depth: int, own: bool = True) -> dict:
     edge = 1 / np.sqrt(n_in)
     p = {0: rng.uniform(-edge, edge, (n_in + 1, 1))}
+    p[0][1:] *= own
     size = n_in
     for layer in range(1, depth + 1):
         bound = np.sqrt(2.0) * np.sqrt(6 / (size + width))
@@ -160,12 +161,13 @@ def _start(rng: np.random.Generator, n_in: int, width: int, depth: int) -> dict:
 def fit_window(x, y, adj, n_train: int, cfg: dict, seed: int) -> tuple[dict, np.ndarray]:
     """One fit: Adam on batches of dates, weights of the epoch with the lowest mean validation loss.
 
-    Layer biases stay 0 (row 0 of a graph layer is not trained). Returns (weights, losses per epoch).
+    Layer biases (row 0 of a graph layer) stay 0 unless `layer_bias`; without `own` the direct linear
+    term is only a bias. Returns (weights, losses per epoch).
     """
     depth, rectify = MODELS[cfg["model"]]
     width = cfg["hidden"] if rectify else 1
     rng = np.random.default_rng(seed)
-    p = _start(rng, x.shape[-1], width, depth)
+    p = _start(rng, x.shape[-1], width, depth, cfg["own"])
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     best, best_loss, history, step = p, np.inf, [], 0
@@ -184,8 +186,10 @@ def fit_window(x, y, adj, n_train: int, cfg: dict, seed: int) -> tuple[dict, np.
             step += 1
             for k in p:
                 d = g[k] + cfg["decay"] * p[k]
-                if 1 <= k <= depth:
+                if 1 <= k <= depth and not cfg["layer_bias"]:
                     d[0] = 0.0
+                if k == 0 and not cfg["own"]:
+                    d[1:] = 0.0
                 m[k] = 0.9 * m[k] + 0.1 * d
                 s[k] = 0.999 * s[k] + 0.001 * d ** 2
                 p = {**p, k: p[k] - cfg["rate"] * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-8)}
@@ -213,13 +217,13 @@ def fit_tournament(features: DataFrame, edges: DataFrame, columns: Sequence[str]
 
     features: (origin, part in train/valid, date, pos, ticker, inputs, target) from the origin schedule;
     edges: (origin, graph, src, dst, w); runs: dicts with name, model, graph, loss and optionally head,
-    hidden, epochs, batch, rate, decay, clip. A fit sees one origin's window (at most 1000 dates), never
+    hidden, epochs, batch, rate, decay, clip, own, layer_bias. A fit sees one origin's window (at most 1000 dates), never
     more, so work grows by adding fits. Output rows: weights (kind w), losses per epoch (train, valid),
     number of restarts (restarts).
     """
     spark = features.sparkSession
     configs = {r["name"]: {"head": "relu", "hidden": HIDDEN, "epochs": EPOCHS, "batch": BATCH, "rate": RATE,
-                           "decay": DECAY, **r} for r in runs}
+                           "decay": DECAY, "own": True, "layer_bias": False, **r} for r in runs}
     jobs = spark.createDataFrame([(n, c["graph"], int(s)) for n, c in configs.items() for s in seeds],
                                  "run string, graph string, seed int")
     jobs = Staged(jobs, len(configs) * len(seeds))

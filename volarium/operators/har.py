@@ -23,16 +23,18 @@ def lag_mean(column: str, first: int, last: int, partial: bool = False) -> Colum
 
 
 def har_features(dense: DataFrame, column: str = "value", har: str = "nested", prefix: str = "",
-                 warmup: str = "null") -> DataFrame:
+                 warmup: str = "null", gap: int = 0) -> DataFrame:
     """Add <prefix>d, <prefix>w, <prefix>m.
 
     har: ``nested`` means over 1, 5 and 22 dates; ``disjoint`` lag 1, lags 2-5, lags 6-22;
     ``partial`` the nested spans over whatever is available.
     warmup: ``zero`` writes 0 while fewer dates than the span exist, else NULL.
+    gap: dates left out between the newest lag and the target.
     """
     spans = {"nested": NESTED, "partial": NESTED, "disjoint": DISJOINT}[har]
     out = {}
     for name, (first, last) in spans.items():
+        first, last = first + gap, last + gap
         mean = lag_mean(column, first, last, partial=har == "partial")
         if warmup == "zero":
             mean = F.when(F.col("pos") < last, F.lit(0.0)).otherwise(mean)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import finite_or_null
+from volarium.session import attach, stage
 
 
 def by_ticker() -> WindowSpec:
@@ -97,6 +98,13 @@ def log_returns(dense: DataFrame, value: str = "value", name: str = "ret") -> Da
     return dense.withColumn(name, F.log(value) - F.log(F.lag(value).over(by_ticker())))
 
 
+def standardise(panel: DataFrame, column: str, by: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Centre and scale by the group's mean and population deviation; a constant group becomes 0."""
+    stats = stage(panel.groupBy(*by).agg(F.avg(column).alias("centre"), F.stddev_pop(column).alias("spread")), "spread")
+    scaled = F.when(F.col("spread") > 0, (F.col(column) - F.col("centre")) / F.col("spread")).otherwise(F.col(column) - F.col("centre"))
+    return attach(panel, stats, list(by), "left").withColumn(column, scaled).drop("centre", "spread")
+
+
 def until(panel: DataFrame, last_date: str) -> DataFrame:
     return panel.filter(F.col("date") <= F.lit(last_date).cast("date"))
 

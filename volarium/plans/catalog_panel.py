@@ -117,16 +117,6 @@ ORDER_CELLS = """order_cells AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
 
 
-def order_cells(spark, sf):
-    """(date, ticker, ordered): weekly order value per customer nation."""
-    o = t.read(spark, sf, "orders").groupBy("o_custkey", F.to_date(F.date_trunc("week", "o_orderdate")).alias("date")) \
-        .agg(F.sum("o_totalprice").alias("price"))
-    c = t.read(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    n = t.read(spark, sf, "nation").select("n_nationkey", "n_name")
-    named = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.groupBy("date", F.col("n_name").alias("ticker")).agg((F.sum("price") / 1e5).alias("ordered"))
-
-
 @query("J3 U2", f"""WITH {q.nation_cells()}, {ORDER_CELLS}
 SELECT 'shipped' AS panel, {TEXT}, ticker, {q.rnd('value', 'value')} FROM cells
 WHERE date IN (SELECT date FROM order_cells) AND ticker IN (SELECT ticker FROM order_cells)
@@ -134,7 +124,7 @@ UNION ALL SELECT 'ordered', CAST(date AS VARCHAR), ticker, round(ordered, 9) + 0
 WHERE date IN (SELECT date FROM cells) AND ticker IN (SELECT ticker FROM cells)""")
 def align_panels(spark, sf):
     shipped = stage(t.nation_cells(spark, sf), "shipped").table
-    ordered = stage(order_cells(spark, sf), "ordered").table
+    ordered = stage(t.order_cells(spark, sf), "ordered").table
     a, b = panel.align([shipped, ordered])
     a = _out(a, "value").withColumn("panel", F.lit("shipped"))
     b = _out(b.withColumnRenamed("ordered", "value"), "value").withColumn("panel", F.lit("ordered"))
@@ -146,14 +136,14 @@ SELECT CAST(coalesce(c.date, o.date) AS VARCHAR) AS date, coalesce(c.ticker, o.t
        {q.rnd('value', 'value')}, {q.rnd('ordered', 'ordered')}
 FROM cells c FULL OUTER JOIN order_cells o ON c.date = o.date AND c.ticker = o.ticker""")
 def outer_merge(spark, sf):
-    return _out(panel.outer_merge(t.nation_cells(spark, sf), order_cells(spark, sf), ["date", "ticker"]), "value", "ordered")
+    return _out(panel.outer_merge(t.nation_cells(spark, sf), t.order_cells(spark, sf), ["date", "ticker"]), "value", "ordered")
 
 
 @query("J9 J2", f"""WITH {q.nation_cells()}, {ORDER_CELLS}
 SELECT CAST(date AS VARCHAR) AS date, ticker, {q.rnd('value', 'value')}, {q.rnd('ordered', 'ordered')}
 FROM cells JOIN order_cells USING (date, ticker)""")
 def column_concat(spark, sf):
-    return _out(t.nation_cells(spark, sf).join(order_cells(spark, sf), ["date", "ticker"]), "value", "ordered")
+    return _out(t.nation_cells(spark, sf).join(t.order_cells(spark, sf), ["date", "ticker"]), "value", "ordered")
 
 
 @query("U3", f"""WITH {q.nation_cells('day')}
@@ -279,3 +269,17 @@ def reindex_with_zero(spark, sf):
     latest = t.nation_cells(spark, sf).groupBy("ticker").agg(F.max_by("value", "date").alias("value"))
     labels = t.read(spark, sf, "nation").select(F.col("n_name").alias("ticker"))
     return labels.join(latest, "ticker", "left").select("ticker", rounded(F.coalesce("value", F.lit(0.0))).alias("value"))
+
+
+@query("A11 T24", f"""WITH {q.SUPPLIER_DENSE}
+SELECT {TEXT}, ticker, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) + 0.0 AS value FROM dense WINDOW w AS (PARTITION BY ticker)""")
+def standardised_panel(spark, sf):
+    dense = stage(t.dense_suppliers(spark, sf).select("date", "ticker", "value"), "dense").table
+    return _out(panel.standardise(dense, "value"), "value", digits=6)
+
+
+@query("W4", f"""WITH {q.nation_dense()},
+h AS (SELECT date, ticker, {', '.join(f"{q.lag_mean('value', a + 1, b + 1)} AS {n}" for n, (a, b) in q.SPANS['disjoint'].items())} FROM dense)
+SELECT {TEXT}, ticker, {q.rnd('d', 'd')}, {q.rnd('w', 'w')}, {q.rnd('m', 'm')} FROM h""")
+def har_with_gap(spark, sf):
+    return _out(har.har_features(t.dense_nations(spark, sf), har="disjoint", gap=1), "d", "w", "m")

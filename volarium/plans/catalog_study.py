@@ -254,7 +254,9 @@ def score_gnnhar_3l(spark, sf):
 
 RUNS = [{"name": "HAR_mse", "model": "HAR", "graph": "ring", "loss": "mse"},
         {"name": "GNNHAR1L_mse", "model": "GNNHAR1L", "graph": "ring", "loss": "mse"},
-        {"name": "GNNHAR2L_qlike", "model": "GNNHAR2L", "graph": "ring", "loss": "qlike", "head": "softplus"}]
+        {"name": "GNNHAR2L_qlike", "model": "GNNHAR2L", "graph": "ring", "loss": "qlike", "head": "softplus"},
+        {"name": "GNNHAR2L_bare", "model": "GNNHAR2L", "graph": "ring", "loss": "qlike_floor", "head": "softplus", "own": False,
+         "layer_bias": True, "clip": 5.0}]
 FIRST, STEP, LOOK = 200, 44, 150
 
 

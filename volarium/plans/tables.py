@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from volarium.operators.graph import edges_from_list, identity_edges, normalise, number_nodes, ring_pairs
 from volarium.operators.har import har_panel
 from volarium.operators.panel import densify, forward_fill
-from volarium.session import Staged, stage
+from volarium.session import BROADCAST_ROWS, Staged, attach, stage
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -53,19 +53,43 @@ def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum("l_extendedprice") / 1e5).alias("value"), (F.sum("l_quantity") / 1e2).alias("exog"))
 
 
-def nation_cells(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    """(date, ticker, value, exog) per week or day and supplier nation.
+def by_nation(facts: DataFrame, members: DataFrame, nations: DataFrame, sums: dict[str, str],
+              max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Sums per (date, nation) of facts (key, date, ...) over members (key, nation key).
 
-    The line items are reduced per supplier and date before they meet the dimension tables.
+    While the members (counted) may be broadcast, the facts meet them in place and only nation sums are
+    shuffled. Beyond that the facts are first reduced per key and date, so that a key with a large share
+    of the rows reaches the join as one row per date.
     """
-    li = read(spark, sf_dir, "lineitem")
-    small = li.groupBy("l_suppkey", F.to_date(F.date_trunc(unit, "l_shipdate")).alias("date")).agg(
-        F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    named = small.join(s, small.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
-    return named.groupBy("date", F.col("n_name").alias("ticker")).agg(
-        (F.sum("price") / 1e5).alias("value"), (F.sum("quantity") / 1e2).alias("exog"))
+    names = members.join(nations, "nation").select("key", F.col("name").alias("ticker"))
+    aggs = [F.sum(c).alias(c) for c in sums]
+    small = Staged(names, members.count())
+    if small.rows > max_rows:
+        facts = facts.groupBy("key", "date").agg(*aggs)
+    joined = attach(facts, small, ["key"], max_rows=max_rows)
+    return joined.groupBy("date", "ticker").agg(*[F.expr(e).alias(n) for n, e in sums.items()])
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
+
+
+def nation_cells(spark: SparkSession, sf_dir: str, unit: str = "week", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(date, ticker, value, exog) per week or day and supplier nation."""
+    facts = read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("key"), F.to_date(F.date_trunc(unit, "l_shipdate")).alias("date"),
+        F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("exog"))
+    members = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    return by_nation(facts, members, nations(spark, sf_dir), {"value": "sum(value) / 1e5", "exog": "sum(exog) / 1e2"}, max_rows)
+
+
+def order_cells(spark: SparkSession, sf_dir: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(date, ticker, ordered): weekly order value per customer nation."""
+    facts = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("date"),
+        F.col("o_totalprice").alias("ordered"))
+    members = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    return by_nation(facts, members, nations(spark, sf_dir), {"ordered": "sum(ordered) / 1e5"}, max_rows)
 
 
 def dense_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
