@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.operators.graph import cross_moments
-from volarium.session import Staged, attach, stage
+from volarium.session import Staged, attach, spread, stage
 
 # Penalties per grid, grid refinements, contiguous folds, range of the first grid, penalty after a failure.
 PENALTIES = 4
@@ -134,7 +134,7 @@ def search_penalty(moments: Staged, penalties: int = PENALTIES, refinements: int
     origins = grid.rows
     tried, by = None, Window.partitionBy("origin").orderBy(F.col("penalty").desc())
     for _ in range(refinements):
-        scored = attach(covs.table, grid, ["origin"]).groupBy("origin", "fold").applyInPandas(
+        scored = spread(attach(covs.table, grid, ["origin"]), "origin", "fold").groupBy("origin", "fold").applyInPandas(
             _score_fold, "origin int, fold int, penalty double, likelihood double")
         means = scored.groupBy("origin", "penalty").agg(F.avg("likelihood").alias("likelihood"))
         tried = stage(means if tried is None else tried.table.unionByName(means), "scores")
@@ -150,12 +150,12 @@ def search_penalty(moments: Staged, penalties: int = PENALTIES, refinements: int
     return Staged(grid.table.select("origin", "penalty"), origins)
 
 
-def _refit(weights: str, fallback: float):
+def _refit(weights: str, fallback: float, min_dates: int):
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
         names, cov = _square(pdf, "cov")
         origin, chosen = int(pdf.origin.iloc[0]), float(pdf.penalty.iloc[0])
         precision, used, status = np.eye(len(names)), chosen, "identity"
-        if int(pdf.n_dates.iloc[0]) > 1 and np.isfinite(cov).all():
+        if int(pdf.n_dates.iloc[0]) >= min_dates and np.isfinite(cov).all():
             for penalty, label in ((chosen, "ok"), (fallback, "fixed_penalty")):
                 try:
                     found, _, converged = sparse_precision(cov, penalty)
@@ -173,11 +173,11 @@ def _refit(weights: str, fallback: float):
 
 def estimate_graph(returns: DataFrame, weights: str = "binary", penalty: float | None = None, fallback: float = FALLBACK,
                    folds: int = FOLDS, penalties: int = PENALTIES, refinements: int = REFINEMENTS,
-                   value: str = "ret") -> Staged:
+                   min_dates: int = 2, value: str = "ret") -> Staged:
     """Edges (origin, src, dst, w, penalty, status) of the precision matrix's support, diagonal included.
 
     A fixed `penalty` skips the search. A fit that fails is repeated with the `fallback` penalty and
-    falls back to the identity after that, as it does with fewer than two dates; `status` tells which.
+    falls back to the identity after that, as it does with fewer than `min_dates` dates; `status` tells which.
     """
     moments = fold_moments(returns, folds, value)
     full = full_covariances(moments.table)
@@ -186,7 +186,8 @@ def estimate_graph(returns: DataFrame, weights: str = "binary", penalty: float |
     else:
         with_penalty = full.withColumn("penalty", F.lit(float(penalty)))
     schema = "origin int, src string, dst string, w double, penalty double, status string"
-    return stage(with_penalty.groupBy("origin").applyInPandas(_refit(weights, fallback), schema), "glasso-edges")
+    fits = spread(with_penalty, "origin").groupBy("origin").applyInPandas(_refit(weights, fallback, min_dates), schema)
+    return stage(fits, "glasso-edges")
 
 
 def sample_warning(returns: DataFrame, n_tickers: int, factor: float = 2.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from volarium.functions.scalars import HEADS
 from volarium.operators.graph import SELF, graph_panel
-from volarium.session import Staged, attach, stage
+from volarium.session import Staged, attach, spread, stage
 
 # Hidden width, dates per batch, step size, weight decay, epochs.
 HIDDEN, BATCH, RATE, DECAY, EPOCHS = 9, 128, 1e-3, 1e-5, 5000
@@ -267,6 +267,7 @@ def fit_tournament(features: DataFrame, edges: DataFrame, columns: Sequence[str]
         return pd.DataFrame(out, columns=["run", "origin", "seed", "kind", "layer", "i", "j", "value"])
 
     keys = ["run", "seed", "origin"]
+    rows, links = spread(rows, *keys), spread(links, *keys)
     return stage(rows.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(fit, OUT), "gnn-fits")
 
 

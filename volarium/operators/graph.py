@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from volarium.functions.scalars import keyed_uniform
 from volarium.operators.ordering import number_rows
-from volarium.session import BROADCAST_ROWS, Staged, attach
+from volarium.session import BROADCAST_ROWS, Staged, attach, spread
 
 SELF = "self"
 
@@ -60,7 +60,7 @@ def random_edges(nodes: Staged, kind: str, seeds: Sequence[int], density: float
     last = F.lit(nodes.rows - 1)
     p = list(density) if isinstance(density, Sequence) else [density or 0.0] * len(seeds)
     runs = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(float(d)).alias("p")) for s, d in zip(seeds, p)])
-    half = nodes.table.filter(F.col("i") < last).select(
+    half = spread(nodes.table, "i").filter(F.col("i") < last).select(
         F.col("ticker").alias("src"), F.explode(F.sequence(F.col("i") + 1, last)).alias("i"))
     named = attach(half, Staged(nodes.table.select(F.col("ticker").alias("dst"), "i"), nodes.rows), ["i"])
     drawn = named.select("src", "dst", F.explode(runs).alias("r")).select("src", "dst", "r.seed", "r.p") \
@@ -194,7 +194,8 @@ def cross_moments(panel: DataFrame, value: str, group: Sequence[str], block: int
                 "sx": a.sum(0)[i], "sy": b.sum(0)[j], "sxy": (a.T @ b)[i, j]}
         return pd.DataFrame(out)
 
-    parts = paired.groupBy(*group, "bi", "bj", "chunk").applyInPandas(multiply, schema)
+    keys = [*group, "bi", "bj", "chunk"]
+    parts = spread(paired, *keys).groupBy(*keys).applyInPandas(multiply, schema)
     return parts.groupBy(*group, "src", "dst").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
 
 

@@ -15,18 +15,20 @@ from pyspark.sql import functions as F
 
 from volarium.functions.scalars import keyed_uniform
 from volarium.operators.ordering import number_rows
-from volarium.session import Staged, attach, stage
+from volarium.session import Staged, attach, spread, stage
 
 
 def bootstrap_draws(rows: Staged, n_boot: int, block: int, seed: int = 0) -> DataFrame:
     """(b, pos, idx): the row drawn at each position of each resample.
 
-    `rows` has one row per position `pos` = 0..t-1. A position starts a new block with probability
+    `rows` is the loss matrix with one row per position 0..t-1. A position starts a new block with probability
     1/block (position 0 always does) at a uniform row; inside a block the row index grows by one and
-    wraps around. Draws depend on (seed, b, pos) only.
+    wraps around. Draws depend on (seed, b, pos) only. Resamples are spread over the tasks before their
+    positions are generated; nothing after that moves by another key than b.
     """
     t = rows.rows
-    grid = rows.table.select("pos").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    boots = spread(rows.table.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")), "b")
+    grid = boots.select("b", F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("pos"))
     start = F.when(
         (F.col("pos") == 0) | (keyed_uniform(F.lit(f"r{seed}"), "b", "pos") < F.lit(1.0 / block)),
         F.floor(keyed_uniform(F.lit(f"s{seed}"), "b", "pos") * t) - F.col("pos"))

@@ -47,26 +47,24 @@ def calendar(panel: DataFrame) -> DataFrame:
 def densify(panel: DataFrame, values: Sequence[str] = ("value",)) -> DataFrame:
     """Complete the date x ticker grid; missing cells become rows with NULL values.
 
-    The grid is a generator over the scalar calendar, so no join is planned. Grid and observations
-    meet in one aggregation by (ticker, date) behind a single shuffle on ticker, and every later
-    window over ticker reuses that partitioning. Adds `pos` (0-based date position) and `n_dates`.
+    Only the observed cells and one marker per ticker are shuffled, by ticker. Behind that exchange a
+    marker expands to the whole scalar calendar and meets its ticker's cells in one aggregation, so the
+    grid itself never moves, no join is planned, and every later window over ticker reuses the
+    partitioning. Adds `pos` (0-based date position) and `n_dates`.
     """
-    cal = calendar_array(panel)
-    grid = (
-        panel.select("ticker").distinct()
-        .select("ticker", F.size(cal).alias("n_dates"), F.posexplode(cal).alias("pos", "date"))
-        .select("ticker", "date", "pos", "n_dates", *[F.lit(None).cast("double").alias(v) for v in values])
-    )
-    cells = panel.select(
-        "ticker", "date", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n_dates"),
-        *[F.col(v).cast("double").alias(v) for v in values],
-    )
+    dates = panel.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("d"))
+    slots = dates.select(F.transform("d", lambda d, i: F.struct(d.alias("date"), i.alias("pos"))).alias("s")).scalar()
+    cells = panel.select("ticker", "date", *[F.col(v).cast("double").alias(v) for v in values])
+    markers = panel.select("ticker").distinct().select(
+        "ticker", F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("double").alias(v) for v in values])
+    itself = F.array(F.struct(F.col("date").alias("date"), F.lit(None).cast("int").alias("pos")))
     return (
-        cells.unionByName(grid)
+        cells.filter("date IS NOT NULL").unionByName(markers)
         .repartition("ticker")
-        .groupBy("ticker", "date")
-        .agg(F.max("pos").alias("pos"), F.max("n_dates").alias("n_dates"),
-             *[F.max(v).alias(v) for v in values])
+        .select("ticker", *values, F.explode(F.when(F.col("date").isNull(), slots).otherwise(itself)).alias("slot"))
+        .groupBy("ticker", F.col("slot.date").alias("date"))
+        .agg(F.max("slot.pos").alias("pos"), *[F.max(v).alias(v) for v in values])
+        .withColumn("n_dates", F.size(slots))
     )
 
 

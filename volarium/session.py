@@ -82,3 +82,12 @@ def attach(big: DataFrame, small: Staged, on: list[str], how: str = "inner",
     if small.rows <= max_rows:
         return big.join(F.broadcast(small.table), on, how)
     return big.join(small.table, on, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on keys with an explicit partition count.
+
+    For rows that are small but expensive or about to be multiplied (a generator, a fit per group): AQE sizes
+    partitions by input bytes and would gather them in a few tasks; an explicit count is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
