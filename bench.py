@@ -20,7 +20,7 @@ HEADLINE = [
     "har_forecast_losses", "feature_panel", "log_returns_by_day", "realised_variance", "exact_percentiles",
     "neighbour_features", "graph_feature_panel", "return_correlations", "linear_tournament", "rolling_har",
     "rolling_graph_har", "graph_study", "regime_losses", "residual_statistics", "confidence_set_by_ticker",
-    "confidence_set_by_date", "effect_decomposition", "score_gnnhar_2l", "sparse_precision_graph", "network_fits",
+    "confidence_set_by_date", "effect_decomposition", "score_gnn_2l", "sparse_precision_graph", "network_fits",
 ]
 
 

@@ -12,7 +12,7 @@ from volarium.plans.catalog import CATALOG
 SAMPLE = ["dense_grid", "feature_panel", "complete_dates", "align_panels", "wide_csv_scan", "quote_directory_scan", "realised_variance",
           "percentiles_by_refinement", "return_correlations", "graph_feature_panel", "random_bernoulli_graphs", "har_forecast_losses",
           "ols_coefficients", "fixed_effects_forecast", "rolling_har", "forecast_floors", "regime_losses", "average_ranks",
-          "confidence_set_by_ticker", "effect_decomposition", "score_gnnhar_2l"]
+          "confidence_set_by_ticker", "effect_decomposition", "score_gnn_2l"]
 
 
 @pytest.fixture(scope="module")

@@ -230,7 +230,7 @@ def test_fits_and_scoring_agree(spark, six, features):
     spans = backtest.assign_origins(features, 60, 30, 50, 10).filter("part <> 'test'")
     links = graph.normalise(six).withColumn("origin", F.lit(60))
     runs = [{"name": m, "model": m, "graph": "six", "loss": "mse", "epochs": 40, "rate": 0.02, "batch": 16, "hidden": 4}
-            for m in ("HAR", "GHAR", "GNNHAR2L")]
+            for m in ("HAR", "GHAR", "GNN2L")]
     fits = gnn.fit_tournament(spans, links, ["d", "w", "m"], runs, [1, 2])
     again = gnn.fit_tournament(spans, links, ["d", "w", "m"], runs, [1, 2])
     key = ["run", "seed", "kind", "layer", "i", "j"]

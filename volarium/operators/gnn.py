@@ -21,7 +21,7 @@ from volarium.session import Staged, attach, spread, stage
 # Hidden width, dates per batch, step size, weight decay, epochs.
 HIDDEN, BATCH, RATE, DECAY, EPOCHS = 9, 128, 1e-3, 1e-5, 5000
 # Graph layers per model, and whether a layer's sum passes through a rectifier.
-MODELS = {"HAR": (0, True), "GHAR": (1, False), "GNNHAR1L": (1, True), "GNNHAR2L": (2, True), "GNNHAR3L": (3, True)}
+MODELS = {"HAR": (0, True), "GHAR": (1, False), "GNN1L": (1, True), "GNN2L": (2, True), "GNN3L": (3, True)}
 
 
 def pack_weights(weights: DataFrame, keys: Sequence[str] = ("run",)) -> Staged:

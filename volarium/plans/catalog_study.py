@@ -237,25 +237,25 @@ def score_ghar(spark, sf):
     return _score(spark, sf, "GHAR", "softplus")
 
 
-@query("M11", _score_sql("GNNHAR1L", "relu"))
-def score_gnnhar_1l(spark, sf):
-    return _score(spark, sf, "GNNHAR1L", "relu")
+@query("M11", _score_sql("GNN1L", "relu"))
+def score_gnn_1l(spark, sf):
+    return _score(spark, sf, "GNN1L", "relu")
 
 
-@query("M11", _score_sql("GNNHAR2L", "softplus"))
-def score_gnnhar_2l(spark, sf):
-    return _score(spark, sf, "GNNHAR2L", "softplus")
+@query("M11", _score_sql("GNN2L", "softplus"))
+def score_gnn_2l(spark, sf):
+    return _score(spark, sf, "GNN2L", "softplus")
 
 
-@query("M11", _score_sql("GNNHAR3L", "softplus_shift"))
-def score_gnnhar_3l(spark, sf):
-    return _score(spark, sf, "GNNHAR3L", "softplus_shift")
+@query("M11", _score_sql("GNN3L", "softplus_shift"))
+def score_gnn_3l(spark, sf):
+    return _score(spark, sf, "GNN3L", "softplus_shift")
 
 
 RUNS = [{"name": "HAR_mse", "model": "HAR", "graph": "ring", "loss": "mse"},
-        {"name": "GNNHAR1L_mse", "model": "GNNHAR1L", "graph": "ring", "loss": "mse"},
-        {"name": "GNNHAR2L_qlike", "model": "GNNHAR2L", "graph": "ring", "loss": "qlike", "head": "softplus"},
-        {"name": "GNNHAR2L_bare", "model": "GNNHAR2L", "graph": "ring", "loss": "qlike_floor", "head": "softplus", "own": False,
+        {"name": "GNN1L_mse", "model": "GNN1L", "graph": "ring", "loss": "mse"},
+        {"name": "GNN2L_qlike", "model": "GNN2L", "graph": "ring", "loss": "qlike", "head": "softplus"},
+        {"name": "GNN2L_bare", "model": "GNN2L", "graph": "ring", "loss": "qlike_floor", "head": "softplus", "own": False,
          "layer_bias": True, "clip": 5.0}]
 FIRST, STEP, LOOK = 200, 44, 150
 
