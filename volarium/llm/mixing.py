@@ -5,10 +5,11 @@ pattern, and a flow network routes word capacity: every pattern offers its words
 so on up to `max_copies` (convex costs of repetition); a pattern reaches its sources, and a source takes up to its
 target. A cheapest maximal flow is found by successive shortest paths. All paths through the same repetition cost
 the same, so they are augmented together by blocking flows, repetition by repetition. The flow of a pattern is then
-turned into documents: they are ordered by a seeded hash cut into bins, and every route takes a range of bins.
+turned into documents: they are ordered by a seeded hash cut into 65536 bins, a route takes bins in that order as long as they
+fit, and then a few later ones that fill the gap that is left.
 
-Only sums by pattern and bin boundaries of routes reach the driver: at most `max_patterns` patterns, checked.
-Selection is a narrow pass over the documents. A range ends within half a bin (1/65536 of a pattern, or a document) of its flow.
+Only the sums by pattern reach the driver: at most `max_patterns` patterns, checked; the plan, a bounded number of bin
+ranges for each pattern, is broadcast. Selection is a narrow pass over the documents.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty membership takes part in nothing;
 rows with equal ids and texts are taken alike; an empty table gives an empty table; other columns pass through unless they are
@@ -20,13 +21,17 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volarium.session import stage
 
 RESULT = ("size", "routes", "copies", "taken")
 BINS = 1 << 16
+EXTRA_BINS = 64
+PLAN = "pattern__ array<string>, plan__ array<struct<copy:int,source:string,first:int,last:int>>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -145,6 +150,44 @@ def route(patterns: Sequence[tuple[Sequence[int], float]], wanted: Sequence[floa
     return out
 
 
+def choose_bins(ways: Sequence[tuple[int, str | None, float]], bins: pa.Table) -> pa.Table:
+    """Bins for the routes (copy, source, words) of one pattern, as ranges.
+
+    The routes of a copy follow each other in bin order. A route takes bins as long as they fit; what is then missing is
+    made up by the following bins that still fit, at most EXTRA_BINS of them. A copy takes no bin twice.
+    """
+    order = np.argsort(bins.column("bin__").to_numpy())
+    number, size = bins.column("bin__").to_numpy()[order].tolist(), bins.column("size").to_numpy()[order].tolist()
+    free: dict[int, list[bool]] = {}
+    at: dict[int, int] = {}
+    plan = []
+    for copy, source, words in ways:
+        open_, k = free.setdefault(copy, [True] * len(size)), at.get(copy, 0)
+        taken, extra = [], 0
+        while k < len(size) and (not open_[k] or size[k] <= words):
+            if open_[k]:
+                words -= size[k]
+                open_[k] = False
+                taken.append(k)
+            k += 1
+        at[copy] = k
+        while k < len(size) and extra < EXTRA_BINS:
+            if open_[k] and size[k] <= words:
+                words -= size[k]
+                open_[k] = False
+                taken.append(k)
+                extra += 1
+            k += 1
+        for i in taken:
+            if plan and plan[-1]["copy"] == copy and plan[-1]["source"] == source and plan[-1]["next"] == i:
+                plan[-1].update(last=number[i], next=i + 1)
+            else:
+                plan.append({"copy": copy, "source": source, "first": number[i], "last": number[i], "next": i + 1})
+    rows = [[{k: v for k, v in x.items() if k != "next"} for x in plan]] if plan else []
+    kind = pa.list_(pa.struct([("copy", pa.int32()), ("source", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+    return pa.table({"pattern__": pa.array([bins.column("members__")[0].as_py()] * len(rows), pa.list_(pa.string())), "plan__": pa.array(rows, kind)})
+
+
 def mix(docs: DataFrame, membership: Column, weights: Callable[[int], float], budget_ratio: float = 1.5, max_copies: int = 2, seed: int = 11,
         id_col: str = "doc_id", text_col: str = "text", max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Documents with size, routes (copy and source of each time it is taken), copies and taken (words), and the table
@@ -169,19 +212,9 @@ def mix(docs: DataFrame, membership: Column, weights: Callable[[int], float], bu
     wanted = targets(sizes, [weights(k) for k in range(len(names))], budget_ratio * sum(r[1] for r in by_pattern), max_copies)
     routes = route([([place[s] for s in r[0]], r[1]) for r in by_pattern], wanted, max_copies)
 
-    # Each route is a range of the pattern's words in bin order; find the bins whose middle lies in it.
-    ranges = []
-    for k, (r, of) in enumerate(zip(by_pattern, routes, strict=True)):
-        at = {}
-        for copy, j, words in of:
-            start = at.get(copy, 0.0)
-            ranges.append((r[0], copy, names[j], float(start), float(start + words)))
-            at[copy] = start + words
-    plan = spark.createDataFrame(ranges, "pattern__ array<string>, copy int, source string, lo double, hi double")
-    middle = (F.sum("size").over(Window.partitionBy("members__").orderBy("bin__")) - F.col("size") / 2)
-    placed = binned.where("size > 0").withColumn("middle", middle).join(F.broadcast(plan), F.col("members__").eqNullSafe(F.col("pattern__"))).where("middle >= lo and middle < hi")
-    bounds = placed.groupBy("pattern__", "copy", "source").agg(F.min("bin__").alias("first"), F.max("bin__").alias("last"))
-    found = stage(bounds.groupBy("pattern__").agg(F.sort_array(F.collect_list(F.struct("copy", "source", "first", "last"))).alias("plan__")), "mix-plan")
+    ways = {tuple(r[0]): [(copy, names[j], words) for copy, j, words in of] for r, of in zip(by_pattern, routes, strict=True)}
+    chosen_bins = binned.where("size > 0").groupBy("members__").applyInArrow(lambda key, bins: choose_bins(ways.get(tuple(key[0].as_py()), ()), bins), PLAN)
+    found = stage(chosen_bins, "mix-plan")
     chosen = keyed.join(F.broadcast(found.table), F.col("members__").eqNullSafe(F.col("pattern__")), "left")
     hits = F.filter("plan__", lambda x: (F.col("bin__") >= x["first"]) & (F.col("bin__") <= x["last"]))
     taken = chosen.withColumn("routes", F.coalesce(F.transform(hits, lambda x: F.struct(x["copy"].alias("copy"), x["source"].alias("source"))),

@@ -44,7 +44,7 @@ class Rule:
 
 DEFAULT_RULES = (
     Rule("mean_word_chars", 2.0, 15.0),
-    Rule("symbols_per_word", None, 0.3),
+    Rule("symbols_per_word", None, 0.1),
     Rule("stop_word_share", 0.005, None),
     Rule("dup_line_share", None, 0.5),
     Rule("blank_line_share", None, 0.8),

@@ -64,7 +64,7 @@ m AS (
   FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND n_symbols / n_words <= 0.3 AND stops / n_words >= 0.005
+  NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND n_symbols / n_words <= 0.1 AND stops / n_words >= 0.005
     AND n_dup_lines / full_lines <= 0.5 AND (all_lines - full_lines) / all_lines <= 0.8 AS kept
 FROM f
 """
