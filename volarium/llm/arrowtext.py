@@ -16,7 +16,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 POSITION_BITS = np.uint64(24)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.llm.arrowtext import item_gram_hashes, runs_of, span_hashes, word_spans
-from volarium.llm.repeats import SPANS, Windows, anchors, block_rows, matched, passages, span_table
+from volarium.llm.repeats import SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack
 
 RESULT = ("n_words", "n_removed", "kept")
 
@@ -58,14 +58,20 @@ class SuffixAutomaton:
             if q is not None:
                 cur = q if size[q] == size[last] + 1 else self._split(last, w, q)
             else:
-                cur = self._state(size[last] + 1, 0, {})
+                cur = len(size)
+                nxt.append({})
+                link.append(0)
+                size.append(size[last] + 1)
+                low.append(label)
                 p = last
-                while p >= 0 and w not in nxt[p]:
-                    nxt[p][w] = cur
+                while p >= 0:
+                    moves = nxt[p]
+                    q = moves.get(w)
+                    if q is not None:
+                        link[cur] = q if size[q] == size[p] + 1 else self._split(p, w, q)
+                        break
+                    moves[w] = cur
                     p = link[p]
-                if p >= 0:
-                    q = nxt[p][w]
-                    link[cur] = q if size[q] == size[p] + 1 else self._split(p, w, q)
             if label < low[cur]:
                 low[cur] = label
             last = cur
@@ -100,7 +106,8 @@ def word_windows(length: int, gram: int = 6) -> Windows:
     def items(data, offsets):
         starts, ends, bounds = word_spans(data, offsets)
         return item_gram_hashes(span_hashes(data, starts, ends), gram), bounds
-    return Windows(length, gram, items, bytes.split, lambda words, a, b: b" ".join(words[a:b + length]))
+    return Windows(length, gram, items, bytes.split, lambda words, a, b: b" ".join(words[a:b + length]),
+                   lambda words, a: b" ".join(words[a:a + length]))
 
 
 def decide(shard: pa.Table, length: int) -> pa.Table:
@@ -117,18 +124,16 @@ def decide(shard: pa.Table, length: int) -> pa.Table:
         automaton.add(words, lowest[c])
     automaton.close()
     holders = {c: automaton.first_holders(words, length) for c, words in coded.items()}
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    for c, block, keys, ids, starts in zip(ctx, *(shard.column(n).to_pylist() for n in ("block", "row_keys", "ids", "starts")), strict=True):
+    out: list[tuple[int, int, int, int]] = []
+    for c, block, places in zip(ctx, shard.column("block__").to_pylist(), shard.column("places").to_pylist(), strict=True):
         first = holders[c]
         low, high = min(first), max(first)
-        for key, doc, start in zip(keys, ids, starts, strict=True):
+        for key, doc, start in unpack(places):
             if low >= doc:
                 continue
             runs = [(0, len(first) - 1)] if high < doc else zip(*(x.tolist() for x in runs_of(np.asarray(first) < doc)), strict=True)
-            for a, b in runs:
-                for column, value in zip(out, (block, key, start + a, start + b), strict=True):
-                    column.append(value)
-    return span_table(*out)
+            out.extend((block, key, start + a, start + b) for a, b in runs)
+    return span_table(out)
 
 
 def drop_earlier_passages(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,9 +149,7 @@ def drop_earlier_passages(docs: DataFrame, length: int = 13, id_col: str = "doc_
     names = docs.columns
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_row: dict[int, list[tuple[int, int]]] = {}
-        for key, a, b in zip(*(right.column(n).to_pylist() for n in ("row_key", "first", "last")), strict=True):
-            by_row.setdefault(key, []).append((a, b))
+        by_row = spans_by_row(right)
         n_words, n_removed, kept = [], [], []
         for key, text in zip(left.column("row_key__").to_pylist(), left.column(text_col).cast(pa.binary()).to_pylist(), strict=True):
             words = (text or b"").split()
@@ -166,4 +169,4 @@ def drop_earlier_passages(docs: DataFrame, length: int = 13, id_col: str = "doc_
         return out
 
     schema = blocked.select(*names).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
-    return blocked.withColumnRenamed("block__", "block").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
+    return blocked.groupBy("block__").cogroup(spans.groupBy("block__")).applyInArrow(cut, schema)

@@ -7,7 +7,7 @@ also starts anywhere else, in the same document or another, is removed; windows
 their first bytes and written as tables. A new batch gets its array, is merge-scanned against every existing
 level for suffixes that agree, and becomes a level of size one; two levels of equal size merge into one of
 double size, so an entry is rewritten at most log2(batches) times. The passages around agreeing suffixes are dealt to
-shards, where suffix ranks by prefix doubling up to `length` bytes tell which windows occur again.
+shards, where the ranks of suffixes up to `length` bytes tell which windows occur again.
 
 Defined cases: a null text is empty; texts shorter than `length` bytes lose nothing; repeated rows are
 occurrences of their own, also with equal or null ids; an empty table gives an empty table; other columns pass
@@ -20,15 +20,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volarium.llm.arrowtext import byte_gram_hashes, runs_of
-from volarium.llm.repeats import HOT_OCCURRENCES, SPANS, Windows, anchors, block_rows, passages, span_table
+from volarium.llm.repeats import HOT, SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack
 from volarium.session import Staged, stage
 
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 ROW_ID = "row_id__"
+RANKED_BYTES = 1 << 20  # bytes of passages that are ranked together
 
 
 @dataclass
@@ -69,62 +71,79 @@ class IndexFamily:
             hashes = hashes.unionByName(more)
         for level in self.levels[1:]:
             rows = rows.unionByName(level.table)
-        rows = rows.join(hashes.distinct(), "hash", "left_semi")
-        total = rows.groupBy("hash").agg((F.sum("n") > HOT_OCCURRENCES).alias("hot"))
-        return stage(rows.join(total, "hash").select("block", "hash", "hot").distinct(), "suffix-matches")
+        return matched(rows.join(hashes.distinct(), "hash", "left_semi"), "suffix-matches")
 
 
 def byte_windows(length: int, gram: int) -> Windows:
     def items(data, offsets):
         grams = byte_gram_hashes(data, gram)
         return np.concatenate((grams, np.zeros(len(data) - len(grams), np.uint64))), offsets
-    return Windows(length, gram, items, lambda text: text, lambda text, a, b: text[a:b + length])
+    return Windows(length, gram, items, lambda text: text, lambda text, a, b: text[a:b + length], lambda text, a: xxhash.xxh3_128_digest(text[a:a + length]))
 
 
 def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every position's first `length` bytes among all suffixes of `data`, by prefix doubling.
-
-    Positions whose window crosses the end get no meaningful rank; callers ask for whole windows only.
-    """
+    """Rank of every position's first `length` bytes among the suffixes of `data`: the order of a suffix array cut at
+    `length` bytes, by tripling the compared prefix. Only positions whose window ends inside `data` have a rank."""
     have, rank = 1, data.astype(np.int64)
     while have < length:
-        step = min(have, length - have)
-        rank = np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:] if len(rank) > step else rank[:0], return_inverse=True)[1]
-        have += step
+        top = int(rank.max(initial=0)) + 1
+        times = 3 if top < 1 << 21 and have * 2 < length else 2
+        reach = min(have * times, length)
+        steps = [0, have, reach - have] if times == 3 else [0, reach - have]
+        count = max(0, len(rank) - (reach - have))
+        value = rank[:count]
+        for step in steps[1:]:
+            value = value * top + rank[step:step + count]
+        rank = np.unique(value, return_inverse=True)[1]
+        have = reach
     return rank
 
 
+def repeated_runs(passages_: list[bytes], times: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """For each of several distinct passages the runs of windows that occur more than once among them, `times` counted."""
+    sizes = np.asarray([len(c) for c in passages_])
+    ends = np.cumsum(sizes)
+    counts = sizes - length + 1
+    rank = window_ranks(np.frombuffer(b"".join(passages_), np.uint8), length)
+    at = np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    found = np.bincount(rank[at], weights=np.repeat(times, counts), minlength=int(rank.max()) + 1)
+    again = np.split(found[rank[at]] > 1, np.cumsum(counts)[:-1])
+    return [list(zip(*(x.tolist() for x in runs_of(f)), strict=True)) for f in again]
+
+
 def decide(shard: pa.Table, length: int) -> pa.Table:
-    """Windows of the shard's passages that occur more than once, as runs per row."""
-    ctx = shard.column("ctx").to_pylist()
-    keys, starts = shard.column("row_keys").to_pylist(), shard.column("starts").to_pylist()
-    blocks = shard.column("block").to_pylist()
-    seen: dict[bytes, int] = {}
-    for c, k in zip(ctx, keys, strict=True):
-        seen[c] = seen.get(c, 0) + len(k)
-    flags = {c: None for c in seen}
-    groups = list(seen)
-    joined = np.frombuffer(b"".join(groups), np.uint8)
-    ends = np.cumsum([len(c) for c in groups]) if groups else np.zeros(0, np.int64)
-    begins = ends - np.asarray([len(c) for c in groups], np.int64)
-    if groups:
-        rank = window_ranks(joined, length)
-        whole = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)])
-        owner = np.repeat(np.arange(len(groups)), ends - begins - length + 1)
-        times = np.bincount(rank[whole], weights=np.asarray([seen[c] for c in groups])[owner], minlength=int(rank.max()) + 1)
-        again = times[rank[whole]] > 1
-        at = 0
-        for c, b, e in zip(groups, begins.tolist(), ends.tolist(), strict=True):
-            count = e - b - length + 1
-            flags[c] = tuple(x.tolist() for x in runs_of(again[at:at + count]))
-            at += count
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    for c, block, row_keys, offsets in zip(ctx, blocks, keys, starts, strict=True):
-        for a, b in zip(*flags[c], strict=True):
-            for key, start in zip(row_keys, offsets, strict=True):
-                for column, value in zip(out, (block, key, start + a, start + b), strict=True):
-                    column.append(value)
-    return span_table(*out)
+    """Windows of the shard's passages that occur more than once, as runs per row.
+
+    Windows of one passage differ, and equal windows share their anchor, so only anchors with several distinct passages
+    need suffix ranks; a passage that is its anchor's only one is repeated as a whole or not at all.
+    """
+    ctx, anchor = shard.column("ctx").to_pylist(), shard.column("anchor").to_pylist()
+    places = shard.column("places").to_pylist()
+    times: dict[tuple[int, bytes], int] = {}
+    for a, c, p in zip(anchor, ctx, places, strict=True):
+        times[a, c] = times.get((a, c), 0) + len(p) // 24
+    by_anchor: dict[int, list[bytes]] = {}
+    for a, c in times:
+        if a != HOT:
+            by_anchor.setdefault(a, []).append(c)
+    runs: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    batch: list[tuple[int, bytes]] = []
+    held = 0
+    several = [a for a, c in by_anchor.items() if len(c) > 1]
+    for k, a in enumerate(several):
+        batch.extend((a, c) for c in by_anchor[a])
+        held += sum(map(len, by_anchor[a]))
+        if held >= RANKED_BYTES or k == len(several) - 1:
+            runs.update(zip(batch, repeated_runs([c for _, c in batch], [times[x] for x in batch], length), strict=True))
+            batch, held = [], 0
+    out: list[tuple[int, int, int, int]] = []
+    for a, c, block, p in zip(anchor, ctx, shard.column("block__").to_pylist(), places, strict=True):
+        found = runs.get((a, c))
+        if found is None:
+            found = [(0, 0 if a == HOT else len(c) - length)] if times[a, c] > 1 else []
+        for key, _, start in unpack(p) if found else ():
+            out.extend((block, key, start + x, start + y) for x, y in found)
+    return span_table(out)
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +159,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, bat
     names = docs.columns
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_row: dict[int, list[tuple[int, int]]] = {}
-        for key, a, b in zip(*(right.column(n).to_pylist() for n in ("row_key", "first", "last")), strict=True):
-            by_row.setdefault(key, []).append((a, b))
+        by_row = spans_by_row(right)
         sizes, removed, spans_, kept = [], [], [], []
         for key, text in zip(left.column("row_key__").to_pylist(), left.column(text_col).cast(pa.binary()).to_pylist(), strict=True):
             text = text or b""
@@ -166,4 +183,4 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, bat
 
     n = F.lit(0).cast("long")
     schema = blocked.select(*names).withColumns({"n_bytes": n, "n_removed": n, "n_spans": n, "kept": F.lit(b"")}).schema
-    return blocked.withColumnRenamed("block__", "block").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
+    return keyed.groupBy("block__").cogroup(spans.groupBy("block__")).applyInArrow(cut, schema)

@@ -154,7 +154,8 @@ def choose_bins(ways: Sequence[tuple[int, str | None, float]], bins: pa.Table) -
     """Bins for the routes (copy, source, words) of one pattern, as ranges.
 
     The routes of a copy follow each other in bin order. A route takes bins as long as they fit; what is then missing is
-    made up by the following bins that still fit, at most EXTRA_BINS of them. A copy takes no bin twice.
+    made up by the following bins that still fit, at most EXTRA_BINS of them, and by one more bin if that comes nearer. A copy takes
+    no bin twice.
     """
     order = np.argsort(bins.column("bin__").to_numpy())
     number, size = bins.column("bin__").to_numpy()[order].tolist(), bins.column("size").to_numpy()[order].tolist()
@@ -178,6 +179,10 @@ def choose_bins(ways: Sequence[tuple[int, str | None, float]], bins: pa.Table) -
                 taken.append(k)
                 extra += 1
             k += 1
+        best = min((i for i in range(len(size)) if open_[i]), key=lambda i: abs(size[i] - words), default=None)
+        if best is not None and abs(size[best] - words) < words:
+            open_[best] = False
+            taken.append(best)
         for i in taken:
             if plan and plan[-1]["copy"] == copy and plan[-1]["source"] == source and plan[-1]["next"] == i:
                 plan[-1].update(last=number[i], next=i + 1)

@@ -16,6 +16,7 @@ The documents are shuffled once, by block; both passes over them read that excha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,10 @@ BLOCK_ROWS = 2048          # documents of a block, on average
 SHARD_PASSAGES = 6000      # passages of a shard, on average
 HOT_OCCURRENCES = 4000     # occurrences of an anchor beyond which its windows are sharded one by one
 
-PASSAGES = "shard long, ctx binary, block long, lo long, row_keys array<long>, ids array<long>, starts array<long>"
-SPANS = "block long, row_key long, first long, last long"
+HOT = -1                   # anchor of a passage that is a single window
+
+PASSAGES = "shard long, anchor long, ctx binary, block__ long, lo long, places binary"
+SPANS = "block__ long, spans binary"
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,7 @@ class Windows:
     items: Callable                 # (data, offsets) -> (gram hashes, bounds of the rows in items)
     cut: Callable                   # (bytes of a row) -> object that `passage` slices
     passage: Callable               # (cut, first, last) -> bytes of the windows first..last
+    single: Callable                # (cut, first) -> bytes that stand for the one window, equal for equal windows only
 
 
 def block_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -89,59 +93,76 @@ def anchors(docs: DataFrame, windows: Windows, text_col: str, id_col: str) -> Da
     return docs.select(text_col, F.col(id_col).cast("long"), "block__").mapInArrow(scan, "hash long, block long, lo long, hi long, n long")
 
 
-def mark_hot(found: DataFrame) -> DataFrame:
-    """(block, hash, hot) of repeated anchors. A hash has one row per block and chunk at most."""
-    n = F.sum("n").over(Window.partitionBy("hash"))
-    return found.select("block", "hash", (n > HOT_OCCURRENCES).alias("hot"), "n")
+def matched(found: DataFrame, label: str) -> Staged:
+    """(block, hash, hot, n) of repeated anchors, n being the anchor's occurrences in the block."""
+    total = F.sum("n").over(Window.partitionBy("hash"))
+    marked = found.select("block", "hash", (total > HOT_OCCURRENCES).alias("hot"), "n")
+    return stage(marked.groupBy("block", "hash", "hot").agg(F.sum("n").alias("n")), label)
+
 
+def passages(blocked: DataFrame, wanted: Staged, windows: Windows, text_col: str, id_col: str) -> DataFrame:
+    """The distinct passages of each block around its wanted anchors, with the rows that hold them.
 
-def passages(docs: DataFrame, wanted: Staged, windows: Windows, text_col: str, id_col: str) -> DataFrame:
-    """The distinct passages of each block around its wanted anchors, with the rows that hold them."""
-    shards = max(8, -(-wanted.rows // SHARD_PASSAGES))
+    `places` packs (row key, id, first window) of every occurrence. The rows of `blocked` are read as they are, so that the
+    operator's second pass over the same table reads the same exchange.
+    """
+    run = windows.length - windows.gram + 1
+    load = wanted.table.agg(F.sum(F.when(F.col("hot"), F.col("n") * run).otherwise(1))).first()[0] or 0
+    shards = max(8, -(-load // SHARD_PASSAGES))
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[tuple[int, bytes], list] = {}
+        out: dict[tuple[int, bytes], list[int]] = {}
         keys, hot = right.column("hash").to_numpy().view(np.uint64), np.asarray(right.column("hot"))
         order = np.argsort(keys)
         keys, hot = keys[order], hot[order]
-        data, offsets = text_buffer(left.column("text"))
-        ids = left.column("id").to_pylist()
-        row_keys = left.column("row_key").to_pylist()
+        data, offsets = text_buffer(left.column(text_col))
+        ids = left.column(id_col).to_pylist()
+        row_keys = left.column("row_key__").to_pylist()
         for row, first, last, h in anchor_rows(windows, data, offsets) if len(keys) else ():
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = np.flatnonzero(keys[place] == h)
             held, cut = -1, None
-            for r, a, b, key, split in zip(row[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), hot[place[hit]].tolist(), strict=True):
+            for r, a, b, key, split in zip(row[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].view(np.int64).tolist(), hot[place[hit]].tolist(), strict=True):
                 if ids[r] is None:
                     continue
                 if r != held:
                     held, cut = r, windows.cut(data[offsets[r]:offsets[r + 1]].tobytes())
-                for x, y in (((i, i) for i in range(a, b + 1)) if split else ((a, b),)):
-                    ctx = windows.passage(cut, x, y)
-                    entry = out.setdefault((-1 if split else key, ctx), [[], [], []])
-                    entry[0].append(row_keys[r])
-                    entry[1].append(ids[r])
-                    entry[2].append(x)
-        block = left.column("block")[0].as_py() if left.num_rows else 0
-        shard = [hash_bytes(c) % shards if k < 0 else k % shards for k, c in out]
-        return pa.table({"shard": pa.array(shard, pa.int64()), "ctx": pa.array([c for _, c in out], pa.binary()), "block": pa.array([block] * len(out), pa.int64()),
-                         "lo": pa.array([min(v[1]) for v in out.values()], pa.int64()), "row_keys": pa.array([v[0] for v in out.values()], pa.list_(pa.int64())),
-                         "ids": pa.array([v[1] for v in out.values()], pa.list_(pa.int64())), "starts": pa.array([v[2] for v in out.values()], pa.list_(pa.int64()))})
-
-    left = docs.select(F.col("block__").alias("block"), F.col("row_key__").alias("row_key"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    return left.groupBy("block").cogroup(wanted.table.groupBy("block")).applyInArrow(emit, PASSAGES)
+                if split:
+                    for x in range(a, b + 1):
+                        out.setdefault((HOT, windows.single(cut, x)), []).extend((row_keys[r], ids[r], x))
+                else:
+                    out.setdefault((key, windows.passage(cut, a, b)), []).extend((row_keys[r], ids[r], a))
+        block = left.column("block__")[0].as_py() if left.num_rows else 0
+        shard = [(hash_bytes(c) if k == HOT else k) % shards for k, c in out]
+        return pa.table({"shard": pa.array(shard, pa.int64()), "anchor": pa.array([k for k, _ in out], pa.int64()), "ctx": pa.array([c for _, c in out], pa.binary()),
+                         "block__": pa.array([block] * len(out), pa.int64()), "lo": pa.array([min(v[1::3]) for v in out.values()], pa.int64()),
+                         "places": pa.array([np.asarray(v, np.int64).tobytes() for v in out.values()], pa.binary())})
+
+    return blocked.groupBy("block__").cogroup(wanted.table.withColumnRenamed("block", "block__").groupBy("block__")).applyInArrow(emit, PASSAGES)
+
+
+def unpack(places: bytes) -> list[list[int]]:
+    """(row key, id, first window) of every occurrence of a passage."""
+    return np.frombuffer(places, np.int64).reshape(-1, 3).tolist()
 
 
 def hash_bytes(value: bytes) -> int:
     """A hash that is the same in every process."""
-    import zlib
+    return zlib.crc32(value)
 
-    return zlib.crc32(value) | zlib.adler32(value) << 32
 
+def span_table(rows: list[tuple[int, int, int, int]]) -> pa.Table:
+    """(block, row key, first, last) packed into one row per block, so that rows follow blocks and not spans."""
+    spans = np.asarray(rows, np.int64).reshape(-1, 4)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    blocks, starts = np.unique(spans[:, 0], return_index=True)
+    packed = [part.tobytes() for part in np.split(np.ascontiguousarray(spans[:, 1:]), starts[1:])] if len(blocks) else []
+    return pa.table({"block__": pa.array(blocks), "spans": pa.array(packed, pa.binary())})
 
-def span_table(block: list[int], row_key: list[int], first: list[int], last: list[int]) -> pa.Table:
-    return pa.table({n: pa.array(v, pa.int64()) for n, v in (("block", block), ("row_key", row_key), ("first", first), ("last", last))})
 
-
-def matched(found: DataFrame, label: str) -> Staged:
-    return stage(mark_hot(found).select("block", "hash", "hot").distinct(), label)
+def spans_by_row(spans: pa.Table) -> dict[int, list[tuple[int, int]]]:
+    by_row: dict[int, list[tuple[int, int]]] = {}
+    for packed in spans.column("spans").to_pylist():
+        for key, a, b in unpack(packed):
+            by_row.setdefault(key, []).append((a, b))
+    return by_row
