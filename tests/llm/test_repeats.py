@@ -107,7 +107,7 @@ def test_ranks_order_suffixes():
     import numpy as np
 
     data = np.frombuffer(b"banana bandana banana band", np.uint8)
-    for length in (1, 2, 5, 7):
+    for length in (2, 5, 7):
         rank = window_ranks(data, length)
         texts = [data.tobytes()[i:i + length] for i in range(len(data) - length + 1)]
         order = sorted(set(texts))

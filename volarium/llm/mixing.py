@@ -218,7 +218,7 @@ def mix(docs: DataFrame, membership: Column, weights: Callable[[int], float], bu
     routes = route([([place[s] for s in r[0]], r[1]) for r in by_pattern], wanted, max_copies)
 
     ways = {tuple(r[0]): [(copy, names[j], words) for copy, j, words in of] for r, of in zip(by_pattern, routes, strict=True)}
-    chosen_bins = binned.where("size > 0").groupBy("members__").applyInArrow(lambda key, bins: choose_bins(ways.get(tuple(key[0].as_py()), ()), bins), PLAN)
+    chosen_bins = binned.where("size > 0").groupBy("members__").applyInArrow(lambda key, bins: choose_bins(ways.get(tuple(key[0].as_py() or ()), ()), bins), PLAN)
     found = stage(chosen_bins, "mix-plan")
     chosen = keyed.join(F.broadcast(found.table), F.col("members__").eqNullSafe(F.col("pattern__")), "left")
     hits = F.filter("plan__", lambda x: (F.col("bin__") >= x["first"]) & (F.col("bin__") <= x["last"]))

@@ -1,8 +1,8 @@
 """Quality rules: a threshold table compiled into one projection.
 
 A measure is a column expression over the words and lines of a text; a rule is a row (measure, lower, upper) of the table.
-`judge` compiles the table into one boolean, evaluated with the counts in a chain of projections without any user
-function, shuffle or aggregation, so a text never leaves its task.
+`judge` compiles the table into one boolean over the counts of the text; counts and verdict are column expressions of one
+projection without any user function, shuffle or aggregation, so a text never leaves its task.
 
 Words are runs of characters other than space and 0x09-0x0D. Words in repeated windows: every window of 8 words has a
 64-bit hash; only if two hashes of a text agree are the windows sorted to find which words they cover.
@@ -13,7 +13,7 @@ alike; an empty table gives an empty table; other columns pass through unless th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,38 +75,52 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
     return verdict
 
 
-def _repeated_words(window: int) -> tuple[Column, Column, Column]:
-    """Window hashes; sorted (hash, place) if two agree; words that the agreeing windows cover."""
-    hashes = F.when(F.size("hashes__") >= window, F.transform(F.sequence(F.lit(0), F.size("hashes__") - window),
-                    lambda i: F.xxhash64(*(F.get("hashes__", i + k) for k in range(window))))).otherwise(F.array().cast("array<bigint>"))
-    several = F.when(F.size(F.array_distinct("windows__")) < F.size("windows__"),
-                     F.sort_array(F.transform("windows__", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    agree = F.transform("sorted__", lambda s, j: F.when((s["h"] == F.get("sorted__", j - 1)["h"]) | (s["h"] == F.get("sorted__", j + 1)["h"]), s["i"]))
-    places = F.sort_array(F.filter(agree, lambda i: i.isNotNull()))
-    return hashes, several, places
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeated_words(hashes: Column, window: int) -> Column:
+    """Words that lie in windows which the text holds twice or more, from the hashes of its words."""
+    def windows(h: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
+        return F.when(F.size(h) >= window, grams).otherwise(F.array().cast("array<bigint>"))
+
+    def places(sorted_: Column) -> Column:
+        agree = F.transform(sorted_, lambda s, j: F.when((s["h"] == F.get(sorted_, j - 1)["h"]) | (s["h"] == F.get(sorted_, j + 1)["h"]), s["i"]))
+        return F.sort_array(F.filter(agree, lambda i: i.isNotNull()))
+
+    def cover(p: Column) -> Column:
+        parts = F.transform(p, lambda at, j: F.least(F.lit(window), F.coalesce(F.get(p, j + 1) - at, F.lit(window))))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda total, part: total + part)
+
+    def covered(grams: Column) -> Column:
+        ordered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(grams)) < F.size(grams), let(ordered, lambda s: let(places(s), cover))).otherwise(F.lit(0).cast("long"))
+
+    return let(hashes, lambda h: let(windows(h), covered))
+
+
+def counts(text: Column, window: int) -> Column:
+    """All counts of a text as one struct."""
+    words = F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(WORD)))
+    of_words = let(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("stop"),
+        repeated_words(F.transform(w, lambda x: F.xxhash64(x)), window).alias("n_repeat_words")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("full"), F.size(F.array_distinct(x)).cast("long").alias("distinct")))
+    return F.struct(of_words.alias("words"), of_lines.alias("lines"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+                    (F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("all_lines"))
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text_col: str = "text", window: int = WINDOW, min_words: int = 20,
           max_repeat_percent: int = 30) -> DataFrame:
     """Every row with the base counts, base_failed and kept: false if the base fails, else the verdict of the table."""
     docs = docs.drop(*RESULT)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(WORD)))
-    hashes, several, places = _repeated_words(window)
-    counted = (
-        docs.withColumns({"words__": words, "lines__": lines})
-        .withColumns({"n_words": F.size("words__").cast("long"), "word_chars": F.length(F.array_join("words__", "")).cast("long"),
-                      "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"), "full_lines__": F.size("lines__").cast("long"),
-                      "n_dup_lines": (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long"),
-                      "all_lines__": (F.regexp_count(text, F.lit("\n")) + 1).cast("long"),
-                      "stop__": F.size(F.filter("words__", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-                      "hashes__": F.transform("words__", lambda w: F.xxhash64(w))}).drop("words__", "lines__")
-        .withColumn("windows__", hashes).drop("hashes__")
-        .withColumn("sorted__", several).drop("windows__")
-        .withColumn("places__", places).drop("sorted__"))
-    cover = F.transform("places__", lambda p, j: F.least(F.lit(window), F.coalesce(F.get("places__", j + 1) - p, F.lit(window))))
-    counted = counted.withColumn("n_repeat_words", F.coalesce(F.aggregate(cover, F.lit(0).cast("long"), lambda a, c: a + c), F.lit(0)).cast("long"))
+    counted = docs.withColumn("c__", counts(F.coalesce(F.col(text_col), F.lit("")), window)).select(
+        *docs.columns, "c__.words.n_words", "c__.words.word_chars", "c__.n_symbols", (F.col("c__.lines.full") - F.col("c__.lines.distinct")).alias("n_dup_lines"),
+        "c__.words.n_repeat_words", F.col("c__.words.stop").alias("stop__"), F.col("c__.lines.full").alias("full_lines__"), F.col("c__.all_lines").alias("all_lines__"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
     return judged.select(*docs.columns, *RESULT)
