@@ -13,6 +13,7 @@ which replaces them.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 CAPACITY = 4096
 END_ID = 1
 NUMBERED_ROWS = 50_000     # pieces of one length numbered in one task, on average
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+MARKS = frozenset(".,;:!?")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -37,26 +39,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """A word without one sentence mark after a letter, which is always a token of its own, and the mark."""
+    split = len(word) > 1 and word[-1] in MARKS and word[-2] < "\u0250" and word[-2].lower().isalpha()
+    stem, mark = (word[:-1], word[-1]) if split else (word, "")
+    return (stem.lower() if stem.isascii() and "<" not in stem else stem), mark
+
+
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Each text's ids and the end id as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a word has the same ids in every text and is encoded once while the cache holds it.
+    The tokenizer drops white space, never joins across it and ignores case, so a word has the same ids in every text
+    and is encoded once while the cache holds it.
     """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _tokenizers[path]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _tokenizers[path] = (Tokenizer.from_file(path), {}, {}, {})
+    tokenizer, cache, old, stems = _tokenizers[path]
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     end = END_ID.to_bytes(4, "little")
-    for text in texts:
-        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False) if new else (), strict=True):
-            cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        yield b"".join(map(cache.__getitem__, words)) + end
+    words = [(text or "").replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+    every = set().union(*words)
+    if len(cache) + len(every) > CACHED_WORDS:  # the words of the last generation stay at hand for one more
+        old.clear()
+        old.update(cache)
+        cache.clear()
+    if len(stems) + len(every) > CACHED_WORDS:
+        stems.clear()
+    missing = every - cache.keys()
+    cache.update((w, old[w]) for w in missing & old.keys())
+    parts = {w: _stem(w) for w in missing - old.keys()}
+    new = list({x for p in parts.values() for x in p} - stems.keys())
+    for w, e in zip(new, encode(new, add_special_tokens=False) if new else (), strict=True):
+        stems[w] = np.asarray(e.ids, "<u4").tobytes()
+    for w, (stem, mark) in parts.items():
+        cache[w] = stems[stem] + stems[mark]
+    for w in words:
+        yield b"".join(map(cache.__getitem__, w)) + end
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str) -> DataFrame:
