@@ -74,3 +74,12 @@ def test_identical_models_do_not_break_the_test(spark):
 def test_arguments(losses, kw, error):
     with pytest.raises(error):
         mcs.confidence_set(losses, "ticker", ["good", "fair"], "mse", **kw)
+
+
+def test_a_missing_loss_is_an_error(spark):
+    from volarium.operators.mcs import loss_matrix
+
+    for bad in (None, float("nan")):
+        losses = spark.createDataFrame([("a", "m1", 1.0), ("a", "m2", bad), ("b", "m1", 1.0), ("b", "m2", 2.0)], "ticker string, model string, mse double")
+        with pytest.raises(ValueError):
+            loss_matrix(losses, "ticker", ["m1", "m2"], "mse")

@@ -50,11 +50,15 @@ def resampled_means(losses: Staged, n_models: int, draws: DataFrame) -> DataFram
 def loss_matrix(losses: DataFrame, unit: str, models: Sequence[str], metric: str) -> Staged:
     """Wide losses with a 0-based position per unit (a ticker or a date): (pos, l0, l1, ...) in model order.
 
-    Units that lack a model's loss are left out, so that all means run over the same units.
+    All means must run over the same units: a unit that lacks a model's loss, or has NaN for it, is an error.
     """
     wide = losses.groupBy(unit).pivot("model", list(models)).agg(F.first(metric))
     named = wide.select(F.col(unit).alias("unit"), *[F.col(f"`{m}`").alias(f"l{k}") for k, m in enumerate(models)])
-    numbered = number_rows(named.dropna("any"), "unit", "pos")
+    numbered = number_rows(named, "unit", "pos")
+    losses_ = [F.col(f"l{k}") for k in range(len(models))]
+    lacking = numbered.table.where(F.greatest(*[F.when(c.isNull() | F.isnan(c), 1).otherwise(0) for c in losses_], F.lit(0)) > 0).count()
+    if lacking:
+        raise ValueError(f"{lacking} units lack the loss of a model")
     return Staged(numbered.table.withColumn("pos", F.col("pos").cast("int")).drop("unit"), numbered.rows)
 
 
@@ -87,6 +91,8 @@ def check_arguments(alpha: float, n_boot: int, block: int, algorithm: str) -> No
 
 def _standardised(value: float, variance: float) -> float:
     """value / sd; two models that never differ have no variance and no difference."""
+    if value != value or variance != variance:
+        raise ValueError("a loss difference is not a number")
     if variance > 0:
         return value / sqrt(variance)
     return 0.0 if value == 0 else float("inf") if value > 0 else float("-inf")

@@ -51,27 +51,28 @@ def ring_graph_weights(spark, sf):
 
 
 TRADE = """pairs AS (
-  SELECT DISTINCT least(a.n_name, b.n_name) AS x, greatest(a.n_name, b.n_name) AS y
-  FROM (SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        WHERE l_quantity >= 49 AND l_discount >= 0.09 AND l_returnflag = 'R') t
-  JOIN nation a ON a.n_nationkey = t.s_nationkey JOIN nation b ON b.n_nationkey = t.c_nationkey WHERE a.n_name <> b.n_name),
+  SELECT x, y FROM (
+    SELECT least(a.n_name, b.n_name) AS x, greatest(a.n_name, b.n_name) AS y, count(*) AS n, avg(count(*)) OVER () AS mean
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey WHERE a.n_name <> b.n_name GROUP BY 1, 2)
+  WHERE n > mean),
 links AS (SELECT x AS src, y AS dst FROM pairs UNION ALL SELECT y, x FROM pairs),
 deg AS (SELECT src, count(*) AS degree FROM links GROUP BY 1)"""
 
 
-def trade_edges(spark, sf):
-    """Nations linked by large, discounted, returned shipments between them."""
-    li = t.read(spark, sf, "lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09) & (F.col("l_returnflag") == "R"))
+def trade_edges(spark, sf, share: float = 1.0):
+    """Pairs of nations with more shipments between them than `share` times the mean over all pairs that trade."""
     n = t.read(spark, sf, "nation")
-    ends = (li.select("l_orderkey", "l_suppkey").distinct()
-            .join(t.read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(t.read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(t.read(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-            .select("s_nationkey", "c_nationkey").distinct())
-    pairs = (ends.join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("src")), "s_nationkey")
-             .join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dst")), "c_nationkey"))
-    return graph.edges_from_list(pairs.select("src", "dst"), "trade")
+    by_ends = (t.read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+               .join(t.read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+               .join(t.read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+               .join(t.read(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+               .groupBy("s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n")))
+    named = (by_ends.join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("a")), "s_nationkey")
+             .join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("b")), "c_nationkey").where("a <> b"))
+    pairs = stage(named.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("n").alias("n")), "trade-pairs").table
+    mean = pairs.agg(F.avg("n").alias("mean"))
+    return graph.edges_from_list(pairs.where(F.col("n") > share * mean.select("mean").scalar()).select("src", "dst"), "trade")
 
 
 @query("M7 M9 A15", f"""WITH {TRADE}
@@ -82,10 +83,10 @@ def trade_graph_weights(spark, sf):
 
 
 @query("A15", f"""WITH {TRADE}
-SELECT src, CAST(degree AS DOUBLE) AS degree, round(sum(degree) OVER () / (25 * 24), 6) + 0.0 AS density FROM deg""")
+SELECT src, CAST(degree AS DOUBLE) AS degree, round(sum(degree) OVER () / (SELECT count(*) * (count(*) - 1) FROM nation), 6) + 0.0 AS density FROM deg""")
 def degrees_and_density(spark, sf):
     e = stage(trade_edges(spark, sf), "edges").table
-    d = graph.density(e, 25)
+    d = graph.density(e, t.read(spark, sf, "nation").count())
     return graph.degrees(e).select("src", "degree", F.round(d.select("density").scalar(), 6).alias("density"))
 
 

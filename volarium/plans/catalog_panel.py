@@ -241,16 +241,17 @@ def horizon_panel(spark, sf):
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
 SELECT CAST(date AS VARCHAR) AS date, """ + ", ".join(
-    f"round(max(CASE WHEN ticker = '{r}' THEN value END), 9) + 0.0 AS {r.lower()}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE"))
+    f"round(max(CASE WHEN ticker = '{r}' THEN value END), 9) + 0.0 AS {r.lower().replace(' ', '_')}"
+    for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
     + " FROM cells GROUP BY 1")
 def long_to_wide(spark, sf):
     cells = t.nation_cells(spark, sf).join(
         t.read(spark, sf, "nation").join(t.read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("n_name").alias("ticker"), "r_name"), "ticker")
     by_region = cells.groupBy("date", F.col("r_name").alias("ticker")).agg(F.sum("value").alias("value"))
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
+    names = sorted(r[0] for r in t.read(spark, sf, "region").select("r_name").distinct().collect())
     wide = panel.widen(by_region, names)
-    return wide.select(t.text_date(), *[rounded(n).alias(n.lower()) for n in names])
+    return wide.select(t.text_date(), *[rounded(f"`{n}`").alias(n.lower().replace(" ", "_")) for n in names])
 
 
 @query("S5", """SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, ticker, round(sum(value) / 1e3, 9) + 0.0 AS value
