@@ -5,13 +5,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from volarium.llm.mixing import mix, route, source_order, targets
-from volarium.llm.packing import CAPACITY, default_tokenizer, pack, plan_sequences
+from volarium.llm.packing import CAPACITY, WordIds, default_tokenizer, pack, plan_sequences, text_ids
 
 
 def test_targets():
@@ -172,3 +174,13 @@ def test_pipeline_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             part = stage(spark, part, sf)
         assert corpus_pipeline.STAGES[-1][1](spark, part, sf).count() >= 0
+
+
+def test_ids_equal_those_of_the_tokenizer():
+    texts = [None, "", " ", "\n\n", "a  b", "İstanbul ŉx Ångström ÅNGSTRÖM ª º µ ß ẞ", "don't 12.5% x,y <|endoftext|> <|ENDOFTEXT|> Hello! hello,",
+             "é ́a\xa0x y\rz\x0bq", "日本 語。 🎉🎉", "é,É. ñ! Ü?", "x" * 5000]
+    word_ids, tokenizer = WordIds(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for _ in range(2):  # the second time all words are known
+        ids, places = text_ids(pa.array(texts, pa.string()), word_ids)
+        assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:], strict=True)] == want

@@ -14,11 +14,14 @@ which replaces them.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,9 @@ CAPACITY = 4096
 END_ID = 1
 NUMBERED_ROWS = 50_000     # pieces of one length numbered in one task, on average
 CACHED_WORDS = 600_000
+RUN_BYTES = 4 << 20        # text encoded at a time
 MARKS = frozenset(".,;:!?")
-_tokenizers: dict[str, tuple] = {}
+_word_ids: dict[str, WordIds] = {}  # kept by a worker
 
 
 def default_tokenizer() -> str:
@@ -41,43 +45,103 @@ def default_tokenizer() -> str:
 
 def _stem(word: str) -> tuple[str, str]:
     """A word without one sentence mark after a letter, which is always a token of its own, and the mark."""
-    split = len(word) > 1 and word[-1] in MARKS and word[-2] < "\u0250" and word[-2].lower().isalpha()
-    stem, mark = (word[:-1], word[-1]) if split else (word, "")
-    return (stem.lower() if stem.isascii() and "<" not in stem else stem), mark
+    if word[-1:] in MARKS and len(word) > 1 and word[-2] < "\u0100" and word[-2].isalpha():
+        return word[:-1], word[-1]
+    return word, ""
 
 
-def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Each text's ids and the end id as little-endian unsigned 32-bit numbers.
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices (start, size) of `flat`, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-    The tokenizer drops white space, never joins across it and ignores case, so a word has the same ids in every text
-    and is encoded once while the cache holds it.
-    """
-    if path not in _tokenizers:
+
+class WordIds:
+    """Ids of words: the tokenizer drops white space, never joins across it and ignores case, so a word has the same ids in
+    every text and is encoded once while it is known."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, {}, {})
-    tokenizer, cache, old, stems = _tokenizers[path]
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    end = END_ID.to_bytes(4, "little")
-    words = [(text or "").replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-    every = set().union(*words)
-    if len(cache) + len(every) > CACHED_WORDS:  # the words of the last generation stay at hand for one more
-        old.clear()
-        old.update(cache)
-        cache.clear()
-    if len(stems) + len(every) > CACHED_WORDS:
-        stems.clear()
-    missing = every - cache.keys()
-    cache.update((w, old[w]) for w in missing & old.keys())
-    parts = {w: _stem(w) for w in missing - old.keys()}
-    new = list({x for p in parts.values() for x in p} - stems.keys())
-    for w, e in zip(new, encode(new, add_special_tokens=False) if new else (), strict=True):
-        stems[w] = np.asarray(e.ids, "<u4").tobytes()
-    for w, (stem, mark) in parts.items():
-        cache[w] = stems[stem] + stems[mark]
-    for w in words:
-        yield b"".join(map(cache.__getitem__, w)) + end
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if c.isalpha()}
+        self.stems: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, stems: set[str]) -> None:
+        """Stems of letters below U+0100 are one unit to the tokenizer and go to its model at once; others run through all its steps."""
+        rest = []
+        for s in stems:
+            if s.isalpha() and max(s) < "\u0100":
+                ids = [t.id for t in self.model.tokenize(s.lower().translate(self.bytes_of))]
+                self.stems[s] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(s)
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for s, e in zip(rest, encode(rest, add_special_tokens=False) if rest else (), strict=True):
+            self.stems[s] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: ids, and the start and size of each word's part of them."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(pc.is_null(at))
+        parts = [_stem(w) for w in fresh.to_pylist()]
+        if len(self.stems) > CACHED_WORDS:
+            self.stems.clear()
+        stems = self.stems
+        self._encode({x for p in parts for x in p if x not in stems})
+        made = [stems[stem] + stems[mark] for stem, mark in parts]
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        place = at.to_numpy(zero_copy_only=False)
+        new = np.isnan(place) if at.null_count else np.zeros(len(words), bool)
+        place = np.where(new, len(self.words) + np.cumsum(new) - 1, place).astype(np.int64)
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        found = self.flat, self.starts[place], self.sizes[place]
+        if len(self.words) > CACHED_WORDS:  # only the words of the last texts stay known
+            self.words, self.flat, self.sizes = words, _gather(*found), found[2]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return found
+
+
+def kept_word_ids(path: str) -> WordIds:
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
+
+
+def text_ids(texts: pa.Array, word_ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, each with the end id, and the place where each text starts (and the last ends)."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))  # control tokens begin with <, and have a case
+    for blank in "\n\t":
+        texts = pc.replace_substring(texts, blank, " ")
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten().dictionary_encode()
+    flat, starts, sizes = word_ids(words.dictionary)
+    flat, starts, sizes = np.append(flat, np.uint32(END_ID)), np.append(starts, len(flat)), np.append(sizes, 1)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    order = np.insert(words.indices.to_numpy(), ends, len(words.dictionary))
+    many = sizes[order]
+    upto = np.cumsum(many)
+    return _gather(flat, starts[order], many), np.concatenate(([0], upto[ends + np.arange(len(ends))]))
+
+
+def _runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs (first row, number of rows) of about `limit` bytes; a longer text is a run of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi - lo
+        lo = hi
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str) -> DataFrame:
@@ -85,15 +149,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str) -> Dat
     at = docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids = kept_word_ids(tokenizer)
         for batch in batches:
             keep = [i for i in range(batch.num_columns) if i != at]
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, n in _runs(batch.column(at), RUN_BYTES):
+                part = batch.slice(lo, n)
+                ids, places = text_ids(part.column(at), word_ids)
                 row, piece, start, length, crc = [], [], [], [], []
-                for r, ids in enumerate(token_bytes(part.column(at).to_pylist(), tokenizer)):
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[a:a + 4 * capacity]
-                        row.append(r), piece.append(k), start.append(a // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+                for r, (first, end) in enumerate(pairwise(places.tolist())):
+                    for k, a in enumerate(range(first, end, capacity)):
+                        cut = ids[a:min(a + capacity, end)]
+                        row.append(r), piece.append(k), start.append(a - first), length.append(len(cut)), crc.append(zlib.crc32(cut))
                 rows = pa.RecordBatch.from_arrays([part.column(i) for i in keep], names=[batch.schema.names[i] for i in keep]).take(pa.array(row, pa.int64())) if keep else None
                 yield pa.RecordBatch.from_arrays([*(rows.columns if rows is not None else ()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                                                  names=[*(batch.schema.names[i] for i in keep), *RESULT[:4]])
