@@ -62,6 +62,28 @@ def test_percentiles_with_one_dominant_value(spark):
     np.testing.assert_allclose(got[1:], np.percentile(values, [50, 99, 100]))
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_percentiles_with_infinite_values_end(spark, limit):
+    inf, nan = float("inf"), float("nan")
+    groups = {"up": [float(x) for x in range(20)] + [inf], "down": [-inf] * 8 + [float(x) for x in range(20)], "nan": [1.0] * 6 + [nan] * 7,
+              "wide": [-1.7e308, 1.7e308] * 6 + [float(x) for x in range(9)], "both": [-inf, inf] * 7, "tiny": [5e-324 * k for k in range(15)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "ticker string, x double")
+    got = {r[0]: r[1:] for r in intraday.exact_percentiles(df, ["ticker"], "x", [0.0, 0.5, 1.0], group_rows=limit, bins=4).table.collect()}
+    for k, vs in groups.items():
+        ranked = sorted(vs, key=lambda v: (v != v, v))
+        n = len(vs) - 1
+        low, high = ranked[n // 2], ranked[-(-n // 2)]
+        np.testing.assert_array_equal(got[k], [ranked[0], low if low == high else low / 2 + high / 2, ranked[-1]])
+
+
+def test_tied_ticks_follow_the_tie_column(spark):
+    ts = dt.datetime(2024, 1, 2, 10)
+    rows = [("k", ts.date(), ts + dt.timedelta(seconds=k // 3), k, float(k + 1)) for k in range(30)]
+    df = spark.createDataFrame(rows[::-1], "ticker string, date date, ts timestamp, event_id long, price double")
+    got = intraday.day_order(df.repartition(5), ["ticker", "date"], "ts", "price", 2, tie=["event_id"]).orderBy("event_id").collect()
+    assert [r["rn"] for r in got] == list(range(1, 31)) and [r["prev"] for r in got] == [None, *map(float, range(1, 30))]
+
+
 def test_winsorise(ticks, pdf):
     got = intraday.winsorise(ticks, ["ticker"], "price", group_rows=30).toPandas()
     for k, g in pdf.groupby("ticker"):

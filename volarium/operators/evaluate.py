@@ -176,8 +176,10 @@ def ensemble_mean(pred: DataFrame, by: Sequence[str] = ("run", "origin", "date",
 def screen_ensemble(losses: DataFrame, by: Sequence[str] = ("run", "origin"), q: float = 0.5,
                     loss: str = "valid_loss") -> DataFrame:
     """Seeds whose final validation loss does not exceed the q-quantile within their (run, origin)."""
-    w = Window.partitionBy(*by)
-    return losses.withColumn("threshold", F.percentile(loss, F.lit(q)).over(w)).filter(F.col(loss) <= F.col("threshold"))
+    losses = stage(losses, "seed-losses").table
+    cut = exact_percentiles(losses, by, loss, [q])
+    threshold = Staged(cut.table.withColumnRenamed("p0", "threshold"), cut.rows)
+    return attach(losses, threshold, list(by)).filter(F.col(loss) <= F.col("threshold"))
 
 
 def effect_decomposition(table: DataFrame, base: str, control: str, full: str, metric: str = "mse") -> DataFrame:

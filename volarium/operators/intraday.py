@@ -41,10 +41,10 @@ def slice_length(ticks: DataFrame, keys: Sequence[str], order: str, seconds: int
 
 
 def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
-              slice_seconds: int | None = None) -> DataFrame:
-    """Add `rn` (1-based row number) and `prev` (previous value) within `keys` by `order`.
+              slice_seconds: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    """Add `rn` (1-based row number) and `prev` (previous value) within `keys` by `order`, equal times by the `tie` columns.
 
-    Same result as `row_number` and `lag` over (keys ORDER BY order), but the sort is per time slice.
+    Same result as `row_number` and `lag` over (keys ORDER BY order, tie), but the sort is per time slice.
     Each slice gets one seed row carrying the row count and the last value of the slices before it,
     so the ticks shuffle once and no join touches them.
     """
@@ -52,14 +52,14 @@ def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
     seconds = slice_seconds or slice_length(ticks, keys, order)
     sliced = ticks.withColumn("slice", _slice(order, seconds))
     per_slice = sliced.groupBy(*keys, "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(value, order).alias("last_value"))
+        F.count(F.lit(1)).alias("n"), F.max_by(value, F.struct(order, *tie)).alias("last_value"))
     before = Window.partitionBy(*keys).orderBy("slice")
     seeds = per_slice.select(
         *keys, "slice", F.lit(0).alias("kind"),
         F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
         F.lag("last_value").over(before).alias(value))
     rows = sliced.withColumns({"kind": F.lit(1), "offset": F.lit(None).cast("long")})
-    w = Window.partitionBy(*keys, "slice").orderBy("kind", order)
+    w = Window.partitionBy(*keys, "slice").orderBy("kind", order, *tie)
     numbered = rows.unionByName(seeds, allowMissingColumns=True).withColumns({
         "rn": F.row_number().over(w) - 1 + F.first("offset").over(w),
         "prev": F.lag(value).over(w),
@@ -68,12 +68,12 @@ def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
 
 
 def log_return_by_day(ticks: DataFrame, price: str = "price", order: str = "ts",
-                      slice_seconds: int | None = None) -> DataFrame:
+                      slice_seconds: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """ln(p_t) - ln(p_{t-1}) within (ticker, date); the first tick of a day has no return and is dropped.
 
     `rn` numbers the remaining rows of the day from 1.
     """
-    ordered = day_order(ticks, ["ticker", "date"], order, price, slice_seconds)
+    ordered = day_order(ticks, ["ticker", "date"], order, price, slice_seconds, tie)
     return (
         ordered.filter("rn > 1")
         .withColumns({"ret": F.log(price) - F.log("prev"), "rn": F.col("rn") - 1})
@@ -117,7 +117,23 @@ def daily_moments(intraday: DataFrame, ret: str = "ret") -> DataFrame:
 
 
 def _interpolate(lower: Column, upper: Column, rank: Column) -> Column:
-    return lower + (upper - lower) * (rank - F.floor(rank))
+    """The built-in aggregate's formula; infinite neighbours are never multiplied by a zero weight."""
+    share = rank - F.floor(rank)
+    return F.when((share == 0) | (lower == upper), lower).otherwise((1 - share) * lower + share * upper)
+
+
+def _bin(bins: int) -> Column:
+    """Number of a value among equal-width bins of its cell; -inf, +inf and NaN have bins of their own.
+
+    The finite bounds of a cell fall into different bins, so a pass always splits a cell of two values or more.
+    """
+    inf = float("inf")
+    scale = F.when(F.col("hi") - F.col("lo") < inf, F.lit(1.0)).otherwise(F.lit(0.5))  # the width of a cell may overflow
+    width = F.col("hi") * scale - F.col("lo") * scale
+    share = F.when(width > 0, (F.col("x") * scale - F.col("lo") * scale) / width).otherwise(F.lit(0.0))
+    finite = F.least(F.floor(share * bins), F.lit(bins - 1))
+    return (F.when(F.isnan("x"), F.lit(bins + 1)).when(F.col("x") == inf, F.lit(bins))
+            .when(F.col("x") == -inf, F.lit(-1)).otherwise(finite).cast("long"))
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -128,13 +144,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     largest group is counted at `group_rows` or less. Beyond that the wanted order statistics are
     located by histogram passes: each pass splits the cells that hold a wanted rank into equal-width
     bins, keeps the bins with a wanted rank, and stops when the largest of them is small enough or
-    holds one value. Only those rows are then counted by value. The answer is exact either way.
+    holds one value. Only those rows are then counted by value. Both ways give the same numbers;
+    NaN ranks above infinity.
     """
     keys = list(keys)
-    data = df.select(*keys, F.col(value).alias("x")).filter(F.col("x").isNotNull())
-    sizes = stage(
-        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")),
-        "percentile-sizes")
+    data = df.select(*keys, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    sizes = stage(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "percentile-sizes")
     largest = sizes.table.agg(F.max("n").alias("n")).first()["n"] or 0
     if largest <= group_rows:
         return stage(
@@ -143,43 +158,37 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 
     # Later passes compare rows with stored bounds, so the rows must not be recomputed from here on.
     data = stage(data, "percentile-rows").table
-    sizes = stage(
-        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")),
-        "percentile-sizes")
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+    bounds = [F.coalesce(F.min(finite), F.lit(0.0)).alias("lo"), F.coalesce(F.max(finite), F.lit(0.0)).alias("hi"),
+              F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("open")]
+    sizes = stage(data.groupBy(*keys).agg(*bounds), "percentile-sizes")
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p))) for p in probs])))
-    cells = Staged(sizes.table.select(*keys, F.lit(0).cast("long").alias("cell"), "lo", "hi",
-                                      F.lit(0).cast("long").alias("below"), ranks.alias("ranks"), "n"), sizes.rows)
-    rows = data.withColumn("cell", F.lit(0).cast("long"))
-    on = [*keys, "cell"]
-    while True:
-        open_cells = cells.table.filter(F.col("lo") < F.col("hi")).agg(F.max("n").alias("n")).first()["n"] or 0
-        if open_cells <= group_rows:
-            break
-        share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        bin_ = F.when(F.col("lo") < F.col("hi"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-        split = attach(rows, cells, on).withColumns({"parent": F.col("cell"), "cell": F.col("cell") * bins + bin_})
-        counts = split.groupBy(*keys, "parent", "cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    cells = Staged(sizes.table.select(*keys, F.lit(0).alias("cell"), "lo", "hi", "open", F.lit(0).cast("long").alias("below"),
+                                      ranks.alias("ranks"), "n"), sizes.rows)
+    rows = attach(data, Staged(cells.table.select(*keys, "cell", "lo", "hi"), cells.rows), keys)
+    while (cells.table.filter("open").agg(F.max("n").alias("n")).first()["n"] or 0) > group_rows:
+        split = rows.select(*keys, "x", F.col("cell").alias("parent"), _bin(bins).alias("bin"))
+        counts = split.groupBy(*keys, "parent", "bin").agg(*bounds)
         parents = Staged(cells.table.select(*keys, F.col("cell").alias("parent"), "below", "ranks"), cells.rows)
-        run = Window.partitionBy(*keys, "parent").orderBy("cell")
+        run = Window.partitionBy(*keys, "parent").orderBy("bin")
         counts = attach(counts, parents, [*keys, "parent"]).withColumn(
             "below", F.col("below") + F.sum("n").over(run) - F.col("n"))
         inside = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
-        cells = stage(counts.withColumn("ranks", inside).filter(F.size("ranks") > 0)
-                      .select(*on, "lo", "hi", "below", "ranks", "n"), "percentile-cells")
-        rows = split.select(*keys, "x", "cell")
-
-    kept = Staged(cells.table.select(*on, "below", "ranks"), cells.rows)
-    by_value = attach(rows, Staged(cells.table.select(*on), cells.rows), on, "left_semi") \
-        .groupBy(*on, "x").agg(F.count(F.lit(1)).alias("n"))
-    by_value = attach(by_value, kept, on)
+        kept = counts.withColumn("ranks", inside).filter(F.size("ranks") > 0)
+        # a key keeps at most two cells for each wanted percentile, so their numbers stay small
+        cells = stage(kept.withColumn("cell", F.row_number().over(Window.partitionBy(*keys).orderBy("below"))), "percentile-cells")
+        rows = attach(split, Staged(cells.table.select(*keys, "parent", "bin", "cell", "lo", "hi"), cells.rows), [*keys, "parent", "bin"])
+
+    on = [*keys, "cell"]
+    by_value = rows.groupBy(*on, "x").agg(F.count(F.lit(1)).alias("n"))
+    by_value = attach(by_value, Staged(cells.table.select(*on, "below", "ranks"), cells.rows), on)
     run = Window.partitionBy(*on).orderBy("x")
     placed = by_value.withColumn("below", F.col("below") + F.sum("n").over(run) - F.col("n"))
     hits = placed.withColumn("rank", F.explode(
         F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))))
     found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "x"))).alias("at"))
-    out = attach(found, sizes, keys)
+    out = attach(found, Staged(sizes.table.select(*keys, "n"), sizes.rows), keys)
     return stage(out.select(*keys, *[
         _interpolate(F.element_at("at", F.floor((F.col("n") - 1) * F.lit(p))),
                      F.element_at("at", F.ceil((F.col("n") - 1) * F.lit(p))),

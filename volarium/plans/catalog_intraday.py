@@ -12,15 +12,15 @@ from volarium.plans.registry import query
 from volarium.session import scratch_path, stage
 from volarium.sources import scans, sinks
 
-TICKS = "ticks AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS date, ts, value AS price FROM events)"
+TICKS = "ticks AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS date, ts, event_id, value AS price FROM events)"
 QUOTES = """quotes AS (
   SELECT event_type AS ticker, CAST(ts AS DATE) AS date, strftime(ts, '%H:00') AS time,
-         max_by(value, ts) AS bid_1, max_by(value * (1 + (user_id % 12) / 20.0), ts) AS ask_1
+         max_by(value, (ts, event_id)) AS bid_1, max_by(value * (1 + (user_id % 12) / 20.0), (ts, event_id)) AS ask_1
   FROM events GROUP BY 1, 2, 3)"""
 RETURNS = f"""{TICKS},
 rets AS (SELECT * FROM (
   SELECT ticker, date, ts, ln(price) - ln(lag(price) OVER w) AS ret, row_number() OVER w - 1 AS rn
-  FROM ticks WINDOW w AS (PARTITION BY ticker, date ORDER BY ts)) WHERE rn > 0)"""
+  FROM ticks WINDOW w AS (PARTITION BY ticker, date ORDER BY ts, event_id)) WHERE rn > 0)"""
 BLOCKS = f"""{RETURNS},
 blocks AS (SELECT ticker, date, (rn - 1) // 5 AS block, sum(ret) AS ret, max_by(ts, rn) AS ts, count(*) AS n_rows FROM rets GROUP BY 1, 2, 3)"""
 WINSOR = f"""{BLOCKS},
@@ -31,7 +31,7 @@ DATE = "CAST(date AS VARCHAR) AS date"
 
 
 def tick_returns(spark, sf):
-    return intraday.log_return_by_day(t.ticks(spark, sf))
+    return intraday.log_return_by_day(t.ticks(spark, sf), tie=["event_id"])
 
 
 def blocks(spark, sf):

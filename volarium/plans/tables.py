@@ -30,18 +30,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
-        F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "ts", F.col("value").alias("price"))
+        F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "ts", "event_id", F.col("value").alias("price"))
 
 
 def hourly_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last bid and ask of every hour that has a tick; a full day has 24 rows."""
+    """Last bid and ask of every hour that has a tick, both of one event; a full day has 24 rows."""
     e = read(spark, sf_dir, "events")
     ask = F.col("value") * (1 + F.pmod("user_id", F.lit(12)) / 20)
+    quote, place = F.struct("bid", "ask"), F.struct("ts", "event_id")
     return (
         e.select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"),
-                 F.date_format("ts", "HH:00").alias("time"), "ts", F.col("value").alias("bid"), ask.alias("ask"))
+                 F.date_format("ts", "HH:00").alias("time"), "ts", "event_id", F.col("value").alias("bid"), ask.alias("ask"))
         .groupBy("ticker", "date", "time")
-        .agg(F.max_by("bid", "ts").alias("bid_1"), F.max_by("ask", "ts").alias("ask_1"))
+        .agg(F.max_by(quote, place).alias("last"))
+        .select("ticker", "date", "time", F.col("last.bid").alias("bid_1"), F.col("last.ask").alias("ask_1"))
     )
 
 
