@@ -176,6 +176,25 @@ def test_pipeline_odd_rows(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, part, sf).count() >= 0
 
 
+def test_near_copy_stage_keeps_one_row_of_each_group(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = "one two three four five six", "lorem ipsum dolor sit amet elit", "seven eight nine ten eleven twelve"
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (3, b, "en", "t", 1), (None, c, "en", "s", 1), (None, c, "de", "s", 1), (None, "quite another text", "en", "s", 1),
+            (8, "x y", "en", "s", 1), (8, "x y", "en", "s", 1), (9, None, "en", "s", None), (9, "", "en", "s", 0), (None, "", "en", "s", 0)]
+    got = corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows, schema), sf).collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(5, a), (3, b), (None, c), (None, "quite another text"), (8, "x y"), (9, "")])
+    again = corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows[::-1], schema), sf).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_repeat_stage_cuts_at_characters(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage = "".join(chr(0x430 + (k * k + k // 7) % 32) for k in range(260))
+    rows = [(1, "д" + passage + "ж konec", "en", "s", 0), (2, "ф" + passage + "з drugoj", "en", "s", 0), (3, passage, "en", "s", 0), (4, "sam", "en", "s", 3)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeat_stage(spark, spark.createDataFrame(rows, schema), sf).collect()}
+    assert got == {1: ("д konec", 7), 2: ("ф drugoj", 8), 4: ("sam", 3)}
+
+
 def test_ids_equal_those_of_the_tokenizer():
     texts = [None, "", " ", "\n\n", "a  b", "İstanbul ŉx Ångström ÅNGSTRÖM ª º µ ß ẞ", "don't 12.5% x,y <|endoftext|> <|ENDOFTEXT|> Hello! hello,",
              "é ́a\xa0x y\rz\x0bq", "日本 語。 🎉🎉", "é,É. ñ! Ü?", "x" * 5000]

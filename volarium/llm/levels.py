@@ -146,8 +146,13 @@ def decide(shard: pa.Table, length: int) -> pa.Table:
     return span_table(out)
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with n_bytes, n_removed, n_spans (maximal removed runs) and kept, the remaining bytes."""
+def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, batches: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                        whole_characters: bool = False) -> DataFrame:
+    """Every row with n_bytes, n_removed, n_spans (maximal removed runs) and kept, the remaining bytes.
+
+    A run may begin or end inside a character. With `whole_characters` the rest of such a character goes too (and counts as removed), so
+    that what is kept of a text is a text again.
+    """
     docs = docs.drop(*RESULT)
     windows = byte_windows(length, gram)
     blocked, _ = block_rows(docs, id_col, text_col)
@@ -174,6 +179,8 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, bat
                     parts.append(text[at:a])
                 reach = at = max(reach, b + length)
             parts.append(text[at:])
+            if whole_characters:
+                parts = [p.decode("utf-8", "ignore").encode() for p in parts]
             kept.append(b"".join(parts))
             removed.append(len(text) - len(kept[-1])), spans_.append(runs)
         out = left.select(names)

@@ -32,7 +32,7 @@ from volarium.llm.arrowtext import chunks
 from volarium.llm.components import components
 from volarium.session import stage
 
-RESULT = ("fingerprint", "component_id")
+RESULT = ("fingerprint", "component_id", "component_fingerprint")
 SEED = 42
 HOT_SEGMENT = 1000  # distinct fingerprints of one segment value beyond which pairs are replaced by stars
 SEGMENTS = 2
@@ -117,12 +117,17 @@ def _stars(entries: DataFrame, balls: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", hot_segment: int = HOT_SEGMENT) -> DataFrame:
-    """Every row without its text, with fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable by links."""
+    """Every row without its text, with fingerprint (16 hexadecimal digits), component_id, the smallest id reachable by links, and
+    component_fingerprint, which tells components apart where ids are null or occur in several rows."""
     docs = docs.drop(*RESULT)
     marked = stage(with_fingerprint(docs, words, text_col), "fingerprints").table
     classes = stage(marked.groupBy(F.col("fp__").alias("fp")).agg(F.min(id_col).alias("lowest")), "fingerprint-classes").table
     reach = components(links(classes, hot_segment), "fingerprint-components")
     rooted = classes.join(reach, classes.fp == reach.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = rooted.join(lowest, "root").select(F.col("fp").alias("fp__"), "component_id")
-    return marked.join(named, "fp__").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp__")), 16, "0")).drop("fp__")
+    named = rooted.join(lowest, "root").select(F.col("fp").alias("fp__"), "component_id", _digits("root").alias("component_fingerprint"))
+    return marked.join(named, "fp__").withColumn("fingerprint", _digits("fp__")).drop("fp__")
+
+
+def _digits(fp: str) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
