@@ -31,8 +31,8 @@ RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 CAPACITY = 4096
 END_ID = 1
 NUMBERED_ROWS = 50_000     # pieces of one length numbered in one task, on average
-CACHED_WORDS = 600_000
-RUN_BYTES = 4 << 20        # text encoded at a time
+CACHED_WORDS = 150_000     # words that a worker keeps, also for its later tasks
+RUN_BYTES = 2 << 20        # text encoded at a time
 MARKS = frozenset(".,;:!?")
 _word_ids: dict[str, WordIds] = {}  # kept by a worker
 
@@ -150,6 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = kept_word_ids(tokenizer)
+        pa.default_memory_pool().release_unused()  # of the worker's earlier tasks
         for batch in batches:
             keep = [i for i in range(batch.num_columns) if i != at]
             for lo, n in _runs(batch.column(at), RUN_BYTES):
