@@ -187,6 +187,28 @@ def test_near_copy_stage_keeps_one_row_of_each_group(spark, sf):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_near_copy_stage_takes_all_pairs_of_similarity_0_8(spark, sf):
+    rng = random.Random(5)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows, shingles, up = [], {}, {}
+    for k in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([60, 120, 400]))]
+        for c, edits in enumerate((0, 1, 2, rng.randrange(1, 12), 40)):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(4000)}"
+            rows.append((10 * k + c, " ".join(words), "en", "s", 1))
+            shingles[10 * k + c] = {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+            up[10 * k + c] = 10 * k + c
+    for a in shingles:
+        for b in shingles:
+            if a < b and len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8:
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = {k: new if v == old else v for k, v in up.items()}
+    got = {r.doc_id for r in corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows, schema), sf).collect()}
+    assert got == {k for k, v in up.items() if k == v} and len(got) < len(rows) - 60
+
+
 def test_repeat_stage_cuts_at_characters(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     passage = "".join(chr(0x430 + (k * k + k // 7) % 32) for k in range(260))
