@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from volarium.llm.mixing import mix, route, source_order, targets
+from volarium.llm.mixing import MOST_RANGES, bin_ranges, choose_bins, mix, route, source_order, targets
 from volarium.llm.packing import CAPACITY, WordIds, default_tokenizer, pack, plan_sequences, text_ids
 
 
@@ -93,6 +93,40 @@ def test_mix_overlapping_and_odd_rows(spark):
     assert empty.count() == 0 and none.count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3])
+def test_choose_bins_passes_over_a_long_document(share):
+    rng = np.random.default_rng(3)
+    small = np.maximum(1, rng.lognormal(5, 1, 5000)).astype(np.int64)
+    big = int(share / (1 - share) * small.sum())
+    size = np.insert(small, 40, big)
+    bins = pa.table({"members__": pa.array([["a"]] * len(size)), "bin__": pa.array(np.sort(rng.choice(65536, len(size), False)).astype(np.int32)), "size": pa.array(size)})
+    target = 0.11 * float(size.sum())
+    number = bins.column("bin__").to_numpy()
+    plan = choose_bins([(0, "a", target)], bins).column("plan__")[0].as_py()
+    taken = size[np.isin(number, sorted(planned(plan)))].sum()
+    assert abs(taken - target) <= 0.001 * target
+
+
+def planned(plan):
+    out = set()
+    for x in plan:
+        bits = x["bits"]
+        chosen = {b for b in range(x["first"], x["last"] + 1) if bits is None or bits[(b >> 6) - (x["first"] >> 6)] >> (b & 63) & 1}
+        assert not out & chosen
+        out |= chosen
+    return out
+
+
+def test_many_ranges_become_bits(spark):
+    numbers = sorted(random.Random(2).sample(range(65536), 900))
+    for few in (numbers, numbers[:MOST_RANGES], [63, 64, 65535]):
+        ranges = bin_ranges(few, [2 * k for k in range(len(few))])
+        assert planned(ranges) == set(few) and len(ranges) <= MOST_RANGES
+    frame = spark.createDataFrame([(i, "w " * (1000 if i % 2 else 1), "a") for i in range(4000)], "doc_id long, text string, source string")
+    out, sources = mix(frame, F.array("source"), lambda k: 1.0, budget_ratio=0.0009, max_copies=1)
+    assert out.agg(F.sum("taken")).first()[0] == round(sources.first().target) and out.where("copies > 0").count() > MOST_RANGES
+
+
 def check_pieces(rows, capacity):
     by_doc, by_sequence = {}, {}
     for r in rows:

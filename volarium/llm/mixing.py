@@ -5,11 +5,11 @@ pattern, and a flow network routes word capacity: every pattern offers its words
 so on up to `max_copies` (convex costs of repetition); a pattern reaches its sources, and a source takes up to its
 target. A cheapest maximal flow is found by successive shortest paths. All paths through the same repetition cost
 the same, so they are augmented together by blocking flows, repetition by repetition. The flow of a pattern is then
-turned into documents: they are ordered by a seeded hash cut into 65536 bins, a route takes bins in that order as long as they
-fit, and then a few later ones that fill the gap that is left.
+turned into documents: they are ordered by a seeded hash cut into 65536 bins, and a route goes through all bins in that order and takes
+those that still fit; a bin that does not fit is passed over.
 
-Only the sums by pattern reach the driver: at most `max_patterns` patterns, checked; the plan, a bounded number of bin
-ranges for each pattern, is broadcast. Selection is a narrow pass over the documents.
+Only the sums by pattern reach the driver: at most `max_patterns` patterns, checked; the plan, for each route
+a bounded number of bin ranges or at most 65536 bits, is broadcast. Selection is a narrow pass over the documents.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty membership takes part in nothing;
 rows with equal ids and texts are taken alike; an empty table gives an empty table; other columns pass through unless they are
@@ -30,8 +30,8 @@ from volarium.session import stage
 
 RESULT = ("size", "routes", "copies", "taken")
 BINS = 1 << 16
-EXTRA_BINS = 64
-PLAN = "pattern__ array<string>, plan__ array<struct<copy:int,source:string,first:int,last:int>>"
+MOST_RANGES = 64  # of a route; more are stored as bits
+PLAN = "pattern__ array<string>, plan__ array<struct<copy:int,source:string,first:int,last:int,bits:array<bigint>>>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -150,46 +150,48 @@ def route(patterns: Sequence[tuple[Sequence[int], float]], wanted: Sequence[floa
     return out
 
 
+def bin_ranges(numbers: Sequence[int], places: Sequence[int]) -> list[dict]:
+    """Sorted bins as ranges of neighbours in the pattern's order (places); many ranges as one with a bit for each bin, from the 64 that hold the first."""
+    out: list[dict] = []
+    for number, place in zip(numbers, places, strict=True):
+        if out and out[-1]["next"] == place:
+            out[-1].update(last=number, next=place + 1)
+        else:
+            out.append({"first": number, "last": number, "next": place + 1})
+    if len(out) > MOST_RANGES:
+        start = numbers[0] >> 6
+        bits = np.zeros(((numbers[-1] >> 6) - start + 1) * 64, np.uint8)
+        bits[np.asarray(numbers) - start * 64] = 1
+        out = [{"first": numbers[0], "last": numbers[-1], "bits": np.packbits(bits, bitorder="little").view("<i8").tolist()}]
+    return [{"first": x["first"], "last": x["last"], "bits": x.get("bits")} for x in out]
+
+
 def choose_bins(ways: Sequence[tuple[int, str | None, float]], bins: pa.Table) -> pa.Table:
-    """Bins for the routes (copy, source, words) of one pattern, as ranges.
+    """Bins for the routes (copy, source, words) of one pattern, as ranges or bits.
 
-    The routes of a copy follow each other in bin order. A route takes bins as long as they fit; what is then missing is
-    made up by the following bins that still fit, at most EXTRA_BINS of them, and by one more bin if that comes nearer. A copy takes
+    A route goes through all bins in order, takes each that still fits, and one more bin if that comes nearer. A copy takes
     no bin twice.
     """
     order = np.argsort(bins.column("bin__").to_numpy())
     number, size = bins.column("bin__").to_numpy()[order].tolist(), bins.column("size").to_numpy()[order].tolist()
     free: dict[int, list[bool]] = {}
-    at: dict[int, int] = {}
     plan = []
     for copy, source, words in ways:
-        open_, k = free.setdefault(copy, [True] * len(size)), at.get(copy, 0)
-        taken, extra = [], 0
-        while k < len(size) and (not open_[k] or size[k] <= words):
-            if open_[k]:
-                words -= size[k]
-                open_[k] = False
-                taken.append(k)
-            k += 1
-        at[copy] = k
-        while k < len(size) and extra < EXTRA_BINS:
+        open_ = free.setdefault(copy, [True] * len(size))
+        taken = []
+        for k in range(len(size)):
             if open_[k] and size[k] <= words:
                 words -= size[k]
                 open_[k] = False
                 taken.append(k)
-                extra += 1
-            k += 1
         best = min((i for i in range(len(size)) if open_[i]), key=lambda i: abs(size[i] - words), default=None)
         if best is not None and abs(size[best] - words) < words:
             open_[best] = False
             taken.append(best)
-        for i in taken:
-            if plan and plan[-1]["copy"] == copy and plan[-1]["source"] == source and plan[-1]["next"] == i:
-                plan[-1].update(last=number[i], next=i + 1)
-            else:
-                plan.append({"copy": copy, "source": source, "first": number[i], "last": number[i], "next": i + 1})
-    rows = [[{k: v for k, v in x.items() if k != "next"} for x in plan]] if plan else []
-    kind = pa.list_(pa.struct([("copy", pa.int32()), ("source", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+        taken.sort()
+        plan += [{"copy": copy, "source": source, **x} for x in bin_ranges([number[i] for i in taken], taken)]
+    rows = [plan] if plan else []
+    kind = pa.list_(pa.struct([("copy", pa.int32()), ("source", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("bits", pa.list_(pa.int64()))]))
     return pa.table({"pattern__": pa.array([bins.column("members__")[0].as_py()] * len(rows), pa.list_(pa.string())), "plan__": pa.array(rows, kind)})
 
 
@@ -221,7 +223,8 @@ def mix(docs: DataFrame, membership: Column, weights: Callable[[int], float], bu
     chosen_bins = binned.where("size > 0").groupBy("members__").applyInArrow(lambda key, bins: choose_bins(ways.get(tuple(key[0].as_py() or ()), ()), bins), PLAN)
     found = stage(chosen_bins, "mix-plan")
     chosen = keyed.join(F.broadcast(found.table), F.col("members__").eqNullSafe(F.col("pattern__")), "left")
-    hits = F.filter("plan__", lambda x: (F.col("bin__") >= x["first"]) & (F.col("bin__") <= x["last"]))
+    hits = F.expr("filter(plan__, x -> bin__ >= x.first and bin__ <= x.last and "
+                  "(x.bits is null or getbit(get(x.bits, shiftright(bin__, 6) - shiftright(x.first, 6)), bin__ & 63) = 1))")
     taken = chosen.withColumn("routes", F.coalesce(F.transform(hits, lambda x: F.struct(x["copy"].alias("copy"), x["source"].alias("source"))),
                                                    F.array().cast("array<struct<copy:int,source:string>>")))
     taken = taken.withColumn("copies", F.size("routes")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
