@@ -14,6 +14,7 @@ from volarium.llm import crf
 from volarium.llm.backoff import backoff_scores, pack_sorted, unpack_sorted
 from volarium.llm.chat import format_chats, loss_text, read_back
 from volarium.llm.quality import judge
+from volarium.llm.queries import op5_backoff_score
 
 ODD = [(None, None), (901, None), (902, ""), (903, " \n\t"), (904, "..."), (905, "word"), (905, "word")]
 
@@ -129,6 +130,36 @@ def test_backoff_scores(spark):
     assert backoff_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_backoff_query_backs_off_only_where_unseen(spark, sf):
+    texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    counts = Counter(tuple(w[i:i + n]) for w in texts.values() for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(map(len, texts.values()))
+
+    def score(gram):  # every n-gram of the corpus itself is seen, so nothing backs off
+        return math.log10(counts[gram] / (counts[gram[:-1]] if len(gram) > 1 else total))
+    got = {r.doc_id: r.mean_log_score for r in op5_backoff_score(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, w in texts.items():
+        assert got[i] == (pytest.approx(sum(score(tuple(w[max(0, k - 2):k + 1])) for k in range(len(w))) / len(w), abs=1e-6) if w else None)
+
+
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+def test_backoff_trigrams(spark, min_count):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.randrange(12)))) for i in range(50)]
+    counts = Counter(tuple(w[i:i + n]) for _, t in rows if (w := t.split()) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(len(t.split()) for _, t in rows)
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log10(counts[gram] / total)
+        return math.log10(counts[gram] / counts[gram[:-1]]) if counts[gram] >= min_count else math.log10(0.4) + score(gram[1:])
+    got = {r.doc_id: r.log_score for r in backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), min_count=min_count, order=3).collect()}
+    for i, t in rows:
+        w = t.split()
+        assert got[i] == pytest.approx(sum(score(tuple(w[max(0, k - 2):k + 1])) for k in range(len(w))), abs=1e-9)
+
+
 def test_packed_numbers():
     values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (unpack_sorted(pack_sorted(values)) == values).all() and (unpack_sorted(pack_sorted(values[:1])) == values[:1]).all()

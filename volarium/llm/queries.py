@@ -49,7 +49,8 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Trigrams that back off only where unseen; the SQL (sql.py) still stops at bigrams and counts those that occur once as unseen."""
+    out = backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"), min_count=1, order=3)
     return out.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
