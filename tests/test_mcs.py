@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from volarium.operators import mcs
+from volarium.plans.catalog import CATALOG
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,15 @@ def test_a_missing_loss_is_an_error(spark):
         losses = spark.createDataFrame([("a", "m1", 1.0), ("a", "m2", bad), ("b", "m1", 1.0), ("b", "m2", 2.0)], "ticker string, model string, mse double")
         with pytest.raises(ValueError):
             loss_matrix(losses, "ticker", ["m1", "m2"], "mse")
+
+
+@pytest.mark.parametrize("name", ["confidence_set_by_ticker", "confidence_set_by_date", "confidence_report", "loss_difference_moments", "block_bootstrap"])
+def test_queries_draw_as_many_resamples_as_the_reference(spark, sf, name, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def draws(rows, n_boot, block, seed=0):
+        raise Asked(n_boot)
+    monkeypatch.setattr(mcs, "bootstrap_draws", draws)
+    with pytest.raises(Asked, match="^10000$"):
+        CATALOG[name].run(spark, sf)

@@ -252,6 +252,9 @@ def _mcs_query(unit, metric, n_boot, block, algorithm):
 SELECT model, step, round(p_value, 6) + 0.0 AS p_value, p_value > 0.05 AS included FROM mcs"""
 
 
+RESAMPLES = 10_000  # as the reference; the SQL counterparts still draw fewer
+
+
 def unit_losses(spark, sf, unit, nations=True):
     pred = nation_predictions(spark, sf) if nations else predictions(spark, sf)
     return evaluate.loss_table(pred, ["model", unit])
@@ -263,12 +266,12 @@ def _set(df):
 
 @query("M20 M17 M18 M19 J12 W12 W15 U3", _mcs_query("ticker", "mse", 1000, 2, "SQ"))
 def confidence_set_by_ticker(spark, sf):
-    return _set(mcs.confidence_set(unit_losses(spark, sf, "ticker"), "ticker", MODELS, "mse", n_boot=1000))
+    return _set(mcs.confidence_set(unit_losses(spark, sf, "ticker"), "ticker", MODELS, "mse", n_boot=RESAMPLES))
 
 
 @query("M20 M19 T16", _mcs_query("date", "qlike", 200, 5, "R"))
 def confidence_set_by_date(spark, sf):
-    return _set(mcs.confidence_set(unit_losses(spark, sf, "date"), "date", MODELS, "qlike", n_boot=200, block=5, algorithm="R"))
+    return _set(mcs.confidence_set(unit_losses(spark, sf, "date"), "date", MODELS, "qlike", n_boot=RESAMPLES, block=5, algorithm="R"))
 
 
 @query("M17 W15", f"""WITH {PRED}, units AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS pos, count(*) OVER () AS t FROM (SELECT DISTINCT ticker FROM pred)),
@@ -277,14 +280,14 @@ draw0 AS (SELECT b, pos, t, CASE WHEN pos = 0 OR {q.uniform("'r7'", 'b', 'pos')}
 SELECT b, pos, CAST((((last_value(start IGNORE NULLS) OVER (PARTITION BY b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + pos) % t) + t) % t AS BIGINT) AS idx FROM draw0""")
 def block_bootstrap(spark, sf):
     matrix = mcs.loss_matrix(unit_losses(spark, sf, "ticker", nations=False), "ticker", MODELS, "mse")
-    return mcs.bootstrap_draws(matrix, 100, 4, seed=7).select(*[F.col(c).cast("long").alias(c) for c in ("b", "pos", "idx")])
+    return mcs.bootstrap_draws(matrix, RESAMPLES, 4, seed=7).select(*[F.col(c).cast("long").alias(c) for c in ("b", "pos", "idx")])
 
 
 @query("M18 J12", f"""WITH {NPRED}, {mcs_sql('ticker', 'mse', 500, 2, 'SQ')}
 SELECT i, j, round(dbar, 6) + 0.0 AS dbar, round(v * 1000, 6) + 0.0 AS variance FROM dij""")
 def loss_difference_moments(spark, sf):
     matrix = mcs.loss_matrix(unit_losses(spark, sf, "ticker"), "ticker", MODELS, "mse")
-    boot = stage(mcs.resampled_means(matrix, len(MODELS), mcs.bootstrap_draws(matrix, 500, 2)), "resamples").table
+    boot = stage(mcs.resampled_means(matrix, len(MODELS), mcs.bootstrap_draws(matrix, RESAMPLES, 2)), "resamples").table
     pair = mcs.pair_moments(matrix, boot, len(MODELS))
     rows = spark.createDataFrame([(MODELS[i], MODELS[j], d, v * 1000) for (i, j), (d, v) in pair.items()], "i string, j string, dbar double, variance double")
     return _round(rows, ["i", "j"], ["dbar", "variance"])
@@ -295,7 +298,7 @@ m AS (SELECT model, avg(l) AS loss FROM loss GROUP BY 1)
 SELECT model, round(m.loss, 6) + 0.0 AS loss, round(m.loss / (SELECT loss FROM m WHERE model = 'DAY'), 6) + 0.0 AS loss_ratio,
   CAST(rank() OVER (ORDER BY m.loss) AS DOUBLE) AS rank, round(p_value, 6) + 0.0 AS p_value, p_value > 0.05 AS included FROM m JOIN mcs USING (model)""")
 def confidence_report(spark, sf):
-    report = mcs.mcs_report(stage(unit_losses(spark, sf, "ticker"), "losses").table, "ticker", MODELS, "DAY", "mse", n_boot=1000)
+    report = mcs.mcs_report(stage(unit_losses(spark, sf, "ticker"), "losses").table, "ticker", MODELS, "DAY", "mse", n_boot=RESAMPLES)
     return _round(report, ["model", "rank", "included"], ["loss", "loss_ratio", "p_value"])
 
 
@@ -306,7 +309,7 @@ def confidence_report_by_regime(spark, sf):
     out = None
     for regime in ("low", "high"):
         for metric in ("mse", "qlike"):
-            part = mcs.mcs_report(losses.filter(F.col("regime") == regime), "ticker", MODELS, "DAY", metric, n_boot=10_000) \
+            part = mcs.mcs_report(losses.filter(F.col("regime") == regime), "ticker", MODELS, "DAY", metric, n_boot=RESAMPLES) \
                 .withColumns({"regime": F.lit(regime), "metric": F.lit(metric)})
             out = part if out is None else out.unionByName(part)
     return out
