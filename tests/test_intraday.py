@@ -143,3 +143,13 @@ def test_numbering_in_one_and_in_many_tasks(spark, limit):
     totals = running_total(by, ["g"], "k", "one", "before", one_task_rows=limit).table.toPandas()
     want = totals.sort_values("k").groupby("g").cumcount()
     assert totals.sort_values("k").before.tolist() == want.tolist()
+
+
+def test_merged_minutes_has_a_column_for_every_event_type(spark, sf, tmp_path):
+    from volarium.plans.catalog import CATALOG
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    more = events.where("event_type = 'click'").limit(5).withColumn("event_type", F.lit("refund.part"))
+    events.unionByName(more).write.parquet(f"{tmp_path}/events.parquet")
+    got = CATALOG["merged_minutes"].run(spark, str(tmp_path))
+    assert got.columns == ["date", "time", "click", "error", "purchase", "refund.part", "signup", "view"] and got.where("`refund.part` is not null").count() > 0

@@ -165,6 +165,6 @@ def variance_horizons(spark, sf):
 def merged_minutes(spark, sf):
     e = t.ticks(spark, sf).withColumn("time", F.date_format("ts", "HH:mm"))
     cells = e.groupBy("date", "time", "ticker").agg(F.max("price").alias("value"))
-    names = ["click", "error", "purchase", "signup", "view"]
+    names = sorted(r[0] for r in e.select("ticker").distinct().collect())
     wide = panel.widen(cells, names, by=("date", "time"))
-    return wide.select(t.text_date(), "time", *[rounded(n, 6).alias(n) for n in names])
+    return wide.select(t.text_date(), "time", *[rounded(f"`{n}`", 6).alias(n) for n in names])
