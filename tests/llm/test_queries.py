@@ -21,4 +21,4 @@ def test_matches_sql(spark, sf, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()

@@ -10,11 +10,14 @@ from volarium.llm.backoff import backoff_scores
 from volarium.llm.chat import format_chats, loss_text, read_back
 from volarium.llm.crf import held_out, label_languages
 from volarium.llm.levels import drop_repeated_bytes
+from volarium.llm.lines import drop_shared_lines
 from volarium.llm.mixing import mix
+from volarium.llm.orchard import compress, sound
 from volarium.llm.packing import pack
 from volarium.llm.pivots import link_vectors
 from volarium.llm.quality import judge
 from volarium.llm.simhash import near_copies
+from volarium.llm.whitening import whiten
 
 SOURCE_WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -82,5 +85,32 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_shared_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    digits = ",".join(str(x) for part in codes.codebooks for entry in part for x in entry)
+    by_label = codes.rows.table.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).cast("long").alias("label_error"))
+    rows = codes.rows.table.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return rows.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(digits).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(sound(F.col("embedding")))
+    whole = F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024) + 100000)
+    fit = whiten(vectors.select("vec_id", whole.alias("x")), 8, "x")
+    sums = F.array(*map(F.lit, fit.sums)).cast("array<bigint>")
+    apart = F.zip_with("x", sums, lambda x, s: (x * fit.n - s).cast("decimal(19,0)"))
+    deviation = F.aggregate(apart, F.lit(0).cast("decimal(38,0)"), lambda total, d: (total + d * d).cast("decimal(38,0)")).cast("long")
+    each = F.posexplode(F.arrays_zip("whitened", F.array(*map(F.lit, fit.explained)).cast("array<double>").alias("explained")))
+    rows = fit.rows.select("vec_id", deviation.alias("deviation"), each.alias("place", "of"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", F.col("of.whitened").alias("whitened"),
+                       F.col("of.explained").alias("explained"), F.lit(fit.identity_error).alias("identity_error"))
+
+
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_substring_dedup, op3_language_crf, op4_pattern_packing, op5_backoff_score, op6_pivot_range_join,
-                                   op7_quality_table, op8_chat_format, op9_simhash_index, op10_suffix_levels)}
+                                   op7_quality_table, op8_chat_format, op9_simhash_index, op10_suffix_levels,
+                                   op11_line_dedup, op12_orchard_codes, op13_block_whitening)}

@@ -93,4 +93,44 @@ FROM chats
 """
 
 
-ORACLE = {"op2_substring_dedup": OP2, "op5_backoff_score": OP5, "op6_pivot_range_join": OP6, "op7_quality_table": op7(), "op8_chat_format": op8()}
+OP11 = r"""
+WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+keyed AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM split),
+held AS (SELECT k, min(doc_id) AS first, count(DISTINCT doc_id) AS n FROM keyed WHERE length(k) >= 10 GROUP BY k),
+marked AS (SELECT d.doc_id, d.i, d.line, coalesce(h.n >= 2 AND h.first <> d.doc_id, false) AS gone FROM keyed d LEFT JOIN held h ON d.k = h.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every distance to every entry, round by round; x(vec_id, part, j, v) holds the integers, b0, b1, ... the codebooks."""
+    steps = [f"""
+sound AS MATERIALIZED (SELECT vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(embedding) // {parts}) AS part, (i - 1) % (len(embedding) // {parts}) AS j, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM sound)),
+b0 AS MATERIALIZED (SELECT part, entry, j, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM sound) USING (vec_id) WHERE entry < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best
+  FROM (SELECT x.vec_id, x.part, b.entry, CAST(sum((x.v - b.v) * (x.v - b.v)) AS BIGINT) AS d FROM x JOIN b{r} b ON x.part = b.part AND x.j = b.j GROUP BY ALL) GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT x.part, a.best.entry AS entry, x.j, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{r} a ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.j, CASE WHEN m.n IS NULL THEN b.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS v
+  FROM b{r} b LEFT JOIN m{r} m ON b.part = m.part AND b.entry = m.entry AND b.j = m.j)""")
+    return f"""
+WITH {",".join(steps)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM b{rounds})
+SELECT s.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY s.label) AS BIGINT) AS label_error, k.codebooks_sha256
+FROM sound s JOIN codes c ON s.vec_id = c.vec_id CROSS JOIN book k
+"""
+
+
+ORACLE = {"op2_substring_dedup": OP2, "op5_backoff_score": OP5, "op6_pivot_range_join": OP6, "op7_quality_table": op7(), "op8_chat_format": op8(),
+          "op11_line_dedup": OP11, "op12_orchard_codes": op12()}
