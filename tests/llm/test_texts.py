@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from volarium.llm import crf
-from volarium.llm.backoff import backoff_scores, pack_sorted, unpack_sorted
+from volarium.llm.backoff import backoff_scores, pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
 from volarium.llm.chat import format_chats, loss_text, read_back
 from volarium.llm.quality import judge
 from volarium.llm.queries import op5_backoff_score
@@ -124,7 +124,7 @@ def test_backoff_scores(spark):
     def score(w):
         s = [math.log10(uni[w[0]] / n)] if w else []
         return sum(s + [math.log10(bi[a, b] / uni[a]) if bi[a, b] >= 2 else math.log10(0.4 * uni[b] / n) for a, b in zip(w, w[1:])])
-    got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 6)) for r in backoff_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 6)) for r in backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), min_count=2, order=2).collect())
     want = sorted((i or -1, len(w), round(score(w), 6), round(score(w) / len(w), 6) if w else None) for (i, _), w in zip(rows, texts))
     assert got == want
     assert backoff_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -163,3 +163,9 @@ def test_backoff_trigrams(spark, min_count):
 def test_packed_numbers():
     values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (unpack_sorted(pack_sorted(values)) == values).all() and (unpack_sorted(pack_sorted(values[:1])) == values[:1]).all()
+    rng = np.random.default_rng(2)
+    for large in (0, 1, 40):
+        values = rng.integers(0, 200, 1000, dtype=np.uint64)
+        values[rng.choice(1000, large, replace=False)] = rng.integers(1 << 40, 1 << 63, large, dtype=np.uint64)
+        assert (unpack_numbers(pack_numbers(values)) == values).all() and len(pack_numbers(values)) == 1005 + 12 * large
+    assert len(unpack_numbers(pack_numbers(values[:0]))) == 0

@@ -22,14 +22,18 @@ FROM words w LEFT JOIN lost l ON w.doc_id = l.doc_id LEFT JOIN kept k ON w.doc_i
 OP5 = rf"""
 WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
 flat AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0),
-runs AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM flat),
+runs AS (SELECT doc_id, i, word, lag(word) OVER d AS prev, lag(word, 2) OVER d AS prev2 FROM flat WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 uni AS (SELECT word, count(*) AS c FROM flat GROUP BY word),
 bi AS (SELECT prev, word, count(*) AS c FROM runs WHERE prev IS NOT NULL GROUP BY prev, word),
+tri AS (SELECT prev2, prev, word, count(*) AS c FROM runs WHERE prev2 IS NOT NULL GROUP BY prev2, prev, word),
 n AS (SELECT count(*) AS total FROM flat),
 scored AS (
-  SELECT r.doc_id, CASE WHEN r.prev IS NULL THEN log10(u.c) - log10(n.total) WHEN b.c >= 2 THEN log10(b.c) - log10(v.c)
-    ELSE log10(0.4) + log10(u.c) - log10(n.total) END AS s
-  FROM runs r CROSS JOIN n JOIN uni u ON r.word = u.word LEFT JOIN uni v ON r.prev = v.word LEFT JOIN bi b ON r.prev = b.prev AND r.word = b.word),
+  SELECT r.doc_id, CASE WHEN r.prev IS NULL THEN log10(u.c) - log10(n.total)
+    WHEN r.prev2 IS NULL THEN CASE WHEN b.c IS NOT NULL THEN log10(b.c) - log10(v.c) ELSE log10(0.4) + log10(u.c) - log10(n.total) END
+    WHEN t.c IS NOT NULL THEN log10(t.c) - log10(h.c)
+    WHEN b.c IS NOT NULL THEN log10(0.4) + log10(b.c) - log10(v.c) ELSE 2 * log10(0.4) + log10(u.c) - log10(n.total) END AS s
+  FROM runs r CROSS JOIN n JOIN uni u ON r.word = u.word LEFT JOIN uni v ON r.prev = v.word LEFT JOIN bi b ON r.prev = b.prev AND r.word = b.word
+    LEFT JOIN bi h ON r.prev2 = h.prev AND r.prev = h.word LEFT JOIN tri t ON r.prev2 = t.prev2 AND r.prev = t.prev AND r.word = t.word),
 sums AS (SELECT doc_id, sum(s) AS s, count(*) AS c FROM scored GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(x.s / x.c, 6) AS mean_log_score FROM words w LEFT JOIN sums x ON w.doc_id = x.doc_id
 """
