@@ -277,3 +277,45 @@ def test_pseudo_series_keep_level_and_correlation(spark):
         np.testing.assert_allclose(got.std(), real.std(), rtol=0.15)
     assert abs(np.corrcoef(plain.A, plain.B)[0, 1]) < 0.15
     assert np.corrcoef(kept.A, kept.B)[0, 1] == pytest.approx(np.corrcoef(real.A, real.B)[0, 1], abs=0.12)
+
+
+def test_moments_keep_their_digits_at_large_levels(spark):
+    """Mean 1e8, spread 1: fits, nested fits, fixed effects, rolling fits and covariances against centred arithmetic."""
+    rng = np.random.default_rng(3)
+    n_dates, names = 60, ["A", "B", "C"]
+    x, z = rng.normal(size=(n_dates, 3)), rng.normal(size=(n_dates, 3))
+    y = 2 * x - 0.5 * z + rng.normal(size=(n_dates, 3)) * 0.1
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), d, n_dates, name, float(1e8 + y[d, k]), float(1e8 + x[d, k]), float(-3e8 + z[d, k])) for d in range(n_dates) for k, name in enumerate(names)]
+    df = spark.createDataFrame(rows, "date date, pos int, n_dates int, ticker string, target double, x double, z double").repartition(7)
+
+    def slopes(keep, columns):  # the numbers as they are stored, centred before anything is multiplied
+        cols = np.array([[r[5], r[6], r[4]] for r in rows if keep(r)])
+        c = cols - cols.mean(0)
+        return np.linalg.lstsq(c[:, columns], c[:, 2], rcond=None)[0]
+    assert np.allclose(regress.fit_ols(df, ["x", "z"]).table.first().beta, slopes(lambda r: True, [0, 1]), rtol=1e-8)
+    nested = {r.model: r.beta for r in regress.fit_nested(df, {"x": ["x"], "zx": ["z", "x"]}).table.collect()}
+    assert np.allclose(nested["x"], slopes(lambda r: True, [0]), rtol=1e-8) and np.allclose(nested["zx"], slopes(lambda r: True, [1, 0]), rtol=1e-8)
+    rolling = {r.origin: r.beta for r in backtest.rolling_ols(df, ["x", "z"], 20, 10, 15).table.collect()}
+    assert set(rolling) == {20, 30, 40, 50}
+    for o, beta in rolling.items():
+        assert np.allclose(beta, slopes(lambda r: o - 15 <= r[1] < o, [0, 1]), rtol=1e-8)
+    own = {name: np.array([[r[5], r[6], r[4]] for r in sorted(rows) if r[3] == name]) for name in names}
+    within = np.concatenate([v - v.mean(0) for v in own.values()])
+    assert np.allclose(regress.fit_fixed_effects(df, ["x", "z"])[0].table.first().beta, np.linalg.lstsq(within[:, :2], within[:, 2], rcond=None)[0], rtol=1e-8)
+    cov = {(r.src, r.dst): r.cov for r in graph.covariances(graph.cross_moments(df, "x", [], block=2, chunk=7)).collect()}
+    want = np.cov(np.array([own[name][:, 0] for name in names]), bias=True)
+    assert all(cov[a, b] == pytest.approx(want[i, j], rel=1e-8, abs=1e-8) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)
+
+
+def test_cross_lags_of_many_targets_match_single_fits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, d, t, float(1 + rng.normal() ** 2) if not (t == "C" and d in (0, 5, 6)) else None) for d in range(40) for t in "ABC"]
+    df = spark.createDataFrame(rows, "date int, pos int, ticker string, value double")
+    specs = {"A": [("A", 1), ("B", 1), ("B", 2)], "B": [("C", 1)], "C": [("C", 1), ("A", 2)]}
+    got = {(r.target, r.term): (r.beta, r.r2) for r in control.cross_lag_report(df, specs).collect()}
+    assert len(got) == 9
+    for target, regs in specs.items():
+        coef, fit = control.cross_lag_check(df, target, regs)
+        one, r2 = coef.table.first(), fit.first().r2
+        terms = ["intercept", *[f"{t}^{p}" for t, p in regs]]
+        assert [got[target, t][0] for t in terms] == pytest.approx([one.intercept, *one.beta]) and [got[target, t][1] for t in terms] == pytest.approx([r2] * len(terms))

@@ -46,10 +46,10 @@ def test_slices_shrink_to_the_hot_key(ticks):
     assert short < 3600 and fullest <= 40
 
 
-@pytest.mark.parametrize("limit,bins", [(1_000_000, 8), (50, 8), (5, 4), (1, 2)])
-def test_percentiles_are_exact_on_every_path(ticks, pdf, limit, bins):
+@pytest.mark.parametrize("accuracy", [100_000, 2000, 50, 5, 1])
+def test_percentiles_are_exact_at_any_accuracy(ticks, pdf, accuracy):
     probs = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
-    got = intraday.exact_percentiles(ticks, ["ticker"], "price", probs, group_rows=limit, bins=bins).table.toPandas()
+    got = intraday.exact_percentiles(ticks, ["ticker"], "price", probs, accuracy).table.toPandas()
     for _, r in got.iterrows():
         want = np.percentile(pdf[pdf.ticker == r.ticker].price, [100 * p for p in probs])
         np.testing.assert_allclose([r[f"p{i}"] for i in range(len(probs))], want, rtol=1e-12)
@@ -58,17 +58,17 @@ def test_percentiles_are_exact_on_every_path(ticks, pdf, limit, bins):
 def test_percentiles_with_one_dominant_value(spark):
     values = [1.0] * 500 + [2.0] * 10 + [1e9]
     df = spark.createDataFrame([("k", v) for v in values] + [("k", None)], "ticker string, x double")
-    got = intraday.exact_percentiles(df, ["ticker"], "x", [0.5, 0.99, 1.0], group_rows=20, bins=16).table.first()
+    got = intraday.exact_percentiles(df, ["ticker"], "x", [0.5, 0.99, 1.0], 40).table.first()
     np.testing.assert_allclose(got[1:], np.percentile(values, [50, 99, 100]))
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_percentiles_with_infinite_values_end(spark, limit):
+@pytest.mark.parametrize("accuracy", [2000, 20])
+def test_percentiles_with_infinite_values_end(spark, accuracy):
     inf, nan = float("inf"), float("nan")
     groups = {"up": [float(x) for x in range(20)] + [inf], "down": [-inf] * 8 + [float(x) for x in range(20)], "nan": [1.0] * 6 + [nan] * 7,
               "wide": [-1.7e308, 1.7e308] * 6 + [float(x) for x in range(9)], "both": [-inf, inf] * 7, "tiny": [5e-324 * k for k in range(15)]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "ticker string, x double")
-    got = {r[0]: r[1:] for r in intraday.exact_percentiles(df, ["ticker"], "x", [0.0, 0.5, 1.0], group_rows=limit, bins=4).table.collect()}
+    got = {r[0]: r[1:] for r in intraday.exact_percentiles(df, ["ticker"], "x", [0.0, 0.5, 1.0], accuracy).table.collect()}
     for k, vs in groups.items():
         ranked = sorted(vs, key=lambda v: (v != v, v))
         n = len(vs) - 1
@@ -84,8 +84,62 @@ def test_tied_ticks_follow_the_tie_column(spark):
     assert [r["rn"] for r in got] == list(range(1, 31)) and [r["prev"] for r in got] == [None, *map(float, range(1, 30))]
 
 
+def test_percentile_brackets_leave_most_rows_uncounted(spark):
+    """Half the rows in one group: only those near the wanted ranks are counted by value, the rest by gap."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=40_000), np.full(20_000, 0.25)])
+    df = spark.createDataFrame(pd.DataFrame({"ticker": "hot", "x": x})).repartition(6)
+    data = df.select("ticker", "x")
+    probs = [0.001, 0.25, 0.5, 0.9]
+    brackets = intraday._brackets(data, ["ticker"], probs, 2000, 2 / 2000)
+    inside = data.crossJoin(brackets.table.drop("ticker")).where(" OR ".join(f"(x BETWEEN lo[{i}] AND hi[{i}])" for i in range(4))).where("x <> 0.25").count()
+    found = intraday._order_statistics(data, ["ticker"], brackets, probs).table.collect()
+    ranked = np.sort(x)
+    assert inside < 2000 and all(r.kind__ == 1 and r.at__ == ranked[r["rank"]] for r in found) and len(found) == 8
+    got = intraday.exact_percentiles(df, ["ticker"], "x", probs).table.first()
+    np.testing.assert_allclose(got[1:], np.percentile(x, [100 * p for p in probs]), rtol=1e-12)
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    asked = []
+    right = intraday._brackets
+
+    def narrow(data, keys, probs, accuracy, reach):
+        asked.append(reach)
+        out = right(data, keys, probs, accuracy, reach)
+        return out if len(asked) > 1 else intraday.stage(out.table.selectExpr("k", "n", "transform(lo, v -> 1e9D) AS lo", "transform(hi, v -> 2e9D) AS hi"), "wrong")
+    monkeypatch.setattr(intraday, "_brackets", narrow)
+    df = spark.range(1000).selectExpr("1 AS k", "cast(id AS double) AS x")
+    got = intraday.exact_percentiles(df, ["k"], "x", [0.1, 0.5], 100).table.first()
+    assert len(asked) == 2 and asked[1] > asked[0] and got[1:] == pytest.approx((99.9, 499.5))
+
+
+def test_panel_blocks_share_their_minutes(spark):
+    """B lacks minutes in every block and the whole second block of the first day; one cell is null."""
+    times = [f"{9 + k // 60:02}:{k % 60:02}" for k in range(12)]
+    rows = [(d, m, "A", float(k + d)) for d in (1, 2) for k, m in enumerate(times) if not (d == 2 and k == 3)]
+    rows += [(d, m, "B", float(10 * k) if k else None) for d in (1, 2) for k, m in enumerate(times) if k % 3 == 0 and not (d == 1 and 5 <= k < 10)]
+    df = spark.createDataFrame(rows, "date int, time string, ticker string, value double").repartition(5)
+    pdf = pd.DataFrame(rows, columns=["date", "time", "ticker", "value"])
+    for by in (["date"], []):
+        wide = pdf.assign(at=pdf.time if by else pdf.date.astype(str) + pdf.time).pivot_table(index=[*by, "at"], columns="ticker", values="value", aggfunc="first", dropna=False)
+        wide = wide[wide.index.isin(pdf.assign(at=pdf.time if by else pdf.date.astype(str) + pdf.time).set_index([*by, "at"]).index)].sort_index()
+        number = wide.groupby(level=0).cumcount() if by else np.arange(len(wide))
+        want = wide.groupby([*(wide.index.get_level_values(b) for b in by), number // 5]).sum(min_count=1)
+        cells = df if by else df.withColumn("time", F.concat(F.col("date").cast("string"), "time"))
+        got = intraday.resample_panel(cells, 5, by=by).toPandas()
+        assert len(got) == 2 * len(want)
+        for r in got.itertuples():
+            value = want.loc[(r.date, r.block) if by else r.block, r.ticker]
+            assert (value != value and r.value != r.value) or value == r.value
+        assert got.n_minutes.max() == 5
+    first = {(r.block, r.ticker): (r.time, r.n_minutes, r.value) for r in intraday.resample_panel(df, 5).where("date = 1").collect()}
+    assert first[1, "B"] == ("09:09", 5, None) and first[2, "B"] == ("09:11", 2, None) and first[0, "B"][2] == 30.0 and first[2, "A"] == ("09:11", 2, 23.0)
+    assert intraday.resample_panel(df.where("false"), 5).count() == 0
+
+
 def test_winsorise(ticks, pdf):
-    got = intraday.winsorise(ticks, ["ticker"], "price", group_rows=30).toPandas()
+    got = intraday.winsorise(ticks, ["ticker"], "price", accuracy=30).toPandas()
     for k, g in pdf.groupby("ticker"):
         lo, hi = np.percentile(g.price, [0.5, 99.5])
         np.testing.assert_allclose(np.sort(got[got.ticker == k].price), np.sort(g.price.clip(lo, hi)))
@@ -126,6 +180,32 @@ def test_result_names(spark, tmp_path):
     assert [(r.model_key, r.ticker, r.value) for r in rows] == [("GHAR_iden+glasso", "A", 1.0), ("GHAR_iden+glasso", "B", None)]
 
 
+def test_every_result_file_is_read_by_its_own_header(spark, tmp_path):
+    """Two versions, two column orders, a folder of parts, a short line and quoted names side by side."""
+    d = "Forecast_Var_GHAR_iden_DJIA_W22_F1_pred.csv"
+    (tmp_path / d).write_text('"date","A","B"\n2020-01-01,1,2\n2020-01-02,3\n')
+    parts = tmp_path / "Forecast_Var_HAR_iden_DJIA_W22_F1_pred.csv"
+    parts.mkdir()
+    (parts / "part-0.csv").write_text("date,B,A\n2020-01-01,20,10\n")
+    (parts / "part-1.csv").write_text("date,C,A,B\n2020-01-02,x,30,inf\n")
+    (tmp_path / "Refit_Var_HAR_iden_DJIA_W22_F1_pred.csv").write_text("date,B\n2020-01-01,-1\n")
+    (tmp_path / "Forecast_Var_HAR_iden_DJIA_W22_F5_pred.csv").write_text("date,A\n2020-01-01,99\n")
+    (tmp_path / "Forecast_Var_HAR_iden_SP100_W22_F1_pred.csv").write_text("date,A\n2020-01-01,99\n")
+    (tmp_path / "notes.csv").write_text("a,b\n1,2\n")
+    manifest = scans.result_manifest(spark, str(tmp_path), "DJIA", 1)
+    assert sorted((r.version, r.model_key, *r.header) for r in manifest.table.collect()) == [
+        ("Forecast_Var", "GHAR_iden", "date", "A", "B"), ("Forecast_Var", "HAR_iden", "date", "B", "A"), ("Forecast_Var", "HAR_iden", "date", "C", "A", "B"), ("Refit_Var", "HAR_iden", "date", "B")]
+    got = {(r.version[0] + r.model_key[0], r.date.day, r.ticker): r.value for r in scans.read_manifest(spark, manifest).collect()}
+    assert got == {("FG", 1, "A"): 1, ("FG", 1, "B"): 2, ("FG", 2, "A"): 3, ("FG", 2, "B"): None, ("FH", 1, "A"): 10, ("FH", 1, "B"): 20,
+                   ("FH", 2, "A"): 30, ("FH", 2, "B"): None, ("FH", 2, "C"): None, ("RH", 1, "B"): -1}
+    with pytest.raises(ValueError, match="several versions"):
+        scans.result_files(spark, str(tmp_path), "DJIA", 1)
+    one = scans.result_files(spark, str(tmp_path), "DJIA", 1, version="Refit_Var").collect()
+    assert [(r.model_key, r.ticker, r.value) for r in one] == [("HAR_iden", "B", -1.0)]
+    none = scans.result_files(spark, str(tmp_path), "FTSE", 1)
+    assert none.count() == 0 and none.columns == ["model_key", "date", "ticker", "value"]
+
+
 def test_universes(spark):
     assert universes.universe(spark, "DJIA30").count() == 27 and universes.universe(spark, "SP100").count() == 80
     with pytest.raises(ValueError):

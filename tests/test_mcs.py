@@ -55,6 +55,61 @@ def test_against_brute_force(spark, algorithm):
     np.testing.assert_allclose([r.p_value for r in got], p)
 
 
+@pytest.mark.parametrize("slice_rows", [1, 7, 59, 60])
+def test_draws_do_not_depend_on_the_slices(spark, losses, slice_rows):
+    """Blocks that are open at the end of a slice, also over several slices, go on in the next one."""
+    matrix = mcs.loss_matrix(losses, "ticker", ["good", "fair", "bad"], "mse")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    whole = rows(mcs.bootstrap_draws(matrix, 30, 9, seed=3))
+    assert rows(mcs.bootstrap_draws(matrix, 30, 9, 3, slice_rows)) == whole and len(whole) == 1800
+    lengths = mcs.Lengths(spark.createDataFrame([(60,), (60,), (8,)], "t long"), 60)
+    both = rows(mcs.bootstrap_draws(lengths, 30, 9, 3, slice_rows))
+    assert [r[1:] for r in both if r[0] == 60] == whole and len(both) == 30 * 68
+    assert [r[1:] for r in both if r[0] == 8] == [tuple(r) for r in rows(mcs.bootstrap_draws(mcs.Staged(matrix.table, 8), 30, 9, 3))]
+
+
+@pytest.mark.parametrize("algorithm", ["SQ", "R"])
+def test_all_sets_at_once(spark, algorithm):
+    """Sets of different sizes, one of them under a null key, each against direct arithmetic on its own draws."""
+    rng = np.random.default_rng(5)
+    names, sizes = ["a", "b", "c", "d", "e"], {("low", 1): 30, ("high", 1): 18, (None, 2): 30}
+    data = {k: 1 + rng.normal(size=(t, 1)) + 0.05 * np.arange(5) + rng.normal(size=(t, 5)) * 0.3 for k, t in sizes.items()}
+    rows = [(*k, f"u{u:03}", m, float(x[u, i])) for k, x in data.items() for u in range(len(x)) for i, m in enumerate(names)]
+    df = spark.createDataFrame(rows, "regime string, horizon int, ticker string, model string, loss double").repartition(7)
+    got = mcs.confidence_sets(df, ["regime", "horizon"], "ticker", names, "loss", n_boot=150, block=3, algorithm=algorithm, seed=2).collect()
+    assert len(got) == 15
+    for k, x in data.items():
+        draws = mcs.bootstrap_draws(mcs.Staged(df, len(x)), 150, 3, 2).toPandas().sort_values(["b", "pos"])
+        order, p = brute(x, draws.idx.to_numpy().reshape(150, len(x)), algorithm)
+        mine = sorted((r.step, r.model, r.p_value, r.included) for r in got if (r.regime, r.horizon) == k)
+        assert [r[1] for r in mine] == [names[i] for i in order]
+        np.testing.assert_allclose([r[2] for r in mine], p)
+        assert [r[3] for r in mine] == [v > 0.05 for v in p]
+
+
+def test_a_hundred_models(spark):
+    rng = np.random.default_rng(11)
+    names, t = [f"m{k:03}" for k in range(100)], 24
+    x = 1 + 0.01 * rng.permutation(100) + rng.normal(size=(t, 100)) * 0.2
+    df = spark.createDataFrame([(f"u{u:03}", m, float(x[u, i])) for u in range(t) for i, m in enumerate(names)], "ticker string, model string, loss double")
+    got = mcs.confidence_set(df, "ticker", names, "loss", n_boot=40, block=2).orderBy("step").collect()
+    draws = mcs.bootstrap_draws(mcs.Staged(df, t), 40, 2).toPandas().sort_values(["b", "pos"])
+    order, p = brute(x, draws.idx.to_numpy().reshape(40, t), "SQ")
+    assert [r.model for r in got] == [names[i] for i in order]
+    np.testing.assert_allclose([r.p_value for r in got], p)
+
+
+def test_reports_in_the_given_order(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, f"u{k}", m, float(level + rng.normal() * 0.1)) for g in ("low", "high") for k in range(15) for m, level in (("a", 1.0), ("b", 2.0), ("c", 4.0))]
+    df = spark.createDataFrame(rows, "regime string, ticker string, model string, loss double")
+    got = mcs.confidence_reports(df, ["regime"], "ticker", ["a", "b", "c"], "b", "loss", shown=["c", "b"], n_boot=60).orderBy("regime", "place").collect()
+    assert [(r.regime, r.place, r.model, r["rank"]) for r in got] == [(g, k + 1, m, w) for g in ("high", "low") for k, (m, w) in enumerate((("c", 3.0), ("b", 2.0)))]
+    mean = df.toPandas().groupby(["regime", "model"]).loss.mean()
+    for r in got:
+        assert r.loss_ratio == pytest.approx(mean[r.regime, r.model] / mean[r.regime, "b"]) and r.loss == pytest.approx(mean[r.regime, r.model])
+
+
 def test_blocks_run_on_and_wrap(losses):
     matrix = mcs.loss_matrix(losses, "ticker", ["good", "fair", "bad"], "mse")
     d = mcs.bootstrap_draws(matrix, 50, 4).toPandas().sort_values(["b", "pos"])

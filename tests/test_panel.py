@@ -158,6 +158,38 @@ def test_missing_truth_and_bad_forecasts_fail(spark):
         evaluate.assert_positive(pred).collect()
 
 
+def test_a_bad_forecast_stops_the_query_that_scores_it(spark, sf, monkeypatch):
+    from volarium.plans import catalog_evaluate
+    from volarium.plans.catalog import CATALOG
+
+    good = catalog_evaluate.predictions(spark, sf)
+    monkeypatch.setattr(catalog_evaluate, "predictions", lambda *_: good.withColumn("yhat", F.when(F.col("pos") == 100, F.lit(0.0)).otherwise(F.col("yhat"))))
+    with pytest.raises(Exception, match="not positive"):
+        CATALOG["asserted_forecast_losses"].run(spark, sf).collect()
+
+
+def test_running_best_flat_runs_and_restarts(spark):
+    nan = float("nan")
+    fits = {"down": [5.0, 4.0, 3.0, 3.0, 2.5], "flat": [7.0, 7.0, 7.0, 7.0, 1.0, 1.0], "high": [3.0, 900.0], "broken": [2.0, 1.0, nan], "gap": [None, 3.0, None, 3.0], "one": [1.0]}
+    df = spark.createDataFrame([(k, i + 1, v) for k, vs in fits.items() for i, v in enumerate(vs)], "run string, epoch int, valid double").repartition(4)
+    best = {(r.run, r.epoch): (r.best_loss, r.best_step) for r in evaluate.best_so_far(df, ["run"]).collect()}
+    assert [best["down", k] for k in (1, 3, 4, 5)] == [(5.0, 1), (3.0, 3), (3.0, 3), (2.5, 5)]
+    assert best["broken", 3] == (1.0, 2) and best["gap", 1] == (None, None) and best["gap", 4] == (3.0, 2) and best["flat", 6] == (1.0, 5)
+    runs = {(r.run, r["first"]): (r["last"], r.steps) for r in evaluate.flat_runs(df, ["run"]).collect()}
+    assert runs == {("down", 4): (4, 1), ("flat", 2): (4, 3), ("flat", 6): (6, 1)}
+    rule = {r.run: r for r in evaluate.restart_rule(df, ["run"]).collect()}
+    assert {k for k, r in rule.items() if r.restart} == {"flat", "high", "broken"} and rule["flat"].longest_flat == 3 and rule["one"].longest_flat == 0
+    assert rule["flat"].flat_share == pytest.approx(4 / 6) and (rule["broken"].best_step, rule["broken"].best_loss) == (2, 1.0)
+
+
+def test_average_rank_by_group_and_without_metric(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 400).astype(str), "v": rng.integers(0, 30, 400).astype(float), "i": range(400)})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("0", None, 999)], "g string, v double, i long"))
+    got = evaluate.average_rank(df, "v", "r", ["g"]).orderBy("i").collect()
+    assert [r.r for r in got] == pdf.groupby("g").v.rank().tolist()
+
+
 def test_average_rank_matches_pandas(spark):
     values = [3.0, 1.0, 3.0, 2.0, 3.0, 0.5, 0.5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volarium.operators.graph import graph_panel, term_columns
 from volarium.operators.panel import calendar
-from volarium.operators.regress import fit_ols, gram_names, gram_terms, predict, solve_gram
+from volarium.operators.regress import additive_terms, fit_ols, gram_names, gram_terms, predict, solve_gram
 from volarium.session import Staged, attach, stage
 
 # Dates between two fits, longest training span, validation dates before an origin.
@@ -75,9 +75,9 @@ def rolling_ols(features: DataFrame, xs: Sequence[str], first: int, step: int =
     The panel is reduced to one Gram per date; an origin's Gram is the sum over its look-back span.
     The window is global but runs over the calendar (one row per date), never over the panel.
     """
-    per_date = features.groupBy("pos").agg(*gram_terms(xs))
-    w = Window.orderBy("pos").rangeBetween(-look_back, -1)
-    sums = {c: F.sum(c).over(w) for c in gram_names(len(xs))}
+    per_date = additive_terms(features.groupBy("pos").agg(*gram_terms(xs)), len(xs), ["pos"])
+    w = Window.partitionBy(F.lit(1)).orderBy("pos").rangeBetween(-look_back, -1)
+    sums = {c: F.col(c) if c.startswith("g_p") else F.sum(c).over(w) for c in gram_names(len(xs))}
     windowed = per_date.select("pos", *[s.alias(c) for c, s in sums.items()])
     at_origins = windowed.filter((F.col("pos") >= first) & (F.pmod(F.col("pos") - first, F.lit(step)) == 0))
     return stage(solve_gram(at_origins.withColumnRenamed("pos", "origin"), len(xs), ["origin"]), "rolling-ols")

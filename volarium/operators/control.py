@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from volarium.functions.scalars import keyed_normal
 from volarium.operators.graph import correlations, cross_moments, propagate
 from volarium.operators.panel import by_ticker
-from volarium.operators.regress import coefficients_long, fit_ols, predict, r_squared
+from volarium.operators.regress import coefficients_long, fit_ols, gram_names, gram_terms, predict, r_squared, solve_gram
 from volarium.session import Staged, attach, stage
 
 # Fixed value: seed of the published control series.
@@ -80,14 +80,31 @@ def cross_lag_check(dense: DataFrame, target: str, regressors: Sequence[tuple[st
     return coef, r_squared(predict(rows, coef, names))
 
 
-def cross_lag_report(dense: DataFrame, specs: dict[str, Sequence[tuple[str, int]]], value: str = "value") -> DataFrame:
-    """(target, term, beta, r2) for several targets."""
-    parts = []
-    for target, regs in specs.items():
-        coef, fit = cross_lag_check(dense, target, regs, value)
-        terms = coefficients_long(coef.table, [f"{t}^{p}" for t, p in regs])
-        parts.append(terms.withColumns({"target": F.lit(target), "r2": fit.select("r2").scalar()}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def cross_lag_report(dense: DataFrame, specs: dict[str, Sequence[tuple[str, int]]], value: str = "value", head: int = 0) -> DataFrame:
+    """(target, term, beta, r2) for several targets, from one scan of the panel whatever their number.
+
+    One conditional aggregation by date lines up every series that any specification needs: the targets, their own and other tickers' lags
+    and powers of these. A second one over the dates has the Gram terms of all specifications, each over the dates on which its own
+    series are complete; a specification is then solved from its terms.
+    """
+    terms = list(dict.fromkeys(r for regs in specs.values() for r in regs))
+    lagged = dense.withColumn("lag1", F.lag(value).over(by_ticker())).filter(F.col("pos") > head)
+    pick = lambda ticker, c: F.max(F.when(F.col("ticker") == ticker, c))
+    lined_up = lagged.groupBy("date").agg(*[pick(t, F.col(value)).alias(f"y{k}") for k, t in enumerate(specs)],
+                                          *[pick(t, F.pow("lag1", F.lit(float(p)))).alias(f"x{k}") for k, (t, p) in enumerate(terms)])
+    masked, grams = {}, []
+    for k, (target, regs) in enumerate(specs.items()):
+        own = [f"y{k}", *[f"x{terms.index(r)}" for r in regs]]
+        complete = F.lit(True)
+        for c in own:
+            complete = complete & F.col(c).isNotNull()
+        masked |= {f"s{k}_{i}": F.when(complete, F.col(c)) for i, c in enumerate(own)}
+        names = [f"s{k}_{i + 1}" for i in range(len(regs))]
+        grams += [t.alias(f"s{k}_{n}") for t, n in zip(gram_terms(names, f"s{k}_0"), gram_names(len(regs)))]
+    one = stage(lined_up.select([c.alias(n) for n, c in masked.items()]).agg(*grams), "cross-lag-gram").table
+    out = None
+    for k, (target, regs) in enumerate(specs.items()):
+        fit = solve_gram(one.select(*[F.col(f"s{k}_{n}").alias(n) for n in gram_names(len(regs))]), len(regs))
+        part = coefficients_long(fit, [f"{t}^{p}" for t, p in regs], ["r2"]).withColumn("target", F.lit(target))
+        out = part if out is None else out.unionByName(part)
     return out.select("target", "term", "beta", "r2")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from volarium.functions.scalars import qlike_term, ratio, squared_error
 from volarium.operators.intraday import exact_percentiles
-from volarium.operators.ordering import running_total
 from volarium.session import Staged, attach, stage
 
 
@@ -76,20 +75,23 @@ def improvement(table: DataFrame, baseline: str, metrics: Sequence[str] = ("mse"
 
 
 def average_rank(table: DataFrame, metric: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ascending rank where ties share the mean of their places.
+    """Ascending rank where ties share the mean of their places; rows without a metric are left out.
 
-    Equal values are counted first; a value's rank follows from the number of smaller ones. The table is
-    staged, because the ranks are joined back on the metric and a recomputed sum may differ in its last bit.
+    The table is cut into ranges of (by, metric), which never part equal values, and written with its range number. A range ranks
+    its own rows; the row counts of the ranges before it, a table of ranges x groups, supply the offset. Nothing is joined on a metric.
     """
-    table = stage(table, "ranked").table
-    counts = table.groupBy(*by, metric).agg(F.count(F.lit(1)).alias("ties"))
-    placed = running_total(counts, by, metric, "ties", "smaller")
-    ranks = placed.table.select(*by, metric, (F.col("smaller") + (F.col("ties") + 1) / 2).alias(name))
-    return attach(table, Staged(ranks, placed.rows), [*by, metric])
+    by = list(by)
+    ranges = stage(table.where(F.col(metric).isNotNull()).repartitionByRange(*by, metric).withColumn("range__", F.spark_partition_id()), "ranked").table
+    counts = ranges.groupBy(*by, "range__").agg(F.count(F.lit(1)).alias("rows__"))
+    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "range__", F.coalesce(F.sum("rows__").over(before), F.lit(0)).alias("before__"))
+    inside = Window.partitionBy(*by, "range__")
+    first, ties = F.rank().over(inside.orderBy(metric)), F.count(F.lit(1)).over(Window.partitionBy(*by, "range__", metric))
+    return ranges.join(offsets, [*by, "range__"]).withColumn(name, F.col("before__") + first + (ties - 1) / 2).drop("range__", "before__")
 
 
 def place(table: DataFrame, metric: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Competition rank (1 + number of smaller), or a strict order when tie-breakers are named."""
+    """Competition rank (1 + number of smaller), or a strict order when tie-breakers are named, of a table with one row a model."""
     if ties:
         return table.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(metric, *ties)))
     return table.withColumn(name, F.rank().over(Window.partitionBy(F.lit(1)).orderBy(metric)))
@@ -216,3 +218,39 @@ def flat_share(history: DataFrame, by: Sequence[str], order: str = "epoch", loss
     return history.withColumn("step", step).groupBy(*by).agg(
         F.avg(F.when(F.col("step") < tolerance, 1.0).otherwise(0.0)).alias("flat_share"),
         F.max_by(loss, order).alias("final_loss"))
+
+
+def best_so_far(history: DataFrame, by: Sequence[str], order: str = "epoch", loss: str = "valid") -> DataFrame:
+    """Adds best_loss and best_step: the lowest loss up to a step and the first step that had it, which is the state a trainer would have kept.
+
+    A step whose loss is missing or not a number never is the best one; before the first sound loss both columns are NULL. Histories are
+    bounded by their steps, fits by nothing, so a history is one window partition.
+    """
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sound = F.when(F.col(loss).isNotNull() & ~F.isnan(loss), F.struct(F.col(loss).alias("loss"), F.col(order).alias("step")))
+    return history.withColumn("best", F.min(sound).over(w)).withColumns({"best_loss": F.col("best.loss"), "best_step": F.col("best.step")}).drop("best")
+
+
+def flat_runs(history: DataFrame, by: Sequence[str], order: str = "epoch", loss: str = "valid", tolerance: float = 1e-6) -> DataFrame:
+    """(by, first, last, steps): every maximal run of consecutive steps that hardly move.
+
+    Gaps and islands: a flat step's place among all steps less its place among the flat ones is the same throughout a run.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    steps = history.select(*by, order, (F.abs(F.col(loss) - F.lag(loss).over(w)) < tolerance).alias("flat"), F.row_number().over(w).alias("place"))
+    flat = steps.where("flat").withColumn("island", F.col("place") - F.row_number().over(w))
+    return flat.groupBy(*by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("steps")).drop("island")
+
+
+def restart_rule(history: DataFrame, by: Sequence[str], order: str = "epoch", loss: str = "valid", tolerance: float = 1e-6,
+                 most_flat: float = 0.5, most_loss: float = 100.0) -> DataFrame:
+    """(by, flat_share, longest_flat, final_loss, best_step, best_loss, restart): whether a fit must be started again.
+
+    A fit restarts if more than `most_flat` of its steps hardly move, or if its last loss is beyond `most_loss`, missing or not a number.
+    """
+    last = best_so_far(history, by, order, loss).groupBy(*by).agg(F.max_by("best_step", order).alias("best_step"), F.max_by("best_loss", order).alias("best_loss"))
+    longest = flat_runs(history, by, order, loss, tolerance).groupBy(*by).agg(F.max("steps").alias("longest_flat"))
+    shares = flat_share(history, by, order, loss, tolerance)
+    out = shares.join(last, list(by)).join(longest, list(by), "left").withColumn("longest_flat", F.coalesce("longest_flat", F.lit(0)))
+    sound = F.coalesce((F.col("final_loss") <= most_loss) & ~F.isnan("final_loss"), F.lit(False))
+    return out.withColumn("restart", (F.col("flat_share") > most_flat) | ~sound)

@@ -166,17 +166,18 @@ def term_columns(terms: Sequence[str], columns: Sequence[str]) -> list[str]:
 def cross_moments(panel: DataFrame, value: str, group: Sequence[str], block: int = 256, chunk: int = 256) -> DataFrame:
     """Sums over dates for every pair of tickers: (group..., src, dst, n, sx, sy, sxy) with src <= dst.
 
+    Values are taken less their ticker's mean over the panel, so covariances from these sums lose no digits to a ticker's level.
     A blocked matrix product. Tickers are cut into blocks of `block` names, dates into chunks of
     `chunk`; one task multiplies two blocks over one chunk (at most 2 * block * chunk cells) and emits
     one row per pair, and the rows are summed over the chunks. No date ever emits its pairs as rows.
     Needs `pos` and no missing cells.
     """
     group = list(group)
-    names = number_nodes(panel)
-    block_of = Staged(names.table.select("ticker", F.floor(F.col("i") / block).cast("int").alias("blk")), names.rows)
+    names = number_rows(panel.groupBy("ticker").agg(F.avg(value).alias("level")), "ticker", "i")
+    block_of = Staged(names.table.select("ticker", "level", F.floor(F.col("i") / block).cast("int").alias("blk")), names.rows)
     n_blocks = -(-names.rows // block)
     cells = attach(panel.select(*group, "pos", "ticker", F.col(value).alias("x")), block_of, ["ticker"])
-    cells = cells.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("int"))
+    cells = cells.withColumn("x", F.col("x") - F.col("level")).drop("level").withColumn("chunk", F.floor(F.col("pos") / chunk).cast("int"))
     # A block meets itself and every other block; the task key is the ordered pair of blocks.
     paired = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumns({
         "bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")})

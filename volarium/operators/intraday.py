@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import relative_spread
+from volarium.operators.ordering import running_total
 from volarium.session import Staged, attach, stage
 
 # First slice length, and the largest slice (in rows) that one task should sort.
 SLICE_SECONDS = 3600
 SLICE_ROWS = 2_000_000
-# Largest group that one task may hold for the built-in exact percentile.
-PERCENTILE_ROWS = 1_000_000
-PERCENTILE_BINS = 1024
+# Relative accuracy (as 1 / ACCURACY) of the sketch that brackets a percentile before it is counted exactly.
+ACCURACY = 2000
 
 
 def _slice(order: str, seconds: int) -> Column:
@@ -122,84 +122,105 @@ def _interpolate(lower: Column, upper: Column, rank: Column) -> Column:
     return F.when((share == 0) | (lower == upper), lower).otherwise((1 - share) * lower + share * upper)
 
 
-def _bin(bins: int) -> Column:
-    """Number of a value among equal-width bins of its cell; -inf, +inf and NaN have bins of their own.
+def _brackets(data: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int, reach: float) -> Staged:
+    """(keys, n, lo, hi): per key the row count and for every probability values around its order statistics.
 
-    The finite bounds of a cell fall into different bins, so a pass always splits a cell of two values or more.
+    One scan with the built-in mergeable quantile sketch. Its ranks are off by at most n / accuracy, so bounds taken `reach` to either side hold the
+    wanted ranks; where that is less than three ranks, or reaches an end, a bound is left open. NaN takes part as infinity,
+    the place next to it.
     """
+    asked = [min(max(q, 0.0), 1.0) for p in probs for q in (p - reach, p + reach)]
+    sketched = F.when(F.isnan("x"), F.lit(float("inf"))).otherwise(F.col("x"))
+    sketch = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(sketched, asked, accuracy).alias("at"))
+    narrow = F.col("n") * reach < 3
     inf = float("inf")
-    scale = F.when(F.col("hi") - F.col("lo") < inf, F.lit(1.0)).otherwise(F.lit(0.5))  # the width of a cell may overflow
-    width = F.col("hi") * scale - F.col("lo") * scale
-    share = F.when(width > 0, (F.col("x") * scale - F.col("lo") * scale) / width).otherwise(F.lit(0.0))
-    finite = F.least(F.floor(share * bins), F.lit(bins - 1))
-    return (F.when(F.isnan("x"), F.lit(bins + 1)).when(F.col("x") == inf, F.lit(bins))
-            .when(F.col("x") == -inf, F.lit(-1)).otherwise(finite).cast("long"))
+    lo = [F.lit(-inf) if p - reach <= 0 else F.when(narrow, F.lit(-inf)).otherwise(F.get("at", F.lit(2 * i))) for i, p in enumerate(probs)]
+    hi = [F.lit(inf) if p + reach >= 1 else F.when(narrow, F.lit(inf)).otherwise(F.get("at", F.lit(2 * i + 1))) for i, p in enumerate(probs)]
+    return stage(sketch.select(*keys, "n", F.array(*lo).alias("lo"), F.array(*hi).alias("hi")), "percentile-brackets")
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      group_rows: int = PERCENTILE_ROWS, bins: int = PERCENTILE_BINS) -> Staged:
+def _order_statistics(data: DataFrame, keys: Sequence[str], brackets: Staged, probs: Sequence[float]) -> Staged:
+    """(keys, rank, at__, kind__): the value at every wanted rank; kind__ 1 if it was counted, else the bracket missed the rank.
+
+    One scan: rows inside a bracket are counted by value, all others by the gap between brackets that they lie in. A running total
+    in value order over these counts, range-partitioned, places them.
+    """
+    x, inf = F.col("x"), F.lit(float("inf"))
+    bound = [(F.get("lo", F.lit(i)), F.get("hi", F.lit(i))) for i in range(len(probs))]
+    inside = F.lit(False)
+    for lo, hi in bound:
+        inside = inside | ((x >= lo) & ((x <= hi) | (hi == inf)))
+    next_lo = F.array_min(F.array(*[F.when(x < lo, lo) for lo, _ in bound]))
+    place = F.when(inside, F.struct(x.alias("at__"), F.lit(1).alias("kind__"))).when(next_lo.isNotNull(), F.struct(next_lo.alias("at__"), F.lit(0).alias("kind__"))) \
+        .otherwise(F.struct(F.lit(float("nan")).alias("at__"), F.lit(2).alias("kind__")))
+    counts = attach(data, brackets, keys).groupBy(*keys, place.alias("place__")).agg(F.count(F.lit(1)).alias("count"))
+    placed = running_total(counts, keys, "place__", "count", "below").table
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p))) for p in probs])))
+    wanted = attach(placed, Staged(brackets.table.select(*keys, ranks.alias("ranks")), brackets.rows), keys)
+    hits = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("count")))
+    return stage(wanted.select(*keys, F.explode(hits).alias("rank"), "place__.at__", "place__.kind__"), "order-statistics")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> Staged:
     """Linearly interpolated percentiles per key, ignoring NULLs: (keys..., p0, p1, ...).
 
-    The built-in aggregate keeps a group's distinct values in one task, so it serves only while the
-    largest group is counted at `group_rows` or less. Beyond that the wanted order statistics are
-    located by histogram passes: each pass splits the cells that hold a wanted rank into equal-width
-    bins, keeps the bins with a wanted rank, and stops when the largest of them is small enough or
-    holds one value. Only those rows are then counted by value. Both ways give the same numbers;
-    NaN ranks above infinity.
+    Two scans whatever the size of a group: a sketch brackets the wanted order statistics, then the rows inside the brackets are
+    counted by value. The counts prove that a bracket holds its rank; should one not, all brackets are widened and
+    counted again. No group is gathered in a task. NaN ranks above infinity.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    sizes = stage(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "percentile-sizes")
-    largest = sizes.table.agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest <= group_rows:
-        return stage(
-            data.groupBy(*keys).agg(*[F.percentile("x", F.lit(p)).alias(f"p{i}") for i, p in enumerate(probs)]),
-            "percentiles")
-
-    # Later passes compare rows with stored bounds, so the rows must not be recomputed from here on.
-    data = stage(data, "percentile-rows").table
-    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
-    bounds = [F.coalesce(F.min(finite), F.lit(0.0)).alias("lo"), F.coalesce(F.max(finite), F.lit(0.0)).alias("hi"),
-              F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("open")]
-    sizes = stage(data.groupBy(*keys).agg(*bounds), "percentile-sizes")
-    ranks = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p))) for p in probs])))
-    cells = Staged(sizes.table.select(*keys, F.lit(0).alias("cell"), "lo", "hi", "open", F.lit(0).cast("long").alias("below"),
-                                      ranks.alias("ranks"), "n"), sizes.rows)
-    rows = attach(data, Staged(cells.table.select(*keys, "cell", "lo", "hi"), cells.rows), keys)
-    while (cells.table.filter("open").agg(F.max("n").alias("n")).first()["n"] or 0) > group_rows:
-        split = rows.select(*keys, "x", F.col("cell").alias("parent"), _bin(bins).alias("bin"))
-        counts = split.groupBy(*keys, "parent", "bin").agg(*bounds)
-        parents = Staged(cells.table.select(*keys, F.col("cell").alias("parent"), "below", "ranks"), cells.rows)
-        run = Window.partitionBy(*keys, "parent").orderBy("bin")
-        counts = attach(counts, parents, [*keys, "parent"]).withColumn(
-            "below", F.col("below") + F.sum("n").over(run) - F.col("n"))
-        inside = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
-        kept = counts.withColumn("ranks", inside).filter(F.size("ranks") > 0)
-        # a key keeps at most two cells for each wanted percentile, so their numbers stay small
-        cells = stage(kept.withColumn("cell", F.row_number().over(Window.partitionBy(*keys).orderBy("below"))), "percentile-cells")
-        rows = attach(split, Staged(cells.table.select(*keys, "parent", "bin", "cell", "lo", "hi"), cells.rows), [*keys, "parent", "bin"])
-
-    on = [*keys, "cell"]
-    by_value = rows.groupBy(*on, "x").agg(F.count(F.lit(1)).alias("n"))
-    by_value = attach(by_value, Staged(cells.table.select(*on, "below", "ranks"), cells.rows), on)
-    run = Window.partitionBy(*on).orderBy("x")
-    placed = by_value.withColumn("below", F.col("below") + F.sum("n").over(run) - F.col("n"))
-    hits = placed.withColumn("rank", F.explode(
-        F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))))
-    found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "x"))).alias("at"))
-    out = attach(found, Staged(sizes.table.select(*keys, "n"), sizes.rows), keys)
-    return stage(out.select(*keys, *[
+    reach = 2 / accuracy
+    while True:
+        brackets = _brackets(data, keys, probs, accuracy, reach)
+        found = _order_statistics(data, keys, brackets, probs)
+        if found.table.where("kind__ <> 1").isEmpty():
+            break
+        reach *= 8
+    at = found.table.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "at__"))).alias("at"))
+    out = attach(at, Staged(brackets.table.select(*keys, "n"), brackets.rows), keys)
+    return Staged(out.select(*keys, *[
         _interpolate(F.element_at("at", F.floor((F.col("n") - 1) * F.lit(p))),
                      F.element_at("at", F.ceil((F.col("n") - 1) * F.lit(p))),
                      (F.col("n") - 1) * F.lit(p)).alias(f"p{i}")
-        for i, p in enumerate(probs)]), "percentiles")
+        for i, p in enumerate(probs)]), brackets.rows)
+
+
+def number_minutes(cells: DataFrame, by: Sequence[str] = ("date",), time: str = "time") -> Staged:
+    """(by, time, rn): the distinct times at which any ticker has a cell, numbered from 1 within `by`."""
+    minutes = cells.select(*by, time, F.lit(1).cast("long").alias("one")).distinct()
+    numbered = running_total(minutes, by, time, "one", "before")
+    return Staged(numbered.table.select(*by, time, (F.col("before") + 1).alias("rn")), numbered.rows)
+
+
+def resample_panel(cells: DataFrame, k: int = 5, value: str = "value", by: Sequence[str] = ("date",), time: str = "time") -> DataFrame:
+    """k consecutive rows of the merged panel to one: (by, block, time, n_minutes, ticker, value).
+
+    A row of the merged panel is a time at which any ticker has a cell, so all tickers share one numbering and a block covers the same
+    minutes for each of them, whether a ticker has a cell in every minute or in none. A value is the sum over the ticker's cells
+    (all-NULL stays NULL, as does a ticker without cells in a block), under the block's last time. A trailing block of a day with
+    fewer than k rows is kept under its own last time. With an empty `by` blocks run on from day to day, if times sort across days.
+
+    Numbering and blocks are tables over the calendar; the cells meet them by a counted join. The grid of blocks and tickers joins the
+    cells as rows without a value, so one aggregation adds up cells and completes the grid.
+    """
+    by = list(by)
+    minutes = number_minutes(cells, by, time)
+    blocked = stage(minutes.table.select(*by, time, F.floor((F.col("rn") - 1) / k).alias("block")), "minute-blocks")
+    tickers = cells.select("ticker").distinct().agg(F.array_sort(F.collect_list("ticker")).alias("tickers")).scalar()
+    blocks = blocked.table.groupBy(*by, "block").agg(F.max(time).alias(time), F.count(F.lit(1)).alias("n_minutes"))
+    grid = blocks.withColumn("ticker", F.explode(tickers)).withColumn(value, F.lit(None).cast("double"))
+    rows = attach(cells.select(*by, time, "ticker", F.col(value).cast("double").alias(value)), blocked, [*by, time]).drop(time)
+    both = rows.unionByName(grid, allowMissingColumns=True)
+    return both.groupBy(*by, "block", "ticker").agg(F.max(time).alias(time), F.max("n_minutes").alias("n_minutes"), F.sum(value).alias(value)).select(
+        *by, "block", time, "n_minutes", "ticker", value)
 
 
 def winsorise(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.005, high: float = 0.995,
-              group_rows: int = PERCENTILE_ROWS) -> DataFrame:
+              accuracy: int = ACCURACY) -> DataFrame:
     """Pull values outside the two percentiles of their key back to them; NULL stays NULL."""
-    bounds = exact_percentiles(df, keys, value, [low, high], group_rows)
+    bounds = exact_percentiles(df, keys, value, [low, high], accuracy)
     joined = attach(df, bounds, list(keys), "left")
     clipped = F.when(F.col(value) > F.col("p1"), F.col("p1")).when(F.col(value) < F.col("p0"), F.col("p0"))
     return joined.withColumn(value, clipped.otherwise(F.col(value))).drop("p0", "p1")

@@ -111,6 +111,15 @@ def best_model_by_ticker(spark, sf):
     return _round(e, ["ticker", "lowest", "highest"], ["lowest_value", "highest_value"])
 
 
+@query("P15 A7", f"""WITH {PRED} SELECT model, round({q.MSE}, 6) + 0.0 AS mse, round({q.QLIKE}, 6) + 0.0 AS qlike, count(*) AS n FROM pred GROUP BY 1""")
+def asserted_forecast_losses(spark, sf):
+    """Losses of forecasts that are asserted to be positive in the job that scores them: one that is not stops the job."""
+    checked = evaluate.assert_positive(predictions(spark, sf))
+    cols = evaluate.loss_columns()
+    out = checked.groupBy("model").agg(cols["mse"].alias("mse"), cols["qlike"].alias("qlike"), F.count("yhat").alias("n"))
+    return _round(out, ["model", "n"], ["mse", "qlike"])
+
+
 REGIMES = """market AS (SELECT date, sum(value) AS value FROM dense GROUP BY 1),
 scored AS (SELECT * FROM market WHERE date IN (SELECT date FROM pred)),
 regimes AS (SELECT date, CASE WHEN value >= (SELECT quantile_cont(value, 0.9) FROM scored) THEN 'high' ELSE 'low' END AS regime FROM scored)"""
@@ -252,7 +261,7 @@ def _mcs_query(unit, metric, n_boot, block, algorithm):
 SELECT model, step, round(p_value, 6) + 0.0 AS p_value, p_value > 0.05 AS included FROM mcs"""
 
 
-RESAMPLES = 10_000  # as the reference; the SQL counterparts still draw fewer
+RESAMPLES = 10_000  # as the reference, here and in the SQL
 
 
 def unit_losses(spark, sf, unit, nations=True):
@@ -264,36 +273,33 @@ def _set(df):
     return df.select("model", "step", rounded("p_value", 6).alias("p_value"), "included")
 
 
-@query("M20 M17 M18 M19 J12 W12 W15 U3", _mcs_query("ticker", "mse", 1000, 2, "SQ"))
+@query("M20 M17 M18 M19 J12 W12 W15 U3", _mcs_query("ticker", "mse", RESAMPLES, 2, "SQ"))
 def confidence_set_by_ticker(spark, sf):
     return _set(mcs.confidence_set(unit_losses(spark, sf, "ticker"), "ticker", MODELS, "mse", n_boot=RESAMPLES))
 
 
-@query("M20 M19 T16", _mcs_query("date", "qlike", 200, 5, "R"))
+@query("M20 M19 T16", _mcs_query("date", "qlike", RESAMPLES, 5, "R"))
 def confidence_set_by_date(spark, sf):
     return _set(mcs.confidence_set(unit_losses(spark, sf, "date"), "date", MODELS, "qlike", n_boot=RESAMPLES, block=5, algorithm="R"))
 
 
 @query("M17 W15", f"""WITH {PRED}, units AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS pos, count(*) OVER () AS t FROM (SELECT DISTINCT ticker FROM pred)),
 draw0 AS (SELECT b, pos, t, CASE WHEN pos = 0 OR {q.uniform("'r7'", 'b', 'pos')} < {1 / 4!r} THEN floor({q.uniform("'s7'", 'b', 'pos')} * t) - pos END AS start
-  FROM units, (SELECT unnest(range(100)) AS b))
+  FROM units, (SELECT unnest(range({RESAMPLES})) AS b))
 SELECT b, pos, CAST((((last_value(start IGNORE NULLS) OVER (PARTITION BY b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + pos) % t) + t) % t AS BIGINT) AS idx FROM draw0""")
 def block_bootstrap(spark, sf):
     matrix = mcs.loss_matrix(unit_losses(spark, sf, "ticker", nations=False), "ticker", MODELS, "mse")
     return mcs.bootstrap_draws(matrix, RESAMPLES, 4, seed=7).select(*[F.col(c).cast("long").alias(c) for c in ("b", "pos", "idx")])
 
 
-@query("M18 J12", f"""WITH {NPRED}, {mcs_sql('ticker', 'mse', 500, 2, 'SQ')}
+@query("M18 J12", f"""WITH {NPRED}, {mcs_sql('ticker', 'mse', RESAMPLES, 2, 'SQ')}
 SELECT i, j, round(dbar, 6) + 0.0 AS dbar, round(v * 1000, 6) + 0.0 AS variance FROM dij""")
 def loss_difference_moments(spark, sf):
-    matrix = mcs.loss_matrix(unit_losses(spark, sf, "ticker"), "ticker", MODELS, "mse")
-    boot = stage(mcs.resampled_means(matrix, len(MODELS), mcs.bootstrap_draws(matrix, RESAMPLES, 2)), "resamples").table
-    pair = mcs.pair_moments(matrix, boot, len(MODELS))
-    rows = spark.createDataFrame([(MODELS[i], MODELS[j], d, v * 1000) for (i, j), (d, v) in pair.items()], "i string, j string, dbar double, variance double")
-    return _round(rows, ["i", "j"], ["dbar", "variance"])
+    pairs = mcs.difference_moments(unit_losses(spark, sf, "ticker"), [], "ticker", MODELS, "mse", RESAMPLES, 2)
+    return _round(pairs.withColumn("variance", F.col("variance") * 1000), ["i", "j"], ["dbar", "variance"])
 
 
-@query("M21 A9 W11", f"""WITH {NPRED}, {mcs_sql('ticker', 'mse', 1000, 2, 'SQ')},
+@query("M21 A9 W11", f"""WITH {NPRED}, {mcs_sql('ticker', 'mse', RESAMPLES, 2, 'SQ')},
 m AS (SELECT model, avg(l) AS loss FROM loss GROUP BY 1)
 SELECT model, round(m.loss, 6) + 0.0 AS loss, round(m.loss / (SELECT loss FROM m WHERE model = 'DAY'), 6) + 0.0 AS loss_ratio,
   CAST(rank() OVER (ORDER BY m.loss) AS DOUBLE) AS rank, round(p_value, 6) + 0.0 AS p_value, p_value > 0.05 AS included FROM m JOIN mcs USING (model)""")
@@ -302,14 +308,49 @@ def confidence_report(spark, sf):
     return _round(report, ["model", "rank", "included"], ["loss", "loss_ratio", "p_value"])
 
 
-@query("M21 A8 J11 M20")
+def keyed_mcs_sql(n_boot: int, block: int, alpha: float = 0.05, seed: int = 0) -> str:
+    """Confidence sets (SQ) of three models for every set g of loss(g, model, unit, l), in two unrolled rounds."""
+    def round_(k):
+        pairs = f"JOIN alive{k} a ON a.g = d.g AND a.model = d.i JOIN alive{k} c ON c.g = d.g AND c.model = d.j"
+        return f"""stat{k} AS (SELECT d.g, b, sum(pow((dstar - dbar) / sqrt(v), 2)) / 2 AS s FROM dstar s JOIN dij d ON s.g = d.g AND s.i = d.i AND s.j = d.j {pairs} GROUP BY ALL),
+obs{k} AS (SELECT d.g, sum(pow(dbar / sqrt(v), 2)) / 2 AS s FROM dij d {pairs} GROUP BY 1),
+p{k} AS (SELECT g, avg(CASE WHEN x.s > o.s THEN 1.0 ELSE 0.0 END) AS p FROM stat{k} x JOIN obs{k} o USING (g) GROUP BY 1),
+mean{k} AS (SELECT d.g, j, avg(dbar) AS m FROM dij d {pairs} GROUP BY ALL),
+t{k} AS (SELECT x.g, x.j, any_value(m) / sqrt(avg(pow(ms - m, 2))) AS t FROM (SELECT d.g, b, j, avg(dstar) AS ms FROM dstar d {pairs} GROUP BY ALL) x JOIN mean{k} USING (g, j) GROUP BY ALL),
+out{k} AS (SELECT g, arg_max(j, t) AS model FROM t{k} GROUP BY 1),
+alive{k + 1} AS (SELECT g, model FROM alive{k} EXCEPT SELECT g, model FROM out{k})"""
+
+    return f"""units AS (SELECT g, unit, row_number() OVER (PARTITION BY g ORDER BY unit) - 1 AS pos, count(*) OVER (PARTITION BY g) AS t FROM (SELECT DISTINCT g, unit FROM loss)),
+draw0 AS (SELECT g, b, pos, t, CASE WHEN pos = 0 OR {q.uniform(f"'r{seed}'", 'b', 'pos')} < {1 / block!r} THEN floor({q.uniform(f"'s{seed}'", 'b', 'pos')} * t) - pos END AS start
+  FROM units, (SELECT unnest(range({n_boot})) AS b)),
+draws AS (SELECT g, b, CAST((((last_value(start IGNORE NULLS) OVER (PARTITION BY g, b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + pos) % t) + t) % t AS BIGINT) AS idx FROM draw0),
+boot AS (SELECT d.g, b, model, avg(l) AS l FROM draws d JOIN units u ON u.g = d.g AND u.pos = d.idx JOIN loss x ON x.g = u.g AND x.unit = u.unit GROUP BY ALL),
+means AS (SELECT g, model, avg(l) AS l FROM loss GROUP BY ALL),
+dstar AS (SELECT x.g, x.b, x.model AS i, y.model AS j, y.l - x.l AS dstar FROM boot x JOIN boot y ON x.g = y.g AND x.b = y.b AND x.model <> y.model),
+dbars AS (SELECT x.g, x.model AS i, y.model AS j, y.l - x.l AS dbar FROM means x JOIN means y ON x.g = y.g AND x.model <> y.model),
+dij AS (SELECT m.g, m.i, m.j, any_value(dbar) AS dbar, avg(pow(dstar - dbar, 2)) AS v FROM dstar s JOIN dbars m ON s.g = m.g AND s.i = m.i AND s.j = m.j GROUP BY ALL),
+alive0 AS (SELECT DISTINCT g, model FROM loss),
+{round_(0)},
+{round_(1)},
+steps AS (SELECT g, model, 0 AS step, p AS raw FROM out0 JOIN p0 USING (g) UNION ALL SELECT g, model, 1, p FROM out1 JOIN p1 USING (g) UNION ALL SELECT g, model, 2, 1.0 FROM alive2),
+mcs AS (SELECT g, model, step, max(raw) OVER (PARTITION BY g ORDER BY step) AS p_value FROM steps)"""
+
+
+REPORT_ORDER = ("DAY", "WEEK", "MONTH")
+
+
+@query("M21 A8 J11 M20", f"""WITH {NPRED}, {REGIMES},
+l0 AS (SELECT model, regime, ticker, round({q.MSE}, 4) AS mse, round({q.QLIKE}, 4) AS qlike FROM pred JOIN regimes USING (date) GROUP BY 1, 2, 3),
+loss AS (SELECT regime || ' mse' AS g, model, ticker AS unit, mse AS l FROM l0 UNION ALL SELECT regime || ' qlike', model, ticker, qlike FROM l0),
+{keyed_mcs_sql(RESAMPLES, 2)},
+base AS (SELECT g, l FROM means WHERE model = 'DAY')
+SELECT split_part(g, ' ', 1) AS regime, split_part(g, ' ', 2) AS metric, m.model, CAST(list_position(['DAY', 'WEEK', 'MONTH'], m.model) AS INT) AS place, round(m.l, 6) + 0.0 AS loss,
+  round(m.l / base.l, 3) + 0.0 AS loss_ratio, CAST(rank() OVER (PARTITION BY g ORDER BY m.l) AS DOUBLE) AS rank, round(p_value, 3) + 0.0 AS p_value, p_value > 0.05 AS included
+FROM means m JOIN mcs USING (g, model) JOIN base USING (g)""")
 def confidence_report_by_regime(spark, sf):
-    """Reports for both metrics in both regimes, with the reference number of resamples."""
-    losses = stage(evaluate.regime_losses(*market_and_predictions(spark, sf, t.dense_nations)), "losses").table
-    out = None
-    for regime in ("low", "high"):
-        for metric in ("mse", "qlike"):
-            part = mcs.mcs_report(losses.filter(F.col("regime") == regime), "ticker", MODELS, "DAY", metric, n_boot=RESAMPLES) \
-                .withColumns({"regime": F.lit(regime), "metric": F.lit(metric)})
-            out = part if out is None else out.unionByName(part)
-    return out
+    """The printed reports of both metrics in both regimes: losses rounded to 4 digits first, models in the given order, figures to 3 digits."""
+    losses = stage(evaluate.regime_losses(*market_and_predictions(spark, sf, t.dense_nations), round_losses=4), "losses").table
+    long = losses.unpivot(["regime", "ticker", "model"], ["mse", "qlike"], "metric", "value")
+    report = mcs.confidence_reports(long, ["regime", "metric"], "ticker", MODELS, "DAY", "value", shown=REPORT_ORDER, n_boot=RESAMPLES)
+    out = _round(report, ["regime", "metric", "model", "place", "rank", "included", "loss_ratio", "p_value"], ["loss"])
+    return _round(out, ["regime", "metric", "model", "place", "loss", "rank", "included"], ["loss_ratio", "p_value"], 3).orderBy("regime", "metric", "place")

@@ -118,15 +118,15 @@ def resample_blocks(spark, sf):
 @query("A4", f"""WITH {BLOCKS}
 SELECT ticker, {', '.join(f'round(quantile_cont(ret, {p}), 6) + 0.0 AS p{i}' for i, p in enumerate((0.005, 0.25, 0.5, 0.995)))} FROM blocks GROUP BY 1""")
 def exact_percentiles(spark, sf):
-    p = intraday.exact_percentiles(blocks(spark, sf), ["ticker"], "ret", [0.005, 0.25, 0.5, 0.995]).table
+    p = intraday.exact_percentiles(stage(blocks(spark, sf), "blocks").table, ["ticker"], "ret", [0.005, 0.25, 0.5, 0.995]).table
     return p.select("ticker", *[rounded(f"p{i}", 6).alias(f"p{i}") for i in range(4)])
 
 
 @query("A4", f"""WITH {TICKS}
 SELECT ticker, {', '.join(f'round(quantile_cont(price, {p}), 6) + 0.0 AS p{i}' for i, p in enumerate((0.01, 0.5, 0.9)))} FROM ticks GROUP BY 1""")
 def percentiles_by_refinement(spark, sf):
-    # The path for groups too large for one task, forced by a small group limit.
-    p = intraday.exact_percentiles(t.ticks(spark, sf), ["ticker"], "price", [0.01, 0.5, 0.9], group_rows=50, bins=64).table
+    # A coarse sketch, whose brackets are narrow next to the groups of any table.
+    p = intraday.exact_percentiles(t.ticks(spark, sf), ["ticker"], "price", [0.01, 0.5, 0.9], accuracy=50).table
     return p.select("ticker", *[rounded(f"p{i}", 6).alias(f"p{i}") for i in range(3)])
 
 
@@ -159,12 +159,29 @@ def variance_horizons(spark, sf):
                       rounded("next5", 6).alias("next5"))
 
 
+def minute_cells(spark, sf):
+    """(date, time, ticker, value): the highest price of every minute in which an asset trades; most assets lack most minutes."""
+    e = t.ticks(spark, sf).withColumn("time", F.date_format("ts", "HH:mm"))
+    return e.groupBy("date", "time", "ticker").agg(F.max("price").alias("value"))
+
+
+@query("A3 J1", """WITH cells AS (SELECT CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time, event_type AS ticker, max(value) AS value FROM events GROUP BY 1, 2, 3),
+minutes AS (SELECT date, time, (row_number() OVER (PARTITION BY date ORDER BY time) - 1) // 5 AS block FROM (SELECT DISTINCT date, time FROM cells)),
+blocks AS (SELECT date, block, max(time) AS time, count(*) AS n_minutes FROM minutes GROUP BY 1, 2),
+sums AS (SELECT date, block, ticker, sum(value) AS value FROM cells JOIN minutes USING (date, time) GROUP BY 1, 2, 3)
+SELECT CAST(b.date AS VARCHAR) AS date, b.block, b.time, b.n_minutes, t.ticker, round(s.value, 6) + 0.0 AS value
+FROM blocks b CROSS JOIN (SELECT DISTINCT ticker FROM cells) t LEFT JOIN sums s ON s.date = b.date AND s.block = b.block AND s.ticker = t.ticker""")
+def merged_panel_resample(spark, sf):
+    """Blocks of five rows of the merged panel, the same minutes for every asset."""
+    out = intraday.resample_panel(stage(minute_cells(spark, sf), "minutes").table, 5)
+    return out.select(t.text_date(), "block", "time", "n_minutes", "ticker", rounded("value", 6).alias("value"))
+
+
 @query("J1 U1", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, strftime(ts, '%H:%M') AS time, """ + ", ".join(
     f"round(max(value) FILTER (event_type = '{k}'), 6) + 0.0 AS {k}" for k in ("click", "error", "purchase", "signup", "view"))
     + " FROM events GROUP BY 1, 2")
 def merged_minutes(spark, sf):
-    e = t.ticks(spark, sf).withColumn("time", F.date_format("ts", "HH:mm"))
-    cells = e.groupBy("date", "time", "ticker").agg(F.max("price").alias("value"))
-    names = sorted(r[0] for r in e.select("ticker").distinct().collect())
+    cells = minute_cells(spark, sf)
+    names = sorted(r[0] for r in t.ticks(spark, sf).select("ticker").distinct().collect())
     wide = panel.widen(cells, names, by=("date", "time"))
     return wide.select(t.text_date(), "time", *[rounded(f"`{n}`", 6).alias(n) for n in names])

@@ -9,7 +9,7 @@ from volarium.operators import gnn
 from volarium.plans import sqlkit as q
 from volarium.plans import tables as t
 from volarium.plans.registry import query
-from volarium.session import scratch_path
+from volarium.session import scratch_path, stage
 from volarium.sources import scans, sinks
 
 
@@ -64,3 +64,18 @@ def result_file_discovery(spark, sf):
         sinks.csv_table(wide, f"{root}/Forecast_Var_{key}_NATIONS_W22_F{horizon}_pred.csv")
     found = scans.result_files(spark, root, "NATIONS", 1).filter(F.col("value").isNotNull())
     return found.select("model_key", t.text_date(), "ticker", rounded("value").alias("value"))
+
+
+@query("S9 S7", f"""WITH {q.nation_dense()}, {q.features('nested')}
+SELECT version, 'HAR_iden' AS model_key, CAST(date AS VARCHAR) AS date, ticker, round(CASE version WHEN 'Forecast_Var' THEN d ELSE w END, 9) + 0.0 AS value
+FROM features, (VALUES ('Forecast_Var'), ('Refit_Var')) v(version) WHERE version = 'Forecast_Var' OR ticker > 'C'""")
+def result_manifest_versions(spark, sf):
+    """Two versions in one folder, the second with fewer columns and in the opposite order, read through one manifest."""
+    feats, root = stage(t.nation_features(spark, sf).table, "features").table, scratch_path(spark, "results")
+    names = sorted(nation_names(spark, sf))
+    for version, column, some in (("Forecast_Var", "d", names), ("Refit_Var", "w", [n for n in names if n > "C"][::-1])):
+        wide = feats.groupBy("date").pivot("ticker", some).agg(F.first(column)).orderBy("date")
+        sinks.csv_table(wide.select("date", *some), f"{root}/{version}_HAR_iden_NATIONS_W22_F1_pred.csv")
+        sinks.csv_table(wide.select("date", *some), f"{root}/{version}_HAR_iden_NATIONS_W22_F5_pred.csv")
+    found = scans.read_manifest(spark, scans.result_manifest(spark, root, "NATIONS", 1, versions=["Forecast_Var", "Refit_Var"]))
+    return found.filter(F.col("value").isNotNull()).select("version", "model_key", t.text_date(), "ticker", rounded("value").alias("value"))

@@ -252,6 +252,36 @@ def score_gnn_3l(spark, sf):
     return _score(spark, sf, "GNN3L", "softplus_shift")
 
 
+# A history has one step a week and a loss that repeats in weeks without shipments: the supplier's filled value, from its first week on.
+HISTORY = f"""{q.SUPPLIER_DENSE}, history AS (SELECT ticker, pos AS epoch, value * 40 AS valid FROM dense WHERE value IS NOT NULL)"""
+
+
+def histories(spark, sf):
+    dense = t.dense_suppliers(spark, sf).filter("value IS NOT NULL")
+    return stage(dense.select("ticker", F.col("pos").alias("epoch"), (F.col("value") * 40).alias("valid")), "histories").table
+
+
+@query("W14", f"""WITH {HISTORY}, b AS (SELECT ticker, epoch, valid, min(valid) OVER w AS best, arg_min(epoch, valid) OVER w AS best_epoch
+  FROM history WINDOW w AS (PARTITION BY ticker ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT ticker, epoch, round(valid, 6) + 0.0 AS valid, round(best, 6) + 0.0 AS best_loss, best_epoch AS best_step FROM b""")
+def best_epochs(spark, sf):
+    """The running best step of every history."""
+    out = evaluate.best_so_far(histories(spark, sf), ["ticker"])
+    return out.select("ticker", F.col("epoch").cast("long").alias("epoch"), rounded("valid", 6).alias("valid"), rounded("best_loss", 6).alias("best_loss"), F.col("best_step").cast("long").alias("best_step"))
+
+
+@query("M13 W13 W14", f"""WITH {HISTORY}, s AS (SELECT *, abs(valid - lag(valid) OVER w) < 1e-6 AS flat, row_number() OVER w AS place FROM history WINDOW w AS (PARTITION BY ticker ORDER BY epoch)),
+islands AS (SELECT ticker, count(*) AS steps FROM (SELECT ticker, place - row_number() OVER (PARTITION BY ticker ORDER BY epoch) AS island FROM s WHERE flat) GROUP BY ticker, island),
+f AS (SELECT ticker, avg(CASE WHEN flat THEN 1.0 ELSE 0.0 END) AS flat_share, arg_max(valid, epoch) AS final_loss, min(valid) AS best_loss, arg_min(epoch, valid) AS best_step FROM s GROUP BY 1)
+SELECT ticker, round(flat_share, 6) + 0.0 AS flat_share, CAST(coalesce((SELECT max(steps) FROM islands i WHERE i.ticker = f.ticker), 0) AS BIGINT) AS longest_flat,
+  round(final_loss, 6) + 0.0 AS final_loss, CAST(best_step AS BIGINT) AS best_step, round(best_loss, 6) + 0.0 AS best_loss, flat_share > 0.5 OR final_loss > 100 AS restart FROM f""")
+def restart_rule(spark, sf):
+    """Which histories stand still for more than half of their steps or end too high."""
+    out = evaluate.restart_rule(histories(spark, sf), ["ticker"])
+    return out.select("ticker", rounded("flat_share", 6).alias("flat_share"), F.col("longest_flat").cast("long").alias("longest_flat"), rounded("final_loss", 6).alias("final_loss"),
+                      F.col("best_step").cast("long").alias("best_step"), rounded("best_loss", 6).alias("best_loss"), "restart")
+
+
 RUNS = [{"name": "HAR_mse", "model": "HAR", "graph": "ring", "loss": "mse"},
         {"name": "GNN1L_mse", "model": "GNN1L", "graph": "ring", "loss": "mse"},
         {"name": "GNN2L_qlike", "model": "GNN2L", "graph": "ring", "loss": "qlike", "head": "softplus"},

@@ -23,6 +23,8 @@ def local_session(cores: str | int = "*", app: str = "volarium", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.files.openCostInBytes", str(1 << 20))
+        # The co-moments of a Gram over ten columns or more pass the default limit, beyond which nothing is compiled.
+        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
