@@ -50,10 +50,10 @@ class Windows:
     single: Callable                # (cut, first) -> bytes that stand for the one window, equal for equal windows only
 
 
-def block_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def block_rows(docs: DataFrame, id_col: str, text_col: str, rows_per_block: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """Adds block__ and row_key__; rows with neighbouring ids share a block, so that equal anchors meet early."""
     rows = docs.count()
-    blocks = max(8, -(-rows // BLOCK_ROWS))
+    blocks = max(8, -(-rows // rows_per_block))
     near = F.coalesce(F.floor(F.col(id_col) / 256), F.xxhash64(F.col(text_col)))
     return docs.withColumns({"block__": F.pmod(F.xxhash64(near), F.lit(blocks)),
                              "row_key__": F.xxhash64(F.col(id_col), F.col(text_col))}), blocks
