@@ -29,15 +29,28 @@ def _slice(order: str, seconds: int) -> Column:
     return F.floor((day + F.hour(order) * 3600 + F.minute(order) * 60 + F.second(order)) / seconds)
 
 
+def _shorter(seconds: int, fullest: int, slice_rows: int) -> int:
+    return max(1, seconds // (-(-fullest // slice_rows) + 1))
+
+
 def slice_length(ticks: DataFrame, keys: Sequence[str], order: str, seconds: int = SLICE_SECONDS,
                  slice_rows: int = SLICE_ROWS) -> int:
     """Shorten the slices until the fullest one, counted, fits a task (or lasts one second)."""
+    return _slices(ticks, keys, order, None, (), seconds, slice_rows)[0]
+
+
+def _slices(ticks: DataFrame, keys: Sequence[str], order: str, value: str | None, tie: Sequence[str], seconds: int, slice_rows: int) -> tuple[int, DataFrame]:
+    """The slice length that fits, and the written aggregate of its slices: (keys, slice, n, last_value).
+
+    One scan, and one more each time the slices have to be shorter; the aggregate that is counted is the one that is used.
+    """
+    last = [F.max_by(value, F.struct(order, *tie)).alias("last_value")] if value else []
     while True:
-        counts = ticks.groupBy(*keys, _slice(order, seconds).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-        fullest = counts.agg(F.max("n").alias("n")).first()["n"] or 0
+        per_slice = stage(ticks.groupBy(*keys, _slice(order, seconds).alias("slice")).agg(F.count(F.lit(1)).alias("n"), *last), "slices").table
+        fullest = per_slice.agg(F.max("n").alias("n")).first()["n"] or 0
         if fullest <= slice_rows or seconds == 1:
-            return seconds
-        seconds = max(1, seconds // (-(-fullest // slice_rows) + 1))
+            return seconds, per_slice
+        seconds = _shorter(seconds, fullest, slice_rows)
 
 
 def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
@@ -46,13 +59,11 @@ def day_order(ticks: DataFrame, keys: Sequence[str], order: str, value: str,
 
     Same result as `row_number` and `lag` over (keys ORDER BY order, tie), but the sort is per time slice.
     Each slice gets one seed row carrying the row count and the last value of the slices before it,
-    so the ticks shuffle once and no join touches them.
+    so the ticks shuffle once and no join touches them. Two scans: one for the slices, one for the rows.
     """
     keys = list(keys)
-    seconds = slice_seconds or slice_length(ticks, keys, order)
+    seconds, per_slice = _slices(ticks, keys, order, value, tie, slice_seconds or SLICE_SECONDS, SLICE_ROWS if slice_seconds is None else 1 << 62)
     sliced = ticks.withColumn("slice", _slice(order, seconds))
-    per_slice = sliced.groupBy(*keys, "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(value, F.struct(order, *tie)).alias("last_value"))
     before = Window.partitionBy(*keys).orderBy("slice")
     seeds = per_slice.select(
         *keys, "slice", F.lit(0).alias("kind"),

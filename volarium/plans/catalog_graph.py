@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import rounded
-from volarium.operators import glasso, graph, panel
+from volarium.operators import backtest, glasso, graph, panel, windows
 from volarium.plans import sqlkit as q
 from volarium.plans import tables as t
 from volarium.plans.registry import query
@@ -183,7 +183,38 @@ def sparse_precision_by_origin(spark, sf):
 
 
 @query("M5a", f"""WITH {RETS}
-SELECT 0 AS origin, count(DISTINCT pos) AS n_dates, count(DISTINCT pos) < 2 * 25 * 25 AS short FROM rets
+SELECT 0 AS origin, count(DISTINCT pos) AS n_dates, count(DISTINCT pos) < 2 * pow((SELECT count(DISTINCT ticker) FROM rets), 2) AS short FROM rets
 WHERE pos < (SELECT floor(count(*) * 0.7) FROM cal)""")
 def short_sample_warning(spark, sf):
-    return glasso.sample_warning(one_origin(nation_returns(spark, sf)), 25)
+    rets = stage(nation_returns(spark, sf), "returns").table
+    return glasso.sample_warning(one_origin(rets), graph.number_nodes(rets).rows)
+
+
+# Returns of a panel in which some tickers are listed only from position 220 on, so that they are missing in the first windows.
+LATE = f"""{RETS}, late AS (SELECT * FROM rets WHERE ticker >= 'C' OR pos >= 220),
+o AS (SELECT unnest(range(200, (SELECT max(pos) FROM late) + 1, 44)) AS origin),
+pairs AS (SELECT o.origin, a.ticker AS src, b.ticker AS dst, count(*) AS n, corr(a.ret, b.ret) AS corr
+  FROM o JOIN late a ON a.pos >= greatest(o.origin - 150, 0) AND a.pos < o.origin JOIN late b ON b.pos = a.pos AND a.ticker < b.ticker GROUP BY ALL)"""
+
+
+def late_pairs(spark, sf):
+    rets = nation_returns(spark, sf).filter((F.col("ticker") >= "C") | (F.col("pos") >= 220))
+    rets = stage(rets, "returns").table
+    return windows.window_correlations(windows.window_moments(rets, "ret", backtest.schedule(rets, 200, 44, 150), block=8))
+
+
+@query("J7 P17 P10 J10 A11", f"WITH {LATE} SELECT origin, src, dst, n, round(corr, 6) + 0.0 AS corr FROM pairs")
+def origin_correlations(spark, sf):
+    """Correlations in the look-back window of every origin, over the dates that two tickers share in it."""
+    return late_pairs(spark, sf).select(F.col("origin").cast("long").alias("origin"), "src", "dst", "n", rounded("corr", 6).alias("corr"))
+
+
+@query("M5 M9 J7 P17", f"""WITH {LATE}, near AS (SELECT * FROM pairs WHERE abs(corr) >= 0.1 AND n >= 30),
+links AS (SELECT origin, src, dst FROM near UNION ALL SELECT origin, dst, src FROM near),
+deg AS (SELECT origin, src, count(*) AS degree FROM links GROUP BY ALL)
+SELECT l.origin, l.src, l.dst, round(1 / sqrt((a.degree + 1e-8) * (b.degree + 1e-8)), 6) + 0.0 AS w
+FROM links l JOIN deg a ON a.origin = l.origin AND a.src = l.src JOIN deg b ON b.origin = l.origin AND b.src = l.dst""")
+def origin_correlation_graph(spark, sf):
+    """A graph of its own for every origin: tickers whose returns correlate in its window, normalised."""
+    edges = stage(windows.correlation_graph(late_pairs(spark, sf), 0.1, 30), "edges").table
+    return graph.normalise(edges.withColumn("graph", F.col("origin").cast("string"))).select(F.col("graph").cast("long").alias("origin"), "src", "dst", rounded("w", 6).alias("w"))

@@ -42,7 +42,7 @@ runfeat AS (SELECT run, f.* FROM features f, (SELECT DISTINCT run FROM edges)),
 {q.graph_features(X3, edges='edges', source='runfeat', on=['run'])},
 {q.ols('gfeat', cm.GX3, 'target', [*IDS, 'run'], TRAIN, 'fit', by=['run'])},
 scores AS (SELECT run, {q.MSE} AS mse FROM fit WHERE NOT tr GROUP BY 1),
-dense_of AS (SELECT run, count(*) / (25.0 * 24) AS density FROM edges GROUP BY 1),
+dense_of AS (SELECT run, count(*) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1.0)) AS density FROM edges GROUP BY 1),
 study AS (SELECT run, mse, density FROM scores JOIN dense_of USING (run))
 SELECT run, round(mse, 6) + 0.0 AS mse, round(density, 6) + 0.0 AS density, CAST(rank() OVER (ORDER BY mse) AS BIGINT) AS place,
   round(corr(density, mse) OVER (), 5) + 0.0 AS density_corr, round((max(mse) OVER () - mse) / max(mse) OVER () * 100, 5) + 0.0 AS mse_improvement FROM study"""
@@ -52,14 +52,15 @@ SELECT run, round(mse, 6) + 0.0 AS mse, round(density, 6) + 0.0 AS density, CAST
 def graph_study(spark, sf):
     """One regression per graph, all graphs in one job keyed by run."""
     feats = t.nation_features(spark, sf).table
-    edges = study_edges(graph.number_nodes(feats))
+    names = graph.number_nodes(feats)
+    edges = study_edges(names)
     rows = stage(graph.graph_panel(feats, edges, X3, ["self", "g"], runs=["run"]), "study-panel").table
     xs = graph.term_columns(["self", "g"], X3)
     train, test = panel.split_by_fraction(rows, 0.7)
     pred = regress.predict(test, regress.fit_ols(train, xs, by=["run"]), xs, ["run"])
     scores = evaluate.loss_table(pred, ["run"]).withColumnRenamed("run", "model")
     links = edges.table.filter("graph = 'g'").select(F.col("run").alias("graph"), "src", "dst", "w")
-    both = stage(scores.join(graph.density(links, 25).withColumnRenamed("graph", "model"), "model"), "study").table
+    both = stage(scores.join(graph.density(links, names.rows).withColumnRenamed("graph", "model"), "model"), "study").table
     table = evaluate.place(evaluate.improvement(both, "worst"), "mse", "place")
     out = table.withColumn("density_corr", both.agg(F.corr("density", "mse").alias("c")).scalar())
     return out.select(F.col("model").alias("run"), rounded("mse", 6).alias("mse"), rounded("density", 6).alias("density"),
