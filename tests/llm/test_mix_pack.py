@@ -243,6 +243,28 @@ def test_near_copy_stage_takes_all_pairs_of_similarity_0_8(spark, sf):
     assert got == {k for k, v in up.items() if k == v} and len(got) < len(rows) - 60
 
 
+def test_a_dense_family_of_near_copies(spark, sf):
+    """Hundreds of copies of one text, each with its own edits, most pairs near 0.8 on either side: same groups as by all pairs."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(150)] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i:i + 5]) for i in range(146)} for w in map(str.split, texts)]
+    up = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if up[a] != up[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = [new if v == old else v for v in up]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    got = {r.doc_id for r in corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf).collect()}
+    assert got == set(up) and 5 < len(got) < 290
+
+
 def test_repeat_stage_cuts_at_characters(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     passage = "".join(chr(0x430 + (k * k + k // 7) % 32) for k in range(260))

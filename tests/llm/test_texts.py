@@ -19,6 +19,20 @@ from volarium.llm.queries import op5_backoff_score
 ODD = [(None, None), (901, None), (902, ""), (903, " \n\t"), (904, "..."), (905, "word"), (905, "word")]
 
 
+def test_a_language_of_few_copied_texts_is_learned(spark, sf):
+    """A third language whose rows are copies of two texts is predicted for them, and sureness does not fall with an even mixture."""
+    words = {"aa": "kolo dom strom reka pole", "bb": "the house tree river field", "cc": "zyx wvu tsr qpo nml"}
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choices(words[k].split(), k=30))
+    rows = [(k, text(lang), lang) for k, lang in enumerate(["aa", "bb"] * 400)]
+    rare = [text("cc"), text("cc")]
+    rows += [(1000 + k, rare[k % 2], "cc") for k in range(900)]
+    mixed = " ".join(x for k in ("aa", "bb", "cc") for x in [text(k)])
+    got = {r.doc_id: r for r in crf.label_languages(spark.createDataFrame(rows + [(5000, mixed, None)], "doc_id long, text string, lang string")).where("doc_id >= 990").collect()}
+    assert {got[1000 + k].lang_pred for k in range(900)} == {"cc"}
+    assert got[5000].score < 0.6 < 0.8 < got[5000].sureness <= 1
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     scores, moves = rng.normal(size=(5, 3)).astype(np.float32), rng.normal(size=(3, 3))

@@ -6,6 +6,7 @@ A text is its UTF-8 bytes. Words are maximal runs of bytes other than space and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,17 @@ POSITION_BITS = np.uint64(24)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Give back what a finished task function held: tables kept between calls, Arrow's free pool and the allocator's free pages.
+
+    Workers are reused by later stages, whose own needs would come on top.
+    """
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -7,8 +7,8 @@ Training chains are spliced from documents of different languages, so the field
 Forward-backward gives each word a distribution over the languages; a document gets the language with the largest mean
 probability over its words with letters, and that mean as score.
 
-The field is fitted on the driver, on a bounded sample: about `per_language` labelled documents of every language, drawn by a hash of
-text; labels are counted over all documents. The weights (a few MB, independent of the corpus) travel with the task.
+The field is fitted on the driver, on a bounded sample: about `per_language` distinct labelled texts of every language, drawn by a hash of
+text; distinct texts are counted over all documents. The weights (a few MB, independent of the corpus) travel with the task.
 
 Defined cases: null text, or a text without letters, is `und` with score 0; without any labelled text everything is
 `und`; repeated rows are labelled alike; an empty table gives an empty table; other columns pass through unless they are
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volarium.llm.arrowtext import chunks, span_hashes, text_buffer, word_spans
+from volarium.llm.arrowtext import chunks, release, span_hashes, text_buffer, word_spans
 
-RESULT = ("lang_pred", "score")
+RESULT = ("lang_pred", "score", "sureness")
 CHAIN = 64
 CHUNK = 1 << 19
 AFFIX_BITS = 14
@@ -36,6 +36,7 @@ AFFIXES = 6                       # prefixes and suffixes of 1, 2, 3 bytes
 LEXICON_AT = AFFIXES << AFFIX_BITS
 MIN_LEXICON_COUNT = 3
 PER_LANGUAGE = 150
+MOST_LANGUAGES = 1000             # beyond that labels are taken for an error
 UNKNOWN = "und"
 
 
@@ -202,8 +203,14 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, batch_bytes: int
 
 def predict(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean probability of each label over the words with letters, per row (zeros if there are none), and their number."""
+    return judge_rows(field, data, offsets)[:2]
+
+
+def judge_rows(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean probability of each label over the words with letters, per row (zeros if there are none), their number, and the mean
+    of each word's largest probability."""
     mean = np.zeros((len(offsets) - 1, len(field.labels)))
-    counts = np.zeros(len(offsets) - 1)
+    counts, sure = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     for lo, hi in chunks(offsets, CHUNK):
         at = offsets[lo:hi + 1]
         ids, tri, starts, bounds, lettered = features(data[at[0]:at[-1]], at - at[0], field.lexicon)
@@ -212,9 +219,10 @@ def predict(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         marginal, _ = forward_backward(emissions(field, ids, tri, starts), *chains(bounds), field.moves)
         row = np.repeat(np.arange(lo, hi), np.diff(bounds))[lettered]
         counts += np.bincount(row, minlength=len(counts))
+        sure += np.bincount(row, weights=marginal[lettered].max(1), minlength=len(counts))
         for j in range(mean.shape[1]):
             mean[:, j] += np.bincount(row, weights=marginal[lettered, j], minlength=len(counts))
-    return mean / np.maximum(counts, 1)[:, None], counts
+    return mean / np.maximum(counts, 1)[:, None], counts, sure / np.maximum(counts, 1)
 
 
 def held_out(id_col: Column) -> Column:
@@ -222,37 +230,46 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field | None:
-    """The field fitted on a sample of the documents that are not held out, at most about `per_language` of each language."""
+    """The field fitted on a sample of the distinct texts that are not held out, about `per_language` of each language, or all if there are fewer.
+
+    The share of a language follows from its number of distinct texts, so copies neither crowd out other texts nor hide a language.
+    """
     known = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02)
+    counts = {r[0]: max(1, r[1]) for r in known.groupBy("lang").agg(distinct).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))))
     place = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(place < F.try_element_at(share, F.col("lang"))).orderBy(F.xxhash64("text"), "text", "lang").limit(4 * per_language * len(counts)).collect()
+    drawn = known.where(place < F.try_element_at(share, F.col("lang"))).dropDuplicates(["text", "lang"])
+    rows = drawn.orderBy(F.xxhash64("text"), "text", "lang").limit(4 * per_language * len(counts)).collect()
     return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
 def label_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Every row with lang_pred and score."""
+    """Every row with lang_pred, score (mean probability of that language over the words) and sureness (mean over the words of the
+    probability of each word's own best language, which a text that switches surely between languages does not lose)."""
     docs = docs.drop(*RESULT)
     field = train(docs, per_language, id_col, text_col, lang_col)
     named = docs.withColumn("letters__", F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)))
     if field is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "sureness": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(field)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             field = model.value
-            mean, counts = predict(field, *text_buffer(batch.column(at)))
+            mean, counts, sure = judge_rows(field, *text_buffer(batch.column(at)))
             ok = np.asarray(batch.column(len(names))) & (counts > 0)
             best = mean.argmax(axis=1) if len(mean) else np.zeros(0, np.int64)
             pred = pa.array([field.labels[b] if o else UNKNOWN for b, o in zip(best.tolist(), ok.tolist(), strict=True)], pa.string())
             score = np.where(ok, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pred, pa.array(score)], names=[*names, *RESULT])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pred, pa.array(score), pa.array(np.where(ok, np.clip(sure, 0, 1), 0.0))], names=[*names, *RESULT])
+        release()
 
-    schema = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "sureness": F.lit(0.0)}).schema
     return named.mapInArrow(scan, schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volarium.llm.arrowtext import byte_gram_hashes, runs_of
+from volarium.llm.arrowtext import byte_gram_hashes, release, runs_of
 from volarium.llm.repeats import HOT, SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack
 from volarium.session import Staged, stage
 
@@ -143,6 +143,8 @@ def decide(shard: pa.Table, length: int) -> pa.Table:
             found = [(0, 0 if a == HOT else len(c) - length)] if times[a, c] > 1 else []
         for key, _, start in unpack(p) if found else ():
             out.extend((block, key, start + x, start + y) for x, y in found)
+    del runs, batch, by_anchor, times
+    release()
     return span_table(out)
 
 

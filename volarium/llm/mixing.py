@@ -9,7 +9,8 @@ turned into documents: they are ordered by a seeded hash cut into 65536 bins, an
 those that still fit; a bin that does not fit is passed over.
 
 Only the sums by pattern reach the driver: at most `max_patterns` patterns, checked; the plan, for each route
-a bounded number of bin ranges or at most 65536 bits, is broadcast. Selection is a narrow pass over the documents.
+a bounded number of bin ranges or at most 65536 bits, is broadcast if it cannot exceed 64 MB, and joined by shuffle otherwise.
+Selection is a narrow pass over the documents. Texts of any length are counted whole.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty membership takes part in nothing;
 rows with equal ids and texts are taken alike; an empty table gives an empty table; other columns pass through unless they are
@@ -31,6 +32,8 @@ from volarium.session import stage
 RESULT = ("size", "routes", "copies", "taken")
 BINS = 1 << 16
 MOST_RANGES = 64  # of a route; more are stored as bits
+MOST_ROUTE_BYTES = BINS // 8 + 256
+BROADCAST_BYTES = 64 << 20  # a plan that may be larger is joined by shuffle
 PLAN = "pattern__ array<string>, plan__ array<struct<copy:int,source:string,first:int,last:int,bits:array<bigint>>>"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -222,7 +225,8 @@ def mix(docs: DataFrame, membership: Column, weights: Callable[[int], float], bu
     ways = {tuple(r[0]): [(copy, names[j], words) for copy, j, words in of] for r, of in zip(by_pattern, routes, strict=True)}
     chosen_bins = binned.where("size > 0").groupBy("members__").applyInArrow(lambda key, bins: choose_bins(ways.get(tuple(key[0].as_py() or ()), ()), bins), PLAN)
     found = stage(chosen_bins, "mix-plan")
-    chosen = keyed.join(F.broadcast(found.table), F.col("members__").eqNullSafe(F.col("pattern__")), "left")
+    small = found.rows <= BROADCAST_BYTES // (MOST_ROUTE_BYTES * max(1, max(map(len, routes), default=0)))
+    chosen = keyed.join(F.broadcast(found.table) if small else found.table, F.col("members__").eqNullSafe(F.col("pattern__")), "left")
     hits = F.expr("filter(plan__, x -> bin__ >= x.first and bin__ <= x.last and "
                   "(x.bits is null or getbit(get(x.bits, shiftright(bin__, 6) - shiftright(x.first, 6)), bin__ & 63) = 1))")
     taken = chosen.withColumn("routes", F.coalesce(F.transform(hits, lambda x: F.struct(x["copy"].alias("copy"), x["source"].alias("source"))),

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from volarium.llm.arrowtext import release
 from volarium.session import stage
 
 RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -150,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = kept_word_ids(tokenizer)
-        pa.default_memory_pool().release_unused()  # of the worker's earlier tasks
+        release()  # what the worker's earlier tasks left
         for batch in batches:
             keep = [i for i in range(batch.num_columns) if i != at]
             for lo, n in _runs(batch.column(at), RUN_BYTES):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volarium.llm.arrowtext import chunks, minimizer_runs, text_buffer
+from volarium.llm.arrowtext import chunks, minimizer_runs, release, text_buffer
 from volarium.session import Staged, stage
 
 BLOCK_ROWS = 2048          # documents of a block, on average
@@ -90,6 +90,7 @@ def anchors(docs: DataFrame, windows: Windows, text_col: str, id_col: str) -> Da
                 ends = np.concatenate((new[1:], [len(h)]))[:len(new)]
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(b[new]), pa.array(i[new]), pa.array(i[ends - 1] if len(new) else i[:0]),
                                                   pa.array((ends - new).astype(np.int64))], names=["hash", "block", "lo", "hi", "n"])
+        release()
     return docs.select(text_col, F.col(id_col).cast("long"), "block__").mapInArrow(scan, "hash long, block long, lo long, hi long, n long")
 
 
@@ -132,6 +133,7 @@ def passages(blocked: DataFrame, wanted: Staged, windows: Windows, text_col: str
                         out.setdefault((HOT, windows.single(cut, x)), []).extend((row_keys[r], ids[r], x))
                 else:
                     out.setdefault((key, windows.passage(cut, a, b)), []).extend((row_keys[r], ids[r], a))
+        release()
         block = left.column("block__")[0].as_py() if left.num_rows else 0
         shard = [(hash_bytes(c) if k == HOT else k) % shards for k, c in out]
         return pa.table({"shard": pa.array(shard, pa.int64()), "anchor": pa.array([k for k, _ in out], pa.int64()), "ctx": pa.array([c for _, c in out], pa.binary()),
