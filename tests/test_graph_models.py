@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -319,3 +320,61 @@ def test_cross_lags_of_many_targets_match_single_fits(spark):
         one, r2 = coef.table.first(), fit.first().r2
         terms = ["intercept", *[f"{t}^{p}" for t, p in regs]]
         assert [got[target, t][0] for t in terms] == pytest.approx([one.intercept, *one.beta]) and [got[target, t][1] for t in terms] == pytest.approx([r2] * len(terms))
+
+
+def skips(seed, i, n, density):
+    """The partners of one node by the keyed skips, one after another."""
+    out, j, k = [], i, 0
+    while True:
+        u = (int(hashlib.md5(f"{seed}:{i}:{k}".encode()).hexdigest()[:8], 16) + 0.5) / 2 ** 32
+        j += 1 + int(np.floor(np.log(u) / np.log1p(-density)))
+        if j >= n:
+            return out
+        out.append(j)
+        k += 1
+
+
+@pytest.mark.parametrize("n,density", [(2, 0.5), (40, 0.3), (40, 0.97), (300, 0.01)])
+def test_sparse_random_graphs_draw_the_skips(spark, n, density):
+    nodes = graph.number_nodes(spark.range(n).select(F.format_string("n%04d", "id").alias("ticker")))
+    got = graph.sparse_random_edges(nodes, [3, 4], density).collect()
+    half = sorted((r.graph, int(r.src[1:]), int(r.dst[1:])) for r in got if r.src < r.dst)
+    assert half == sorted((f"random_{s}", i, j) for s in (3, 4) for i in range(n) for j in skips(s, i, n, density))
+    assert len(got) == 2 * len(half) and {(r.graph, r.dst, r.src) for r in got} == {(r.graph, r.src, r.dst) for r in got}
+
+
+def test_sparse_random_graphs_follow_the_law(spark):
+    """Every pair is present with the same probability, whatever its place; and many nodes cost as their edges do."""
+    nodes = graph.number_nodes(spark.range(8).select(F.format_string("n%d", "id").alias("ticker")))
+    runs = 600
+    got = graph.sparse_random_edges(nodes, list(range(runs)), 0.3).where("src < dst").groupBy("src", "dst").count().collect()
+    share = np.array([r["count"] for r in got]) / runs
+    assert len(share) == 28 and abs(share.mean() - 0.3) < 0.01 and np.abs(share - 0.3).max() < 4 * np.sqrt(0.21 / runs)
+    many = graph.number_nodes(spark.range(100_000).select(F.format_string("n%06d", "id").alias("ticker")))
+    edges = graph.sparse_random_edges(many, [1], 1e-4)
+    n, ends = edges.count() / 2, edges.select("src").distinct().count()
+    assert abs(n / (100_000 * 99_999 / 2 * 1e-4) - 1) < 0.01 and ends > 99_000
+    with pytest.raises(ValueError, match="density"):
+        graph.sparse_random_edges(many, [1], 0.0)
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 100])
+def test_bucketed_tensors(spark, size):
+    """Ten tickers, some without rows on some dates; arrays never outgrow a bucket and come back to the same rows."""
+    rng = np.random.default_rng(8)
+    rows = [(o, d, d, f"t{k}", float(rng.normal()) if rng.random() < 0.9 else None, float(k), float(d)) for o in (1, 2) for d in range(6) for k in range(10) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "origin int, date int, pos int, ticker string, a double, b double, target double").repartition(5)
+    nodes = graph.number_nodes(df)
+    got = gnn.bucket_tensors(df, nodes, ["a", "b"], ["origin"], size)
+    names = sorted({r[3] for r in rows})
+    cells = {(r[0], r[1], r[3]): r for r in rows}
+    collected = got.collect()
+    assert len(collected) == 12 * -(-len(names) // size)
+    for r in collected:
+        here = names[r.bucket * size:(r.bucket + 1) * size]
+        assert len(r.x) == len(r.y) == len(r.present) == len(here)
+        for name, x, y, present in zip(here, r.x, r.y, r.present):
+            cell = cells.get((r.origin, r.date, name))
+            assert present == (cell is not None) and (x, y) == (([cell[4] or 0.0, cell[5]], cell[6]) if cell else ([0.0, 0.0], 0.0))
+    back = gnn.label_buckets(got.select("origin", "date", "bucket", "present", F.transform("x", lambda v: v[1]).alias("yhat")), nodes, ["origin", "date"], size).collect()
+    assert sorted((r.origin, r.date, r.ticker, r.yhat) for r in back) == sorted((r[0], r[1], r[3], r[5]) for r in rows)

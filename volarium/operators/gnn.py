@@ -100,6 +100,40 @@ def label_forecasts(arrays: DataFrame, keys: Sequence[str] = ("date",)) -> DataF
         .select(*keys, F.col("e.tickers").alias("ticker"), F.col("e.yhat").alias("yhat"))
 
 
+BUCKET = 1024  # tickers of one array
+
+
+def bucket_tensors(features: DataFrame, nodes: Staged, columns: Sequence[str], keys: Sequence[str] = (), size: int = BUCKET) -> DataFrame:
+    """Dense arrays of numbered tickers (ticker, i), `size` of them a row: (keys, date, pos, bucket, x, y, present).
+
+    Place k of a bucket's arrays is ticker number bucket * size + k on every date, so no row carries names and none is longer than
+    `size`, however many tickers there are. A ticker without a row on a date has inputs and target 0 and is not `present`.
+
+    Cells and one marker a bucket and date are shuffled once, by bucket and date; behind that exchange a marker expands to its
+    places, and both groupings reuse the partitioning.
+    """
+    keys, n = list(keys), len(columns)
+    place = Staged(nodes.table.select("ticker", F.floor(F.col("i") / size).cast("int").alias("bucket"), F.pmod("i", F.lit(size)).cast("int").alias("at")), nodes.rows)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x")
+    cells = attach(features.select(*keys, "date", "pos", "ticker", x, F.coalesce("target", F.lit(0.0)).alias("y")), place, ["ticker"]).drop("ticker")
+    last = (nodes.rows - 1) // size
+    markers = features.select(*keys, "date", "pos").distinct().select(*keys, "date", "pos", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("bucket"))
+    both = cells.unionByName(markers, allowMissingColumns=True).repartition(*keys, "date", "pos", "bucket")
+    places = F.sequence(F.lit(0), F.least(F.lit(size), F.lit(nodes.rows) - F.col("bucket") * size).cast("int") - 1)
+    slots = both.select(*keys, "date", "pos", "bucket", "x", "y", F.explode(F.when(F.col("at").isNull(), places).otherwise(F.array("at"))).alias("at"))
+    filled = slots.groupBy(*keys, "date", "pos", "bucket", "at").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    cell = F.struct("at", F.coalesce("x", F.array(*[F.lit(0.0)] * n)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), F.col("x").isNotNull().alias("present"))
+    rows = filled.groupBy(*keys, "date", "pos", "bucket").agg(F.sort_array(F.collect_list(cell)).alias("c"))
+    return rows.select(*keys, "date", "pos", "bucket", F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("c.present").alias("present"))
+
+
+def label_buckets(arrays: DataFrame, nodes: Staged, keys: Sequence[str] = ("date",), size: int = BUCKET) -> DataFrame:
+    """Forecast arrays (bucket, yhat, present) back to rows (keys, ticker, yhat) of the tickers that were present."""
+    cells = arrays.select(*keys, "bucket", F.posexplode(F.arrays_zip("yhat", "present")).alias("at", "cell")).where("cell.present")
+    numbered = cells.select(*keys, (F.col("bucket") * size + F.col("at")).cast("long").alias("i"), F.col("cell.yhat").alias("yhat"))
+    return attach(numbered, Staged(nodes.table.select(F.col("i").cast("long").alias("i"), "ticker"), nodes.rows), ["i"]).select(*keys, "ticker", "yhat")
+
+
 def _loss(kind: str, y: np.ndarray, f: np.ndarray) -> tuple[float, np.ndarray]:
     """Training loss and its derivative by the forecast."""
     if kind == "mse":

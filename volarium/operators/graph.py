@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import keyed_uniform
 from volarium.operators.ordering import number_rows
-from volarium.session import BROADCAST_ROWS, Staged, attach, spread
+from volarium.session import BROADCAST_ROWS, Staged, attach, spread, stage
 
 SELF = "self"
 
@@ -76,6 +76,39 @@ def random_edges(nodes: Staged, kind: str, seeds: Sequence[int], density: float
         .select("graph", "e.src", "e.dst", "w")
 
 
+def sparse_random_edges(nodes: Staged, seeds: Sequence[int], density: float) -> DataFrame:
+    """Seeded symmetric random graphs in which every pair is present with probability `density`: (graph, src, dst, w), both ways.
+
+    The pairs that are absent are skipped, not drawn: from one partner of a node to the next the number of places is geometric,
+    1 + floor(ln u / ln(1 - density)), so work follows the edges and not the pairs. Draw k of a node depends on (seed, node number, k)
+    only. Draws come in rounds of a little more than the expected number; a node whose last draw is still short of
+    the end goes on from there in the next round, which few nodes reach.
+    """
+    if not 0 < density < 1:
+        raise ValueError(f"a density must lie between 0 and 1, found {density}")
+    last = nodes.rows - 1
+    runs = F.array(*[F.lit(int(s)).alias("seed") for s in seeds])
+    state = spread(nodes.table, "i").where(F.col("i") < last).select(F.explode(runs).alias("seed"), F.col("i").cast("long").alias("i"), F.col("i").cast("long").alias("from"), F.lit(0).cast("long").alias("k"))
+    state, found = Staged(state, nodes.rows), None
+    while True:
+        mean = (F.lit(last) - F.col("from")) * density
+        most = F.ceil(mean + 3 * F.sqrt(mean) + 2)
+        draws = state.table.select("seed", "i", "from", F.explode(F.sequence(F.col("k"), F.col("k") + most - 1)).alias("k"), (F.col("k") + most).alias("next"))
+        gap = 1 + F.floor(F.log(keyed_uniform("seed", "i", "k")) / F.lit(float(np.log1p(-density))))
+        walk = Window.partitionBy("seed", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        placed = stage(draws.withColumn("j", F.col("from") + F.sum(gap).over(walk)).where(F.col("j") <= last), "random-edges")
+        part = placed.table.select("seed", "i", "j")
+        found = part if found is None else found.unionByName(part)
+        # Short of the end are the nodes whose last draw of the round is still on the line.
+        state = stage(placed.table.where(F.col("k") == F.col("next") - 1).where(F.col("j") < last).select("seed", "i", F.col("j").alias("from"), F.col("next").alias("k")), "random-open")
+        if not state.rows:
+            break
+    name = lambda c, n: Staged(nodes.table.select(F.col("i").cast("long").alias(c), F.col("ticker").alias(n)), nodes.rows)
+    named = attach(attach(found, name("i", "src"), ["i"]), name("j", "dst"), ["j"])
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return named.select(F.concat(F.lit("random_"), F.col("seed").cast("string")).alias("graph"), ends.alias("e")).select("graph", "e.src", "e.dst", F.lit(1.0).alias("w"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph", "src").agg(F.sum("w").alias("degree"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import rounded
-from volarium.operators import backtest, glasso, graph, panel, windows
+from volarium.operators import backtest, evaluate, glasso, graph, panel, windows
 from volarium.plans import sqlkit as q
 from volarium.plans import tables as t
 from volarium.plans.registry import query
@@ -113,6 +113,22 @@ def random_bernoulli_graphs(spark, sf):
     return graph.normalise(e).withColumn("w", rounded("w", 6))
 
 
+@query("M8 M9", f"""WITH n AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, row_number() OVER (ORDER BY CAST(s_suppkey AS VARCHAR)) - 1 AS i, count(*) OVER () AS total FROM supplier),
+steps AS (SELECT seed, i, total, k, 1 + floor(ln({q.uniform('seed', 'i', 'k')}) / ln(1 - 0.02)) AS gap
+  FROM n, (VALUES (0), (1)) s(seed), (SELECT unnest(range(60 + 3 * (SELECT count(*) FROM supplier) // 50)) AS k) WHERE i < total - 1),
+walk AS (SELECT seed, i, total, CAST(i + sum(gap) OVER (PARTITION BY seed, i ORDER BY k) AS BIGINT) AS j FROM steps),
+half AS (SELECT 'random_' || seed AS graph, a.ticker AS src, b.ticker AS dst FROM walk w JOIN n a ON a.i = w.i JOIN n b ON b.i = w.j WHERE w.j < w.total),
+links AS (SELECT graph, src, dst FROM half UNION ALL SELECT graph, dst, src FROM half),
+deg AS (SELECT graph, src, count(*) AS degree FROM links GROUP BY 1, 2)
+SELECT l.graph, l.src, l.dst, round(1 / sqrt((a.degree + 1e-8) * (b.degree + 1e-8)), 6) + 0.0 AS w
+FROM links l JOIN deg a ON a.graph = l.graph AND a.src = l.src JOIN deg b ON b.graph = l.graph AND b.src = l.dst""")
+def random_sparse_graphs(spark, sf):
+    """Random graphs over all suppliers in which one pair of fifty is present, by skips."""
+    names = graph.number_nodes(t.read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker")))
+    edges = stage(graph.sparse_random_edges(names, (0, 1), 0.02), "edges").table
+    return graph.normalise(edges).withColumn("w", rounded("w", 6))
+
+
 @query("J6 M10", f"""WITH {q.SUPPLIER_DENSE}, {q.features('nested')}, {q.ring('features', 2)}, {q.graph_features(GCOLS)}
 SELECT CAST(date AS VARCHAR) AS date, ticker, {', '.join(q.rnd(f'g_{c}', f'ring_{c}', 6) for c in GCOLS)} FROM gfeat""")
 def neighbour_features(spark, sf):
@@ -218,3 +234,31 @@ def origin_correlation_graph(spark, sf):
     """A graph of its own for every origin: tickers whose returns correlate in its window, normalised."""
     edges = stage(windows.correlation_graph(late_pairs(spark, sf), 0.1, 30), "edges").table
     return graph.normalise(edges.withColumn("graph", F.col("origin").cast("string"))).select(F.col("graph").cast("long").alias("origin"), "src", "dst", rounded("w", 6).alias("w"))
+
+
+ROLL = (200, 44, 150)  # first origin, step, look-back
+ROLL_SQL = f"""WITH {LATE}, near AS (SELECT * FROM pairs WHERE abs(corr) >= 0.1 AND n >= 30),
+links AS (SELECT origin, src, dst FROM near UNION ALL SELECT origin, dst, src FROM near),
+deg AS (SELECT origin, src, count(*) AS degree FROM links GROUP BY ALL),
+edges AS (SELECT l.origin, l.src, l.dst, 1 / sqrt((a.degree + 1e-8) * (b.degree + 1e-8)) AS w
+  FROM links l JOIN deg a ON a.origin = l.origin AND a.src = l.src JOIN deg b ON b.origin = l.origin AND b.src = l.dst),
+{q.features('nested')},
+span AS (SELECT f.*, o.origin, f.pos < o.origin AS is_train FROM features f JOIN o ON f.pos >= o.origin - 150 AND f.pos < least(o.origin + 44, f.n_dates - 1)),
+{q.graph_features(GCOLS, 'edges', 'span', on=['origin'])},
+{q.ols('gfeat', [*GCOLS, *(f'g_{c}' for c in GCOLS)], 'target', ['date', 'ticker', 'pos', 'origin'], 'is_train', 'fit', by=['origin'])}
+SELECT origin, round({q.MSE}, 5) + 0.0 AS mse, count(*) AS n FROM fit WHERE NOT tr GROUP BY 1"""
+
+
+@query("M3 J6 J7 M10 P17", ROLL_SQL)
+def rolling_correlation_graph_har(spark, sf):
+    """Every origin is fitted and forecast with the correlation graph of its own look-back window."""
+    first, step, look_back = ROLL
+    feats = t.nation_features(spark, sf).table
+    links = windows.correlation_graph(late_pairs(spark, sf), 0.1, 30)
+    weighted = graph.normalise(stage(links.withColumn("graph", F.col("origin").cast("string")), "links").table)
+    origins = links.agg(F.array_sort(F.collect_set("origin")).alias("o")).scalar()
+    own = graph.identity_edges(feats.select("ticker").distinct()).withColumn("origin", F.explode(origins))
+    edges = weighted.select(F.col("graph").cast("int").alias("origin"), F.lit("g").alias("graph"), "src", "dst", "w").unionByName(own.select("origin", "graph", "src", "dst", "w"))
+    pred = backtest.rolling_graph_forecast(feats, stage(edges, "origin-edges"), list(GCOLS), ["self", "g"], first, step, look_back)
+    mse = evaluate.loss_columns()["mse"]
+    return pred.groupBy(F.col("origin").cast("long").alias("origin")).agg(rounded(mse, 5).alias("mse"), F.count(F.lit(1)).alias("n"))

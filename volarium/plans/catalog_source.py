@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from volarium.functions.scalars import rounded
-from volarium.operators import gnn
+from volarium.operators import gnn, graph
 from volarium.plans import sqlkit as q
 from volarium.plans import tables as t
 from volarium.plans.registry import query
@@ -46,9 +46,11 @@ def headerless_csv_scan(spark, sf):
 @query("S10 M12a", f"""WITH {q.nation_dense()}, {q.features('nested')}
 SELECT CAST(date AS VARCHAR) AS date, ticker, round(d, 9) + 0.0 AS yhat FROM features""")
 def labelled_arrays(spark, sf):
-    arrays = gnn.tensors(t.nation_features(spark, sf).table, ["d", "w", "m"])
+    feats = stage(t.nation_features(spark, sf).table, "features").table
+    nodes = graph.number_nodes(feats)
+    arrays = gnn.bucket_tensors(feats, nodes, ["d", "w", "m"], size=8)  # several arrays a date
     first = F.transform("x", lambda v: v.getItem(0)).alias("yhat")
-    return gnn.label_forecasts(arrays.select("date", "tickers", first)).select(
+    return gnn.label_buckets(arrays.select("date", "bucket", first, "present"), nodes, size=8).select(
         t.text_date(), "ticker", rounded("yhat").alias("yhat"))
 
 
