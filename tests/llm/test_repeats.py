@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from volarium.llm import levels, repeats
 from volarium.llm.automaton import SuffixAutomaton, drop_earlier_passages
+from volarium.llm.backoff import backoff_scores
 from volarium.llm.levels import drop_repeated_bytes, window_ranks
 
 SCHEMA = "doc_id long, text string"
@@ -91,6 +92,31 @@ def test_empty_table_and_clashing_columns(spark):
     assert drop_repeated_bytes(clash).columns == ["doc_id", "text", "hash", "n_bytes", "n_removed", "n_spans", "kept"]
 
 
+def test_ids_of_other_types(spark, sf):
+    """Text ids in the order of the numbers give the same rows as the numbers."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    odd = spark.createDataFrame([(None, "a b c d e f g h i j k l m n o"), (None, None)], SCHEMA)
+    docs = docs.unionByName(odd)
+    named = docs.withColumn("doc_id", F.concat(F.lit("id-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    for operator in (drop_earlier_passages, drop_repeated_bytes, backoff_scores):
+        plain = sorted((("id-%06d" % r[0] if r[0] is not None else None, *r[1:]) for r in operator(docs).collect()), key=repr)
+        assert sorted(map(tuple, operator(named).collect()), key=repr) == plain
+
+
+def test_blocks_follow_bytes_and_copies_share_their_spans(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(repeats, "LONG_TEXT", 3000)
+    rows = [(k, f"{k} " * 40) for k in range(100)] + [(5, "x" * 5000), (6, "y" * 5000)]
+    blocked, blocks = repeats.block_rows(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")
+    assert blocks == -(-sum(len(t) for _, t in rows) // 2000) and blocked.where("length(text) = 5000").select("block__").distinct().count() == 2
+    passage = " ".join(f"word{k}" for k in range(80))
+    copies = [(1, passage)] * 300 + [(2, "before " + passage)]
+    got = drop_repeated_bytes(spark.createDataFrame(copies, SCHEMA)).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(1, len(passage), 1, 300), (2, len(passage), 1, 1)]
+    got = drop_earlier_passages(spark.createDataFrame(copies, SCHEMA)).groupBy("doc_id", "n_removed", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 0, passage, 300), (2, 80, "before", 1)]
+
+
 def test_automaton_against_search():
     rng = random.Random(3)
     texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(25)]

@@ -10,8 +10,9 @@ documents' passages that share an anchor with it are streamed through it. The ma
 window length: the state that holds the last `length` words names the first document with that window.
 
 Defined cases: a null text has no words; fewer than `length` words lose nothing; a row with a null id is neither
-reference nor cut; rows with equal ids never cut each other; an empty table gives an empty table; other columns pass
-through unless they are named like a result column, which replaces them.
+reference nor cut; rows with equal ids never cut each other, so of tied documents none is the first; ids of other types than whole numbers are
+ordered as Spark orders them; a text of any length is one row of its block and is scanned a piece at a time; an empty table gives an empty table;
+other columns pass through unless they are named like a result column, which replaces them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volarium.llm.arrowtext import item_gram_hashes, runs_of, span_hashes, word_spans
-from volarium.llm.repeats import SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack
+from volarium.llm.repeats import SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack, whole_ids, with_order
 
 RESULT = ("n_words", "n_removed", "kept")
 
@@ -140,13 +141,16 @@ def drop_earlier_passages(docs: DataFrame, length: int = 13, id_col: str = "doc_
     """Every row with n_words, n_removed and kept, the remaining words joined by one space."""
     docs = docs.drop(*RESULT)
     windows = word_windows(length)
+    names, order = docs.columns, id_col
+    if not whole_ids(docs, id_col):
+        order = "order__"
+        docs = with_order(docs, id_col, order)
     blocked, _ = block_rows(docs, id_col, text_col)
     by_hash = Window.partitionBy("hash")
-    found = (anchors(blocked.where(F.col(id_col).isNotNull()), windows, text_col, id_col)
+    found = (anchors(blocked.where(F.col(order).isNotNull()), windows, text_col, order)
              .withColumns({"first": F.min("lo").over(by_hash), "end": F.max("hi").over(by_hash)}).where("first < end"))
     wanted = matched(found, "word-anchors")
-    spans = passages(blocked, wanted, windows, text_col, id_col).groupBy("shard").applyInArrow(lambda t: decide(t, length), SPANS)
-    names = docs.columns
+    spans = passages(blocked, wanted, windows, text_col, order).groupBy("shard").applyInArrow(lambda t: decide(t, length), SPANS)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         by_row = spans_by_row(right)

@@ -9,7 +9,8 @@ rejected conversations are formatted as well and say so in `valid`.
 A conversation is one row of the result, so its turns meet in one task; conversations are never gathered further.
 
 Defined cases: null text and null role are empty; equal turn numbers are ordered by role and text, null turns come first; repeated
-rows are turns of their own; rows with a null conversation id form one conversation; an empty table gives an empty
+rows are turns of their own; rows with a null conversation id form one conversation; texts of any length are formatted whole, all turns of a
+conversation in one task; an empty table gives an empty
 table; other columns are ignored.
 """
 

@@ -9,8 +9,9 @@ level for suffixes that agree, and becomes a level of size one; two levels of eq
 double size, so an entry is rewritten at most log2(batches) times. The passages around agreeing suffixes are dealt to
 shards, where the ranks of suffixes up to `length` bytes tell which windows occur again.
 
-Defined cases: a null text is empty; texts shorter than `length` bytes lose nothing; repeated rows are
-occurrences of their own, also with equal or null ids; an empty table gives an empty table; other columns pass
+Defined cases: a null text is empty; texts shorter than `length` bytes lose nothing; a text of any length is one row of its block and is
+scanned a piece at a time; equal windows in one text or in equal rows are occurrences of their own, also with equal or null ids, and all of them go;
+ids may be of any type; an empty table gives an empty table; other columns pass
 through unless they are named like a result column, which replaces them.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volarium.llm.arrowtext import byte_gram_hashes, release, runs_of
-from volarium.llm.repeats import HOT, SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack
+from volarium.llm.repeats import HOT, SPANS, Windows, anchors, block_rows, matched, passages, span_table, spans_by_row, unpack, whole_ids
 from volarium.session import Staged, stage
 
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -158,7 +159,8 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, bat
     docs = docs.drop(*RESULT)
     windows = byte_windows(length, gram)
     blocked, _ = block_rows(docs, id_col, text_col)
-    keyed = blocked.withColumn(ROW_ID, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
+    row_id = F.col(id_col).cast("long") if whole_ids(docs, id_col) else F.xxhash64(F.col(id_col))
+    keyed = blocked.withColumn(ROW_ID, F.coalesce(row_id, F.lit(-1)))
     family = IndexFamily()
     for k in range(batches):
         family.add(anchors(keyed.where(F.pmod("block__", F.lit(batches)) == k), windows, text_col, ROW_ID).select("hash", "block", "n"))

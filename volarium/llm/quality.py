@@ -7,7 +7,8 @@ projection without any user function, shuffle or aggregation, so a text never le
 Words are runs of characters other than space and 0x09-0x0D. Words in repeated windows: every window of 8 words has a
 64-bit hash; only if two hashes of a text agree are the windows sorted to find which words they cover.
 
-Defined cases: a null text has no words; division by zero words gives a ratio of zero; repeated rows are judged
+Defined cases: a null text has no words; a text of any length is one row of the projection, with arrays of its own words, lines and windows; of equal lines or windows
+all but the first line, and all windows, count, so ties need no rule; division by zero words gives a ratio of zero; repeated rows are judged
 alike; an empty table gives an empty table; other columns pass through unless they are named like a result column, which replaces them.
 """
 

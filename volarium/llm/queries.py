@@ -99,11 +99,12 @@ def op12_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(sound(F.col("embedding")))
-    whole = F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024) + 100000)
-    fit = whiten(vectors.select("vec_id", whole.alias("x")), 8, "x")
+    shifted = F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024) + 100000)
+    fit = whiten(vectors.select("vec_id", shifted.alias("x")), 8, "x")
     sums = F.array(*map(F.lit, fit.sums)).cast("array<bigint>")
-    apart = F.zip_with("x", sums, lambda x, s: (x * fit.n - s).cast("decimal(19,0)"))
-    deviation = F.aggregate(apart, F.lit(0).cast("decimal(38,0)"), lambda total, d: (total + d * d).cast("decimal(38,0)")).cast("long")
+    apart = F.zip_with("x", sums, lambda x, s: x * fit.n - s)
+    whole = F.aggregate(apart, F.lit(0).cast("long"), lambda total, d: F.try_add(total, F.try_multiply(d, d)))  # null where 64 bits do not hold it
+    deviation = F.when(whole.isNotNull(), whole).otherwise(F.raise_error(F.lit("a deviation is over 64 bits")).cast("long"))
     each = F.posexplode(F.arrays_zip("whitened", F.array(*map(F.lit, fit.explained)).cast("array<double>").alias("explained")))
     rows = fit.rows.select("vec_id", deviation.alias("deviation"), each.alias("place", "of"))
     return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", F.col("of.whitened").alias("whitened"),

@@ -24,11 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from volarium.llm.arrowtext import chunks, minimizer_runs, release, text_buffer
+from volarium.operators.ordering import number_rows
 from volarium.session import Staged, stage
 
-BLOCK_ROWS = 2048          # documents of a block, on average
+BLOCK_ROWS = 2048          # documents of a block, on average, if they are short;
+BLOCK_BYTES = 24 << 20     # bytes of a block, on average, if they are long
+LONG_TEXT = 4 << 20        # bytes beyond which a text does not share the block of its neighbours
 SHARD_PASSAGES = 6000      # passages of a shard, on average
 HOT_OCCURRENCES = 4000     # occurrences of an anchor beyond which its windows are sharded one by one
 
@@ -50,11 +54,29 @@ class Windows:
     single: Callable                # (cut, first) -> bytes that stand for the one window, equal for equal windows only
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> bool:
+    return isinstance(docs.schema[id_col].dataType, IntegralType)
+
+
+def with_order(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Adds a whole number that orders the rows as their ids do; null ids stay null. Ids of other types are numbered in their order."""
+    if whole_ids(docs, id_col):
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    ids = docs.select(F.col(id_col).alias("id__")).where("id__ IS NOT NULL").distinct()
+    ranks = number_rows(ids, "id__", name).table
+    return docs.join(ranks, F.col(id_col) == F.col("id__"), "left").drop("id__")
+
+
 def block_rows(docs: DataFrame, id_col: str, text_col: str, rows_per_block: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """Adds block__ and row_key__; rows with neighbouring ids share a block, so that equal anchors meet early."""
-    rows = docs.count()
-    blocks = max(8, -(-rows // rows_per_block))
-    near = F.coalesce(F.floor(F.col(id_col) / 256), F.xxhash64(F.col(text_col)))
+    """Adds block__ and row_key__; rows with neighbouring ids (whole numbers) share a block, so that equal anchors meet early.
+
+    There are as many blocks as rows and bytes ask for, both counted, and very long texts are dealt one by one.
+    """
+    bytes_ = F.octet_length(text_col)
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(bytes_.cast("long"))).first()
+    blocks = max(8, -(-rows // rows_per_block), -(-(size or 0) // BLOCK_BYTES))
+    group = F.floor(F.col(id_col) / 256) if whole_ids(docs, id_col) else F.xxhash64(F.col(id_col))
+    near = F.coalesce(F.when(F.col(id_col).isNotNull() & ~(bytes_ > LONG_TEXT), group), F.xxhash64(F.col(id_col), F.col(text_col)))
     return docs.withColumns({"block__": F.pmod(F.xxhash64(near), F.lit(blocks)),
                              "row_key__": F.xxhash64(F.col(id_col), F.col(text_col))}), blocks
 
@@ -163,8 +185,9 @@ def span_table(rows: list[tuple[int, int, int, int]]) -> pa.Table:
 
 
 def spans_by_row(spans: pa.Table) -> dict[int, list[tuple[int, int]]]:
-    by_row: dict[int, list[tuple[int, int]]] = {}
+    """The spans of every row key, each once: rows that share id and text share a key, and each of them reports its spans."""
+    by_row: dict[int, set[tuple[int, int]]] = {}
     for packed in spans.column("spans").to_pylist():
         for key, a, b in unpack(packed):
-            by_row.setdefault(key, []).append((a, b))
-    return by_row
+            by_row.setdefault(key, set()).add((a, b))
+    return {key: sorted(found) for key, found in by_row.items()}

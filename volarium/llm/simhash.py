@@ -14,7 +14,7 @@ members whose other half agrees once two of its bits (or one, if the segment its
 linked directly, so each mask makes a star to its smallest member.
 
 Defined cases: null text as an empty one; null ids keep their row, and a class of null ids only has a null
-component; repeated rows share a fingerprint; an empty table gives an empty table; other columns pass through
+component; repeated rows share a fingerprint, and of tied ids there is only one smallest; texts of any length are hashed whole; an empty table gives an empty table; other columns pass through
 unless they are named like a result column, which replaces them.
 """
 

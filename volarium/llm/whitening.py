@@ -24,6 +24,7 @@ from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -123,7 +124,7 @@ def whiten(vectors: DataFrame, components: int = 8, vector_col: str = "embedding
     sums = column_sums(kept.table, vector_col, length)
     index, key, vector = free_names((*vectors.columns, *RESULT), "index", "key", "vector")
     rows = numbered(kept, index)
-    a = row_blocks(rows, index, centred(vector_col, sums, n), length)
+    a = row_blocks(rows, index, centred(vector_col, sums, n), length).persist(StorageLevel.MEMORY_AND_DISK)  # used three times; made again if lost
     scatter = transpose_times(a)
     value, axes = np.linalg.eigh((scatter + scatter.T) / 2 / n)
     value, axes = np.maximum(value[::-1], 0.0)[:components], axes[:, ::-1][:, :components]
@@ -134,6 +135,7 @@ def whiten(vectors: DataFrame, components: int = 8, vector_col: str = "embedding
     held = F.array(*[F.get(numbers, F.lit(i)) if ok else F.lit(None).cast("double") for i, ok in enumerate(varies.tolist())])
     found = projected.select(F.col("index").alias(key), F.col("vector").alias(vector)).select(key, held.alias("whitened"))
     out = stage(rows.join(found, F.col(index) == F.col(key)).select(*vectors.columns, "whitened"), "whitened").table
+    a._java_matrix_wrapper.call("blocks").unpersist(False)
     total = float(np.trace(scatter)) / n
     explained = [float(v) / total if ok else 0.0 for v, ok in zip(value, varies, strict=True)]
     return Whitening(out, n, sums, value.tolist(), explained, deviation_from_identity(out, "whitened", np.flatnonzero(varies).tolist()))
