@@ -378,3 +378,22 @@ def test_bucketed_tensors(spark, size):
             assert present == (cell is not None) and (x, y) == (([cell[4] or 0.0, cell[5]], cell[6]) if cell else ([0.0, 0.0], 0.0))
     back = gnn.label_buckets(got.select("origin", "date", "bucket", "present", F.transform("x", lambda v: v[1]).alias("yhat")), nodes, ["origin", "date"], size).collect()
     assert sorted((r.origin, r.date, r.ticker, r.yhat) for r in back) == sorted((r[0], r[1], r[3], r[5]) for r in rows)
+
+
+def test_factor_pseudo_series_correlate_by_their_loadings(spark):
+    rng = np.random.default_rng(12)
+    common = rng.normal(size=3000)
+    load = {"A": 0.9, "B": 0.8, "C": -0.7, "D": 0.0}
+    rows = [(d, t, float(5 + 2 * (v * common[d] + np.sqrt(1 - v * v) * rng.normal()))) for t, v in load.items() for d in range(3000)] + [(d, "E", 1.5) for d in range(3000)]
+    df = spark.createDataFrame(rows, "date int, ticker string, value double")
+    got = control.factor_pseudo_series(df, df, "value").toPandas().pivot(index="date", columns="ticker", values="value")
+    real = df.toPandas().pivot(index="date", columns="ticker", values="value")
+    found = {t: np.corrcoef(real[t], real.mean(axis=1))[0, 1] for t in load}
+    assert (got.E == 1.5).all() and all(got[t].mean() == pytest.approx(real[t].mean(), abs=0.15) and got[t].std() == pytest.approx(real[t].std(), rel=0.1) for t in load)
+    for a, b in (("A", "B"), ("A", "C"), ("B", "D")):
+        assert np.corrcoef(got[a], got[b])[0, 1] == pytest.approx(found[a] * found[b], abs=0.06)
+
+
+def test_node_grid(spark):
+    nodes = graph.number_nodes(spark.createDataFrame([("a",), ("b",), ("c",)], "ticker string"))
+    assert sorted(map(tuple, graph.node_grid(nodes, "g").collect())) == [("g", x, y) for x in "abc" for y in "abc"]

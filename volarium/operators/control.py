@@ -33,6 +33,23 @@ def pseudo_series(panel: DataFrame, train: DataFrame, columns: Sequence[str], se
     }).drop(*[f"{k}_{c}" for k in ("mean", "std") for c in columns])
 
 
+def factor_pseudo_series(panel: DataFrame, train: DataFrame, value: str, seed: int = PSEUDO_SEED) -> DataFrame:
+    """Like `pseudo_series` for one column, with the tickers correlated through one shared factor.
+
+    A ticker's loading is the correlation of its training values with the mean of all tickers by date. Its noise is loading * factor +
+    sqrt(1 - loading^2) * own draw, so two tickers correlate by the product of their loadings. Both draws are keyed, the factor by the
+    date alone, so every task draws the same one: nothing of size tickers x tickers is built, and levels are one join by ticker.
+    A ticker without variation has loading 0.
+    """
+    market = stage(train.groupBy("date").agg(F.avg(value).alias("market")), "market")
+    against = attach(train.select("date", "ticker", value), market, ["date"])
+    stats = stage(against.groupBy("ticker").agg(F.avg(value).alias("mean__"), F.stddev_samp(value).alias("std__"), F.corr(value, "market").alias("corr__")), "levels")
+    load = F.when(F.col("corr__").isNull() | F.isnan("corr__"), 0.0).otherwise(F.greatest(F.least("corr__", F.lit(1.0)), F.lit(-1.0)))
+    noise = load * keyed_normal(F.lit(f"{seed}-{value}-factor"), "date") + F.sqrt(1 - load * load) * keyed_normal(F.lit(f"{seed}-{value}"), "ticker", "date")
+    drawn = attach(panel, stats, ["ticker"])
+    return drawn.withColumn(value, F.col("mean__") + F.col("std__") * noise).drop("mean__", "std__", "corr__")
+
+
 def cholesky_edges(panel: DataFrame, value: str) -> DataFrame:
     """Lower Cholesky factor of the ticker correlation as an edge list (src = column, dst = row).
 

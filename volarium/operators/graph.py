@@ -136,6 +136,14 @@ def normalise(edges: DataFrame, eps: float = 1e-8, zero_degree: float | None = N
     return ends.select("graph", "src", "dst", (F.col("w") / F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("w"))
 
 
+def node_grid(nodes: Staged, graph: str) -> DataFrame:
+    """(graph, src, dst) for every ordered pair of numbered nodes: one row a pair by definition, generated by number, named by joins."""
+    last = F.lit(nodes.rows - 1).cast("long")
+    pairs = spread(nodes.table, "i").select(F.col("ticker").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    named = attach(pairs, Staged(nodes.table.select(F.col("ticker").alias("dst"), F.col("i").cast("long").alias("i")), nodes.rows), ["i"])
+    return named.select(F.lit(graph).alias("graph"), "src", "dst")
+
+
 def reindex_edges(edges: DataFrame, grid: DataFrame) -> DataFrame:
     """Weights on a given list of (graph, src, dst); absent pairs get 0."""
     return grid.join(edges, ["graph", "src", "dst"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))

@@ -46,10 +46,10 @@ def _slices(ticks: DataFrame, keys: Sequence[str], order: str, value: str | None
     """
     last = [F.max_by(value, F.struct(order, *tie)).alias("last_value")] if value else []
     while True:
-        per_slice = stage(ticks.groupBy(*keys, _slice(order, seconds).alias("slice")).agg(F.count(F.lit(1)).alias("n"), *last), "slices").table
-        fullest = per_slice.agg(F.max("n").alias("n")).first()["n"] or 0
+        per_slice = stage(ticks.groupBy(*keys, _slice(order, seconds).alias("slice")).agg(F.count(F.lit(1)).alias("n"), *last), "slices", fullest=F.max("n"))
+        fullest = per_slice.seen["fullest"] or 0
         if fullest <= slice_rows or seconds == 1:
-            return seconds, per_slice
+            return seconds, per_slice.table
         seconds = _shorter(seconds, fullest, slice_rows)
 
 
@@ -170,7 +170,7 @@ def _order_statistics(data: DataFrame, keys: Sequence[str], brackets: Staged, pr
         F.array(F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p))) for p in probs])))
     wanted = attach(placed, Staged(brackets.table.select(*keys, ranks.alias("ranks")), brackets.rows), keys)
     hits = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("count")))
-    return stage(wanted.select(*keys, F.explode(hits).alias("rank"), "place__.at__", "place__.kind__"), "order-statistics")
+    return stage(wanted.select(*keys, F.explode(hits).alias("rank"), "place__.at__", "place__.kind__"), "order-statistics", missed=F.count(F.when(F.col("kind__") != 1, 1)))
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> Staged:
@@ -186,7 +186,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     while True:
         brackets = _brackets(data, keys, probs, accuracy, reach)
         found = _order_statistics(data, keys, brackets, probs)
-        if found.table.where("kind__ <> 1").isEmpty():
+        if not found.seen["missed"]:
             break
         reach *= 8
     at = found.table.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "at__"))).alias("at"))

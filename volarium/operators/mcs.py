@@ -100,8 +100,9 @@ def loss_vectors(losses: DataFrame, keys: Sequence[str], unit: str, models: Sequ
     numbered = running_total(vectors, ["set__"], "unit__", "one__", "idx")
     odd = F.exists("l", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     means = F.array(*[F.avg(F.get("l", F.lit(m))) for m in range(len(models))])
-    sets = stage(numbered.table.groupBy("set__").agg(F.count(F.lit(1)).alias("t"), F.count(F.when(odd, 1)).alias("lacking"), means.alias("mean")), "sets")
-    lacking, longest = sets.table.agg(F.sum("lacking"), F.max("t")).first()
+    sets = stage(numbered.table.groupBy("set__").agg(F.count(F.lit(1)).alias("t"), F.count(F.when(odd, 1)).alias("lacking"), means.alias("mean")), "sets",
+                 lacking=F.sum("lacking"), longest=F.max("t"))
+    lacking, longest = sets.seen["lacking"], sets.seen["longest"]
     if lacking:
         raise ValueError(f"{lacking} units lack the loss of a model")
     units = attach(numbered.table.select("set__", "idx", "l"), Staged(sets.table.select("set__", "t"), sets.rows), ["set__"])

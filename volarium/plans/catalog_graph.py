@@ -9,7 +9,8 @@ from volarium.operators import backtest, evaluate, glasso, graph, panel, windows
 from volarium.plans import sqlkit as q
 from volarium.plans import tables as t
 from volarium.plans.registry import query
-from volarium.session import Staged, stage
+from volarium.session import Staged, attach, stage
+from volarium.sources.universes import SIX_NODE_PAIRS
 
 NODES = "nodes AS (SELECT DISTINCT n_name AS ticker FROM nation)"
 FEATS = f"{q.nation_dense()}, {q.features('nested')}"
@@ -172,12 +173,32 @@ def return_correlations(spark, sf):
 SELECT g.src, g.dst, CAST(CASE WHEN l.src IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS w
 FROM grid g LEFT JOIN links l ON l.src = g.src AND l.dst = g.dst""")
 def dense_adjacency(spark, sf):
-    n = nodes(spark, sf)
-    names = n.table.agg(F.collect_list("ticker").alias("n")).scalar()
-    grid = n.table.select(F.lit("trade").alias("graph"), F.col("ticker").alias("src"), F.explode(names).alias("dst"))
+    grid = graph.node_grid(nodes(spark, sf), "trade")
     return graph.reindex_edges(trade_edges(spark, sf), grid).select("src", "dst", "w")
 
 
+SIX = sorted({n for pair in SIX_NODE_PAIRS for n in pair})
+GIVEN = ", ".join(f"({SIX.index(a)}, {SIX.index(b)})" for a, b in SIX_NODE_PAIRS)
+
+
+@query("M7 M9 J6", f"""WITH {FEATS}, n AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS i FROM (SELECT DISTINCT ticker FROM features)),
+given(a, b) AS (VALUES {GIVEN}),
+pairs AS (SELECT x.ticker AS src, y.ticker AS dst FROM given JOIN n x ON x.i = a JOIN n y ON y.i = b),
+links AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs),
+deg AS (SELECT src, count(*) AS degree FROM links GROUP BY 1),
+edges AS (SELECT l.src, l.dst, 1 / sqrt((a.degree + 1e-8) * (b.degree + 1e-8)) AS w FROM links l JOIN deg a ON a.src = l.src JOIN deg b ON b.src = l.dst)
+SELECT CAST(f.date AS VARCHAR) AS date, e.dst AS ticker, {', '.join(f'round(sum(e.w * f.{c}), 6) + 0.0 AS {c}' for c in GCOLS)} FROM features f JOIN edges e ON e.src = f.ticker GROUP BY 1, 2""")
+def given_edge_list(spark, sf):
+    """Neighbour features over the given six-node edge list, its nodes being the first six nations."""
+    feats = stage(t.nation_features(spark, sf).table, "features").table
+    names = graph.number_nodes(feats)
+    pairs = spark.createDataFrame([(SIX.index(a), SIX.index(b)) for a, b in SIX_NODE_PAIRS], "a long, b long")
+    end = lambda c, n: Staged(names.table.select(F.col("i").cast("long").alias(c), F.col("ticker").alias(n)), names.rows)
+    named = attach(attach(pairs, end("a", "src"), ["a"]), end("b", "dst"), ["b"]).select("src", "dst")
+    edges = stage(graph.normalise(graph.edges_from_list(named, "given")), "edges")
+    return graph.propagate(feats, edges, GCOLS).select(t.text_date(), "ticker", *[rounded(c, 6).alias(c) for c in GCOLS])
+
+
 def one_origin(returns, share=0.7):
     """Training dates of a single fixed split as origin 0."""
     return returns.filter(F.col("pos") < F.floor(F.col("n_dates") * share)).withColumn("origin", F.lit(0))

@@ -94,6 +94,17 @@ def pseudo_components(spark, sf):
     return out.select("ticker", t.text_date(), *[rounded(c, 6).alias(c) for c in X6[3:]])
 
 
+@query("M22 A11", f"""WITH {q.nation_dense()}, market AS (SELECT date, avg(exog) AS market FROM dense WHERE {TRAIN} GROUP BY 1),
+levels AS (SELECT ticker, avg(exog) AS mu, stddev_samp(exog) AS sd, corr(exog, market) AS c FROM dense JOIN market USING (date) WHERE {TRAIN} GROUP BY 1)
+SELECT ticker, {DATE}, round(mu + sd * (c * {q.normal("'123-exog-factor'", 'date')} + sqrt(1 - c * c) * {q.normal("'123-exog'", 'ticker', 'date')}), 6) + 0.0 AS exog
+FROM dense JOIN levels USING (ticker)""")
+def pseudo_input_factor(spark, sf):
+    """Stand-in input whose tickers move together through one factor."""
+    dense = stage(t.dense_nations(spark, sf), "dense").table
+    out = control.factor_pseudo_series(dense, panel.split_by_fraction(dense, 0.7)[0], "exog")
+    return out.select("ticker", t.text_date(), rounded("exog", 6).alias("exog"))
+
+
 @query("M22 A11")
 def pseudo_input_correlated(spark, sf):
     dense = stage(t.dense_nations(spark, sf).dropna("any", subset=["exog"]), "dense").table

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side with more rows than this is never broadcast by `attach`.
@@ -50,10 +51,11 @@ def work_dir(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Staged:
-    """A table written once to the shared folder, with the row count taken during the write."""
+    """A table written once to the shared folder, with the row count and other figures taken during the write."""
 
     table: DataFrame
     rows: int
+    seen: dict[str, Any] = field(default_factory=dict)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -61,17 +63,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> Staged:
+def stage(df: DataFrame, label: str, **figures: Column) -> Staged:
     """Write `df` to the shared folder and read it back.
 
     This cuts the lineage (a lost executor re-reads the files instead of re-running the raw scan),
     lets several consumers share one computation, and gives Catalyst real file sizes for its own
-    join choice. The rows are counted while writing, without a second job.
+    join choice. The rows are counted while writing, without a second job, as are other aggregates, given by name.
     """
     path = scratch_path(df.sparkSession, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Staged(df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["rows"]))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()]).write.parquet(path)
+    found = seen.get
+    return Staged(df.sparkSession.read.schema(df.schema).parquet(path), int(found["rows"]), {n: found[n] for n in figures})
 
 
 def attach(big: DataFrame, small: Staged, on: list[str], how: str = "inner",
