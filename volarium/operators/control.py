@@ -42,8 +42,9 @@ def factor_pseudo_series(panel: DataFrame, train: DataFrame, value: str, seed: i
     A ticker without variation has loading 0.
     """
     market = stage(train.groupBy("date").agg(F.avg(value).alias("market")), "market")
-    against = attach(train.select("date", "ticker", value), market, ["date"])
-    stats = stage(against.groupBy("ticker").agg(F.avg(value).alias("mean__"), F.stddev_samp(value).alias("std__"), F.corr(value, "market").alias("corr__")), "levels")
+    against = attach(train.select("date", "ticker", value).where(F.col(value).isNotNull()), market, ["date"])
+    stats = stage(against.groupBy("ticker").agg(F.avg(value).alias("mean__"), F.stddev_samp(value).alias("std__"),
+                                                 F.try_divide(F.covar_pop(value, "market"), F.stddev_pop(value) * F.stddev_pop("market")).alias("corr__")), "levels")
     load = F.when(F.col("corr__").isNull() | F.isnan("corr__"), 0.0).otherwise(F.greatest(F.least("corr__", F.lit(1.0)), F.lit(-1.0)))
     noise = load * keyed_normal(F.lit(f"{seed}-{value}-factor"), "date") + F.sqrt(1 - load * load) * keyed_normal(F.lit(f"{seed}-{value}"), "ticker", "date")
     drawn = attach(panel, stats, ["ticker"])
