@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from volarium.operators import mcs
 from volarium.plans.catalog import CATALOG
@@ -151,3 +152,23 @@ def test_queries_draw_as_many_resamples_as_the_reference(spark, sf, name, monkey
     monkeypatch.setattr(mcs, "bootstrap_draws", draws)
     with pytest.raises(Asked, match="^10000$"):
         CATALOG[name].run(spark, sf)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_over_several_slices_join_nothing(spark):
+    """A generator's output counts as small, so that a join would broadcast every position of every resample."""
+    draws = mcs.bootstrap_draws(mcs.Staged(spark.range(0), 9000), 3, 4, seed=7)
+    assert "Join" not in plan_of(draws)
+    assert draws.groupBy("b").agg(F.count("pos").alias("n"), F.max("pos").alias("last"), F.count("idx").alias("drawn")).select("n", "last", "drawn").distinct().collect() == [(9000, 8999, 9000)]
+
+
+def test_a_side_behind_a_generator_is_not_broadcast(spark):
+    from volarium.session import attach
+
+    many = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(50))).alias("k"))
+    small = mcs.Staged(spark.range(40).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("v")), 40)
+    joined = attach(many, small, ["k"], max_rows=10)
+    assert "Broadcast" not in plan_of(joined) and joined.count() == 39

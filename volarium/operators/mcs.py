@@ -46,7 +46,7 @@ def bootstrap_draws(rows: Staged | Lengths, n_boot: int, block: int, seed: int =
     and wraps around. Draws depend on (seed, b, pos) and t only, not on how the positions are sliced.
     """
     if isinstance(rows, Staged):
-        lengths = rows.table.sparkSession.range(1).select(F.lit(rows.rows).cast("long").alias("t"))
+        lengths = rows.table.sparkSession.range(rows.rows, rows.rows + 1).select(F.col("id").alias("t"))  # no literal, which the window's keys would lose
         longest, keep = rows.rows, []
     else:
         lengths, longest, keep = rows.table.select(F.col("t").cast("long").alias("t")).distinct(), rows.longest, ["t"]
@@ -54,23 +54,24 @@ def bootstrap_draws(rows: Staged | Lengths, n_boot: int, block: int, seed: int =
     last = ((F.col("t") - 1) / slice_rows).cast("long")
     slices = spread(boots.select("t", "b", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slice")), "t", "b", "slice")
     first = F.col("slice") * slice_rows
-    grid = slices.select("t", "b", "slice", F.explode(F.sequence(first, F.least(first + slice_rows, F.col("t")) - 1)).alias("pos"))
     start = F.when(
         (F.col("pos") == 0) | (keyed_uniform(F.lit(f"r{seed}"), "b", "pos") < F.lit(1.0 / block)),
         F.floor(keyed_uniform(F.lit(f"s{seed}"), "b", "pos") * F.col("t")) - F.col("pos"))
-    # Inside a block the index is start + (pos - start position), so filling start - position is enough.
-    grid = grid.withColumn("start", start)
-    inside = Window.partitionBy("t", "b", "slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.withColumn("base", F.last("start", ignorenulls=True).over(inside))
-    base = F.col("base")
+
+    def positions(of: DataFrame) -> DataFrame:
+        # Inside a block the index is start + (pos - start position), so filling start - position is enough.
+        return of.select("*", F.explode(F.sequence(first, F.least(first + slice_rows, F.col("t")) - 1)).alias("pos")).withColumn("start", start)
+
+    # No join: Spark takes what a generator makes for as small as the row before it, and would broadcast the positions.
+    filled = F.col("start")
     if longest > slice_rows:
-        ends = grid.where("start IS NOT NULL").groupBy("t", "b", "slice").agg(F.max_by("start", "pos").alias("open"))
-        all_slices = slices.join(ends, ["t", "b", "slice"], "left")
+        opens = positions(slices).groupBy("t", "b", "slice").agg(F.max_by("start", F.when(F.col("start").isNotNull(), F.col("pos"))).alias("open"))
         before = Window.partitionBy("t", "b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        carry = all_slices.select("t", "b", "slice", F.last("open", ignorenulls=True).over(before).alias("carry"))
-        filled = filled.join(carry, ["t", "b", "slice"])
-        base = F.coalesce(base, F.col("carry"))
-    return filled.select(*keep, "b", F.col("pos").cast("int").alias("pos"), F.pmod(base + F.col("pos"), F.col("t")).cast("int").alias("idx"))
+        slices = spread(opens.select("t", "b", "slice", F.last("open", ignorenulls=True).over(before).alias("carry")), "t", "b", "slice")
+        filled = F.coalesce(filled, F.when(F.col("pos") == first, F.col("carry")))
+    inside = Window.partitionBy("t", "b", "slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    base = F.last(filled, ignorenulls=True).over(inside)
+    return positions(slices).select(*keep, "b", F.col("pos").cast("int").alias("pos"), F.pmod(base + F.col("pos"), F.col("t")).cast("int").alias("idx"))
 
 
 def loss_matrix(losses: DataFrame, unit: str, models: Sequence[str], metric: str) -> Staged:
