@@ -210,3 +210,14 @@ def test_published_improvement_columns(spark):
     out = evaluate.improvement(spark.createDataFrame(rows, "model string, mse double"), "HAR", ["mse"]).collect()
     got = {r.model: r.mse_improvement for r in out}
     assert got["HAR"] == 0 and got["random"] == pytest.approx((0.008105 - 0.008034) / 0.008105 * 100)
+
+
+def test_a_large_grid_is_dealt_by_its_own_size(spark, monkeypatch):
+    """Few observed cells of many tickers on a long calendar: tasks follow the cells of the grid, not the bytes that are shuffled."""
+    rows = [(f"t{k:02d}", dt.date(2024, 1, 1) + dt.timedelta(days=(7 * k + j) % 50), float(k + j)) for k in range(40) for j in (0, 3)]
+    few = spark.createDataFrame(rows, "ticker string, date date, value double")
+    whole = sorted(map(tuple, panel.densify(few).collect()), key=repr)
+    monkeypatch.setattr(panel, "GRID_ROWS", 100, raising=False)
+    dense = panel.forward_fill(panel.densify(few), "value")
+    assert dense.rdd.getNumPartitions() >= 40 * few.select("date").distinct().count() * 0.8 // 100
+    assert sorted(map(tuple, panel.densify(few).collect()), key=repr) == whole

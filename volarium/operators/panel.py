@@ -15,6 +15,10 @@ from volarium.functions.scalars import finite_or_null
 from volarium.session import attach, stage
 
 
+# Cells of the dense grid that one task lays out, on average.
+GRID_ROWS = 500_000
+
+
 def by_ticker() -> WindowSpec:
     """A ticker's rows in calendar order."""
     return Window.partitionBy("ticker").orderBy("pos")
@@ -51,7 +55,13 @@ def densify(panel: DataFrame, values: Sequence[str] = ("value",)) -> DataFrame:
     marker expands to the whole scalar calendar and meets its ticker's cells in one aggregation, so the
     grid itself never moves, no join is planned, and every later window over ticker reuses the
     partitioning. Adds `pos` (0-based date position) and `n_dates`.
+
+    The exchange carries the observed cells, by whose bytes AQE would size the tasks; a grid beyond `GRID_ROWS` cells is therefore
+    dealt to as many tasks as its own (estimated) size asks for.
     """
+    tickers, days = panel.agg(F.approx_count_distinct("ticker"), F.approx_count_distinct("date")).first()
+    tasks = -(-tickers * days // GRID_ROWS)
+    dealt = [max(tasks, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))] if tasks > 1 else []
     dates = panel.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("d"))
     slots = dates.select(F.transform("d", lambda d, i: F.struct(d.alias("date"), i.alias("pos"))).alias("s")).scalar()
     cells = panel.select("ticker", "date", *[F.col(v).cast("double").alias(v) for v in values])
@@ -60,7 +70,7 @@ def densify(panel: DataFrame, values: Sequence[str] = ("value",)) -> DataFrame:
     itself = F.array(F.struct(F.col("date").alias("date"), F.lit(None).cast("int").alias("pos")))
     return (
         cells.filter("date IS NOT NULL").unionByName(markers)
-        .repartition("ticker")
+        .repartition(*dealt, "ticker")
         .select("ticker", *values, F.explode(F.when(F.col("date").isNull(), slots).otherwise(itself)).alias("slot"))
         .groupBy("ticker", F.col("slot.date").alias("date"))
         .agg(F.max("slot.pos").alias("pos"), *[F.max(v).alias(v) for v in values])
