@@ -397,3 +397,17 @@ def test_factor_pseudo_series_correlate_by_their_loadings(spark):
 def test_node_grid(spark):
     nodes = graph.number_nodes(spark.createDataFrame([("a",), ("b",), ("c",)], "ticker string"))
     assert sorted(map(tuple, graph.node_grid(nodes, "g").collect())) == [("g", x, y) for x in "abc" for y in "abc"]
+
+
+def test_sparse_random_graphs_shuffle_no_edges(spark, monkeypatch):
+    """Neither names nor degrees move the edges; with degrees beyond the limit the weights are the same."""
+    monkeypatch.setattr(graph, "DRAWS", 500, raising=False)
+    nodes = graph.number_nodes(spark.range(200).select(F.format_string("n%04d", "id").alias("ticker")))
+    edges = graph.sparse_random_edges(nodes, [3, 4], 0.1)
+    weighted = graph.normalise(edges)
+    assert "Exchange hashpartitioning" not in weighted._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.graph, r.src, r.dst): r.w for r in weighted.collect()}
+    degree = {(r.graph, r.src): r["count"] for r in edges.groupBy("graph", "src").count().collect()}
+    assert len(rows) == sum(degree.values()) and all(w == pytest.approx(1 / np.sqrt((degree[g, a] + 1e-8) * (degree[g, b] + 1e-8))) for (g, a, b), w in rows.items())
+    monkeypatch.setattr(graph, "DEGREE_ROWS", 1, raising=False)
+    assert {(r.graph, r.src, r.dst): r.w for r in graph.normalise(edges).collect()} == rows

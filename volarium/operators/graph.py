@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +15,8 @@ from volarium.operators.ordering import number_rows
 from volarium.session import BROADCAST_ROWS, Staged, attach, spread, stage
 
 SELF = "self"
+DRAWS = 2_000_000         # draws of a sparse random graph that one task walks, on average
+DEGREE_ROWS = 1_000_000   # degrees that are broadcast to the edges
 
 
 def identity_edges(nodes: DataFrame, graph: str = SELF) -> DataFrame:
@@ -82,13 +85,17 @@ def sparse_random_edges(nodes: Staged, seeds: Sequence[int], density: float) ->
     The pairs that are absent are skipped, not drawn: from one partner of a node to the next the number of places is geometric,
     1 + floor(ln u / ln(1 - density)), so work follows the edges and not the pairs. Draw k of a node depends on (seed, node number, k)
     only. Draws come in rounds of a little more than the expected number; a node whose last draw is still short of
-    the end goes on from there in the next round, which few nodes reach.
+    the end goes on from there in the next round, which few nodes reach. Of an edge one row of numbers is written; names and the
+    other direction come with every read.
     """
     if not 0 < density < 1:
         raise ValueError(f"a density must lie between 0 and 1, found {density}")
     last = nodes.rows - 1
     runs = F.array(*[F.lit(int(s)).alias("seed") for s in seeds])
-    state = spread(nodes.table, "i").where(F.col("i") < last).select(F.explode(runs).alias("seed"), F.col("i").cast("long").alias("i"), F.col("i").cast("long").alias("from"), F.lit(0).cast("long").alias("k"))
+    line = density * nodes.rows / 2  # partners of a node on average
+    tasks = max(int(nodes.table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(seeds) * nodes.rows * (line + 3 * math.sqrt(line) + 3) / DRAWS))
+    place = "int" if nodes.rows < 1 << 31 else "long"
+    state = nodes.table.repartition(tasks, "i").where(F.col("i") < last).select(F.explode(runs).alias("seed"), F.col("i").cast("long").alias("i"), F.col("i").cast("long").alias("from"), F.lit(0).cast("long").alias("k"))
     state, found = Staged(state, nodes.rows), None
     while True:
         mean = (F.lit(last) - F.col("from")) * density
@@ -96,17 +103,20 @@ def sparse_random_edges(nodes: Staged, seeds: Sequence[int], density: float) ->
         draws = state.table.select("seed", "i", "from", F.explode(F.sequence(F.col("k"), F.col("k") + most - 1)).alias("k"), (F.col("k") + most).alias("next"))
         gap = 1 + F.floor(F.log(keyed_uniform("seed", "i", "k")) / F.lit(float(np.log1p(-density))))
         walk = Window.partitionBy("seed", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        placed = stage(draws.withColumn("j", F.col("from") + F.sum(gap).over(walk)).where(F.col("j") <= last), "random-edges")
-        part = placed.table.select("seed", "i", "j")
-        found = part if found is None else found.unionByName(part)
         # Short of the end are the nodes whose last draw of the round is still on the line.
-        state = stage(placed.table.where(F.col("k") == F.col("next") - 1).where(F.col("j") < last).select("seed", "i", F.col("j").alias("from"), F.col("next").alias("k")), "random-open")
+        short = F.when((F.col("k") == F.col("next") - 1) & (F.col("j") < last), F.col("next"))
+        placed = stage(draws.withColumn("j", F.col("from") + F.sum(gap).over(walk)).where(F.col("j") <= last)
+                       .select("seed", "i", F.col("j").cast(place).alias("j"), short.alias("next")), "random-edges")
+        part = placed.table.select("seed", "i", F.col("j").cast("long").alias("j"))
+        found = part if found is None else found.unionByName(part)
+        state = stage(placed.table.where("next IS NOT NULL").select("seed", "i", F.col("j").cast("long").alias("from"), F.col("next").alias("k")), "random-open")
         if not state.rows:
             break
     name = lambda c, n: Staged(nodes.table.select(F.col("i").cast("long").alias(c), F.col("ticker").alias(n)), nodes.rows)
     named = attach(attach(found, name("i", "src"), ["i"]), name("j", "dst"), ["j"])
-    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    return named.select(F.concat(F.lit("random_"), F.col("seed").cast("string")).alias("graph"), ends.alias("e")).select("graph", "e.src", "e.dst", F.lit(1.0).alias("w"))
+    half = named.select(F.concat(F.lit("random_"), F.col("seed").cast("string")).alias("graph"), "src", "dst", F.lit(1.0).alias("w"))
+    # One direction after the other, so that a node's name stands in a run, which packs well.
+    return half.unionByName(half.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -124,15 +134,15 @@ def normalise(edges: DataFrame, eps: float = 1e-8, zero_degree: float | None = N
     """w_ij / sqrt(d_i d_j) without self-loops.
 
     Either `eps` is added to every degree, or a degree of 0 is replaced by `zero_degree`. The graph is
-    symmetric, so a node's degree is the same over either end.
+    symmetric, so a node's degree is the same over either end. The degrees are written and counted; up to `DEGREE_ROWS` of them go to
+    the edges, which then are not shuffled.
     """
     off = edges.filter("src <> dst")
     safe = F.when(F.col("degree") == 0, F.lit(zero_degree)).otherwise(F.col("degree")) if zero_degree \
         else F.col("degree") + F.lit(eps)
-    deg = degrees(off).withColumn("degree", safe)
-    ends = (off
-            .join(deg.select("graph", "src", F.col("degree").alias("d_src")), ["graph", "src"])
-            .join(deg.select("graph", F.col("src").alias("dst"), F.col("degree").alias("d_dst")), ["graph", "dst"]))
+    deg = stage(degrees(off).withColumn("degree", safe), "degrees")
+    at = lambda end: Staged(deg.table.select("graph", F.col("src").alias(end), F.col("degree").alias(f"d_{end}")), deg.rows)
+    ends = attach(attach(off, at("src"), ["graph", "src"], max_rows=DEGREE_ROWS), at("dst"), ["graph", "dst"], max_rows=DEGREE_ROWS)
     return ends.select("graph", "src", "dst", (F.col("w") / F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("w"))
 
 

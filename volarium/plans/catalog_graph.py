@@ -126,8 +126,7 @@ FROM links l JOIN deg a ON a.graph = l.graph AND a.src = l.src JOIN deg b ON b.g
 def random_sparse_graphs(spark, sf):
     """Random graphs over all suppliers in which one pair of fifty is present, by skips."""
     names = graph.number_nodes(t.read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker")))
-    edges = stage(graph.sparse_random_edges(names, (0, 1), 0.02), "edges").table
-    return graph.normalise(edges).withColumn("w", rounded("w", 6))
+    return graph.normalise(graph.sparse_random_edges(names, (0, 1), 0.02)).withColumn("w", rounded("w", 6))
 
 
 @query("J6 M10", f"""WITH {q.SUPPLIER_DENSE}, {q.features('nested')}, {q.ring('features', 2)}, {q.graph_features(GCOLS)}
