@@ -6,8 +6,9 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from volarium.llm import levels, repeats
+from volarium.llm import automaton, levels, repeats
 from volarium.llm.automaton import SuffixAutomaton, drop_earlier_passages
 from volarium.llm.backoff import backoff_scores
 from volarium.llm.levels import drop_repeated_bytes, window_ranks
@@ -138,3 +139,25 @@ def test_ranks_order_suffixes():
         texts = [data.tobytes()[i:i + length] for i in range(len(data) - length + 1)]
         order = sorted(set(texts))
         assert [order.index(t) for t in texts] == rank[:len(texts)].tolist()
+
+
+@pytest.mark.parametrize("operator,brute,length", [(drop_repeated_bytes, brute_bytes, {"length": 100, "gram": 32}), (drop_earlier_passages, brute_words, {"length": 13})])
+def test_windows_of_common_anchors_leave_a_block_by_shard(spark, monkeypatch, operator, brute, length):
+    """A passage in every text, in other surroundings each time: the rows follow blocks and shards, not the windows around it."""
+    monkeypatch.setattr(repeats, "HOT_OCCURRENCES", 3)
+    rng = random.Random(5)
+    common = " ".join(f"common{k}" for k in range(9))
+    rows = [(k, " ".join([*(str(rng.random()) for _ in range(8)), common, *(str(rng.random()) for _ in range(8))])) for k in range(150)]
+    rows += [(200, rows[7][1]), (201, rows[9][1] + " end")]
+    seen = []
+
+    def passages_(*args):
+        seen.append(repeats.passages(*args))
+        return seen[-1]
+    for module in (levels, automaton):
+        monkeypatch.setattr(module, "passages", passages_)
+    out = operator(spark.createDataFrame(rows, SCHEMA), **length)
+    got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)) if operator is drop_repeated_bytes else out.select("doc_id", "n_words", "n_removed", "kept")
+    assert Counter(map(tuple, got.collect())) == brute(rows, length["length"])
+    made = seen[0].select(F.size("ctx").alias("n") if isinstance(seen[0].schema["ctx"].dataType, ArrayType) else F.lit(1).alias("n")).agg(F.count("n"), F.sum("n")).first()
+    assert made[0] <= len(rows) < made[1]
