@@ -161,3 +161,23 @@ def test_windows_of_common_anchors_leave_a_block_by_shard(spark, monkeypatch, op
     assert Counter(map(tuple, got.collect())) == brute(rows, length["length"])
     made = seen[0].select(F.size("ctx").alias("n") if isinstance(seen[0].schema["ctx"].dataType, ArrayType) else F.lit(1).alias("n")).agg(F.count("n"), F.sum("n")).first()
     assert made[0] <= len(rows) < made[1]
+
+
+@pytest.mark.parametrize("operator,brute,length,cycle", [(drop_repeated_bytes, brute_bytes, {"length": 100, "gram": 32}, "he. Is on"), (drop_earlier_passages, brute_words, {"length": 13}, "he is ")])
+def test_shards_follow_the_windows_of_a_common_anchor(spark, monkeypatch, operator, brute, length, cycle):
+    """In texts that repeat themselves an anchor's occurrences have few windows each, and no more shards than these fill are dealt to."""
+    monkeypatch.setattr(repeats, "HOT_OCCURRENCES", 3)
+    monkeypatch.setattr(repeats, "SHARD_PASSAGES", 50)
+    rows = [(k, f"{k} " + cycle * 60 + f" {k}") for k in range(60)]
+    seen = []
+
+    def passages_(*args):
+        seen.append(repeats.passages(*args))
+        return seen[-1]
+    for module in (levels, automaton):
+        monkeypatch.setattr(module, "passages", passages_)
+    out = operator(spark.createDataFrame(rows, SCHEMA), **length)
+    got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)) if operator is drop_repeated_bytes else out.select("doc_id", "n_words", "n_removed", "kept")
+    assert Counter(map(tuple, got.collect())) == brute(rows, length["length"])
+    whole = sum(len(t if operator is drop_repeated_bytes else t.split()) - length["length"] + 1 for _, t in rows)
+    assert seen[0].agg(F.max("shard")).first()[0] < -(-whole // 50)
