@@ -273,6 +273,16 @@ def test_repeat_stage_cuts_at_characters(spark, sf):
     assert got == {1: ("д konec", 7), 2: ("ф drugoj", 8), 4: ("sam", 3)}
 
 
+def test_repeat_stage_cuts_passages_of_over_50_words(spark, sf):
+    """Such a passage is often shorter than 400 bytes, and its lines may be broken elsewhere."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage, short = [f"w{k}é" for k in range(51)], [f"v{k}" for k in range(50)]
+    rows = [(1, "one " + " ".join(passage) + " end", "en", "s", 0), (2, "two\n" + "\n".join(passage), "en", "s", 0), (3, " \n" + "  ".join(passage) + "\n", "en", "s", 0),
+            (4, "four " + " ".join(short), "en", "s", 0), (5, "five " + " ".join(short), "en", "s", 0), (6, None, "en", "s", None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeat_stage(spark, spark.createDataFrame(rows, schema), sf).collect()}
+    assert got == {1: ("one end", 7), 2: ("two\n", 4), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: (None, None)}
+
+
 def test_ids_equal_those_of_the_tokenizer():
     texts = [None, "", " ", "\n\n", "a  b", "İstanbul ŉx Ångström ÅNGSTRÖM ª º µ ß ẞ", "don't 12.5% x,y <|endoftext|> <|ENDOFTEXT|> Hello! hello,",
              "é ́a\xa0x y\rz\x0bq", "日本 語。 🎉🎉", "é,É. ñ! Ü?", "x" * 5000]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -77,6 +78,37 @@ def test_byte_windows(spark, monkeypatch, hot):
     assert Counter(map(tuple, got)) == brute_bytes(rows, 100)
 
 
+def brute_both(rows, length, words):
+    """Bytes covered by a repeated window of `length` bytes or of `words` words, which go with the space behind them."""
+    texts = [(x or "").encode() for _, x in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    word_keys = [[tuple(t[a:b] for a, b in s[i:i + words]) for i in range(len(s) - words + 1)] for t, s in zip(texts, spans)]
+    seen, seen_words = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1)), Counter(k for keys in word_keys for k in keys)
+    out = []
+    for (d, _), t, s, keys in zip(rows, texts, spans, word_keys):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        for i, key in enumerate(keys):
+            if seen_words[key] > 1:
+                a, b = s[i][0] if i else 0, s[i + words][0] if i + words < len(s) else len(t)
+                gone[a:b] = b"\1" * (b - a)
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((d, len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("hot", [4000, 3])
+def test_word_passages_beside_bytes(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_OCCURRENCES", hot)
+    monkeypatch.setattr(levels, "RANKED_BYTES", 2000)
+    rows = passages(4) + [(905, "  " + "\n".join(f"k{k}" for k in range(15)) + " \t"), (906, " ".join(f"k{k}" for k in range(15)) + " more"), (907, "é " + "  ".join(f"k{k}" for k in range(15)))]
+    got = drop_repeated_bytes(spark.createDataFrame(rows, SCHEMA), length=100, gram=32, words=13).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    want = brute_both(rows, 100, 13)
+    assert Counter(map(tuple, got)) == want != brute_bytes(rows, 100)
+
+
 def test_whole_small_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
