@@ -5,10 +5,12 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from volarium.llm.components import components
 from volarium.llm.pivots import link_vectors
 from volarium.llm.simhash import links, near_copies
+from volarium.session import stage
 
 
 def roots(n, edges):
@@ -68,6 +70,29 @@ def test_links_join_the_same_classes(spark, hot):
     assert roots(len(fps), [(at[r.a], at[r.b]) for r in got]) == roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
 
 
+def broadcasts(df):
+    """What stands below each broadcast of the plan that ran, and of the one it began with."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [next((k for k, c in enumerate(x) if c.isalnum()), 0) for x in lines]
+    tops = [k for k, x in enumerate(lines) if "BroadcastExchange" in x]
+    return ["\n".join(lines[k:next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))]) for k in tops]
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_links_broadcast_only_hot_segments(spark, hot):
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20  # the tables here are small enough for Spark
+    classes = stage(spark.range(2000).select(F.expr("if(id < 40, id * 4294967296L + 7, xxhash64(id))").alias("fp")), "classes").table
+    found = broadcasts(links(classes, hot))
+    assert len(found) > 0 if hot == 1 else found == []
+    assert all("Generate" not in x and "fp#" not in x for x in found)
+
+
+def test_near_copies_broadcast_nothing(spark):
+    rows = [(k, f"some {k % 60} words {k % 7} of {k % 90} text") for k in range(300)]
+    assert broadcasts(near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == []
+
+
 def test_near_copies_empty(spark):
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

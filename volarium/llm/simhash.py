@@ -13,6 +13,10 @@ A segment value that very many distinct fingerprints share would pair all of the
 members whose other half agrees once two of its bits (or one, if the segment itself differs in one) are masked are
 linked directly, so each mask makes a star to its smallest member.
 
+On Spark: whatever grows with the documents or their fingerprints is joined by merging. Spark sizes exploded rows, of which a fingerprint makes
+over 30, as the file they come from, and files by their compressed bytes, and would send them through the driver. Only the hot
+segment values are broadcast, while few by count.
+
 Defined cases: null text as an empty one; null ids keep their row, and a class of null ids only has a null
 component; repeated rows share a fingerprint, and of tied ids there is only one smallest; texts of any length are hashed whole; an empty table gives an empty table; other columns pass through
 unless they are named like a result column, which replaces them.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from volarium.llm.arrowtext import chunks
 from volarium.llm.components import components
-from volarium.session import stage
+from volarium.session import Staged, attach, stage
 
 RESULT = ("fingerprint", "component_id", "component_fingerprint")
 SEED = 42
@@ -93,27 +97,27 @@ def links(classes: DataFrame, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     probes = balls.select("segment", F.col("probe").alias("value"), F.col("fp").alias("a"), (F.col("probe") == F.col("value")).alias("same"))
     tables = entries.select("segment", "value", F.col("fp").alias("b"))
     if hot.rows:
-        tables = tables.join(hot.table, ["segment", "value"], "left_anti")
+        tables = attach(tables, hot, ["segment", "value"], "left_anti")
     close = (F.expr("bit_count(a ^ b)") <= 2) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))
-    pairs = probes.join(tables, ["segment", "value"]).where(close).select("a", "b")
-    return pairs.unionByName(_stars(entries, balls, hot.table)) if hot.rows else pairs
+    pairs = probes.join(tables.hint("merge"), ["segment", "value"]).where(close).select("a", "b")
+    return pairs.unionByName(_stars(entries, balls, hot)) if hot.rows else pairs
 
 
-def _stars(entries: DataFrame, balls: DataFrame, hot: DataFrame) -> DataFrame:
+def _stars(entries: DataFrame, balls: DataFrame, hot: Staged) -> DataFrame:
     """Links through hot segment values, at a fixed number of rows for each member and probe."""
     bits = SEGMENT_BITS - 1
     two = F.expr(f"flatten(transform(sequence(0, {bits - 1}), i -> transform(sequence(i + 1, {bits}), j -> struct(i as i, j as j, "
                  "rest & ~(shiftleft(1L, i) | shiftleft(1L, j)) as masked))))")
     one = F.expr(f"transform(sequence(0, {bits}), i -> struct(i as i, -1 as j, rest & ~shiftleft(1L, i) as masked))")
     key = ["segment", "value", "m.i", "m.j", "m.masked"]
-    members = entries.join(hot, ["segment", "value"])
+    members = attach(entries, hot, ["segment", "value"])
     listed = members.select("segment", "value", "fp", F.lit(True).alias("member"), F.explode(F.concat(two, one)).alias("m"))
-    near = (balls.where("probe <> value").select("segment", F.col("probe").alias("value"), "rest", "fp").join(hot, ["segment", "value"])
+    near = (attach(balls.where("probe <> value").select("segment", F.col("probe").alias("value"), "rest", "fp"), hot, ["segment", "value"])
             .select("segment", "value", "fp", F.lit(False).alias("member"), F.explode(one).alias("m")))
     rows = listed.unionByName(near).select(*key, "fp", "member")
     names = ["segment", "value", "i", "j", "masked"]
     centre = rows.groupBy(*names).agg(F.min(F.when(F.col("member"), F.col("fp"))).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null")
-    return rows.join(centre, names).select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
+    return rows.join(centre.hint("merge"), names).select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", hot_segment: int = HOT_SEGMENT) -> DataFrame:
@@ -123,10 +127,10 @@ def near_copies(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
     marked = stage(with_fingerprint(docs, words, text_col), "fingerprints").table
     classes = stage(marked.groupBy(F.col("fp__").alias("fp")).agg(F.min(id_col).alias("lowest")), "fingerprint-classes").table
     reach = components(links(classes, hot_segment), "fingerprint-components")
-    rooted = classes.join(reach, classes.fp == reach.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(reach.hint("merge"), classes.fp == reach.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = rooted.join(lowest, "root").select(F.col("fp").alias("fp__"), "component_id", _digits("root").alias("component_fingerprint"))
-    return marked.join(named, "fp__").withColumn("fingerprint", _digits("fp__")).drop("fp__")
+    named = rooted.join(lowest.hint("merge"), "root").select(F.col("fp").alias("fp__"), "component_id", _digits("root").alias("component_fingerprint"))
+    return marked.join(named.hint("merge"), "fp__").withColumn("fingerprint", _digits("fp__")).drop("fp__")
 
 
 def _digits(fp: str) -> Column:
